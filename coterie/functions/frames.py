@@ -64,3 +64,15 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFr
 def scalar_of(df: DataFrame, value: Column) -> Column:
     """A one-value aggregate as a scalar subquery column."""
     return df.agg(value.alias("v")).scalar()
+
+
+def bounded_names(df: DataFrame, column: str) -> list[str]:
+    """Sorted distinct texts of a vocabulary column.
+
+    Refuses more names than Spark lets a pivot have, so the list stays small.
+    """
+    bound = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    names = df.select(F.col(column).alias("name")).distinct().limit(bound + 1).collect()
+    if len(names) > bound:
+        raise ValueError(f"more than {bound} names; raise spark.sql.pivotMaxValues or narrow the input")
+    return sorted(r["name"] for r in names)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from coterie.functions import columns as C
-from coterie.functions.frames import ranked, scalar_of, settle
+from coterie.functions.frames import bounded_names, ranked, scalar_of, settle
 
 CLUSTERS = 10
 SIGNIFICANCE = 0.05
@@ -27,13 +27,8 @@ MERGE = "left string, right string, node string, d2 double, size double, round i
 
 
 def target_names(panel: DataFrame) -> list[str]:
-    """Sorted names of the tests. Refuses a vocabulary wider than Spark lets a pivot be."""
-    spark = panel.sparkSession
-    bound = int(spark.conf.get("spark.sql.pivotMaxValues"))
-    names = panel.select(F.explode("target.attr").alias("a")).distinct().limit(bound + 1).collect()
-    if len(names) > bound:
-        raise ValueError(f"more than {bound} tests; raise spark.sql.pivotMaxValues or narrow the panel")
-    return sorted(r.a for r in names)
+    """Sorted names of the tests."""
+    return bounded_names(panel.select(F.explode("target.attr").alias("attr")), "attr")
 
 
 def status_label() -> Column:
@@ -48,7 +43,7 @@ def status_profiles(panel: DataFrame, names: Sequence[str] | None = None) -> Dat
     names = list(names) if names is not None else target_names(panel)
     targets = F.map_from_entries("target")
     rows = panel.select("id", status_label().alias("label"), "other", targets.alias("__t"))
-    values = [F.coalesce(C.severity(F.get(F.transform(F.array(F.lit(n)), lambda k: F.col("__t")[k]), F.lit(0))), F.lit(0)).alias(n) for n in names]
+    values = [C.severity(F.element_at("__t", n)).alias(n) for n in names]
     return rows.select("id", "label", "other", *values)
 
 

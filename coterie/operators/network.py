@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coterie.functions import columns as C
-from coterie.functions.frames import scalar_of, settle
+from coterie.functions.frames import ranked, scalar_of, settle
 
 SUPPORT_THRESHOLD = 0.01
 LIFT_THRESHOLD = 1.01
@@ -27,12 +27,13 @@ def _lift(co: str, total: str, n1: str, n2: str) -> Column:
 
 def _flagged(entries: str) -> Column:
     """Entries with a mark on the first value of each attribute."""
+    def again(x: Column, i: Column) -> Column:
+        return F.coalesce(F.get(F.col(entries), i - 1)["attr"] == x["attr"], F.lit(False))
+
     return F.transform(
         entries,
-        lambda x, i: F.struct(
-            x["attr"].alias("attr"),
-            x["value"].alias("value"),
-            (~F.coalesce(F.get(F.col(entries), i - 1)["attr"] == x["attr"], F.lit(False))).alias("first"),
+        lambda x, i: F.named_struct(
+            F.lit("attr"), x["attr"], F.lit("value"), x["value"], F.lit("first"), ~again(x, i)
         ),
     )
 
@@ -293,8 +294,6 @@ def greedy_communities(edges: DataFrame) -> DataFrame:
 
 def _numbered(placed: DataFrame) -> DataFrame:
     """Communities numbered 1.. by size descending, then by smallest node."""
-    from coterie.functions.frames import ranked
-
     sizes = placed.groupBy("head").agg(F.count("*").alias("n"), F.min("node").alias("least"))
     numbers = ranked(sizes, [F.desc("n"), F.col("least")], "community").select("head", "community")
     return placed.join(numbers, "head").select("node", "community")

@@ -29,10 +29,12 @@ def resistance_ratio(
     view: DataFrame,
     split: int,
     focus_serotype: str,
-    before: str = "Before",
-    after: str = "After",
-    other: str = "Others",
+    before: str = "Before2012",
+    after: str = "After2012",
+    other: str = "Non-Dublin",
     family: Sequence[str] = BETA_LACTAMS,
+    name_of_family: str = BETA_LACTAM,
+    more_than: int = MULTI_CLASSES,
     positive: str = C.POSITIVE,
 ) -> DataFrame:
     """Share of isolates resistant to more than two classes, by serotype group and period.
@@ -41,7 +43,7 @@ def resistance_ratio(
     Groups without such isolates are left out. The serotype compares without case.
     """
     sero = F.when(F.lower("serotype") == focus_serotype.lower(), F.col("serotype")).otherwise(other)
-    cls = F.struct(merged_class(F.col("class"), family).alias("c"))
+    cls = F.struct(merged_class(F.col("class"), family, name_of_family).alias("c"))
     per_id = (
         view.select(
             "id",
@@ -54,7 +56,7 @@ def resistance_ratio(
     )
     return (
         per_id.groupBy("serotype", "period")
-        .agg(F.count_if(F.col("classes") > MULTI_CLASSES).alias("multi_resistant"), F.count("*").alias("total"))
+        .agg(F.count_if(F.col("classes") > more_than).alias("multi_resistant"), F.count("*").alias("total"))
         .where("multi_resistant > 0")
         .withColumn("ratio", F.col("multi_resistant") * 100.0 / F.col("total"))
         .orderBy("serotype", F.desc("period"))

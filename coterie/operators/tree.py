@@ -15,7 +15,7 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit, TrainValid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coterie.functions.frames import scalar_of, work_dir
+from coterie.functions.frames import bounded_names, scalar_of, work_dir
 from coterie.operators.transactions import feature_rows
 
 NULL_THRESHOLD = 0.3
@@ -34,13 +34,8 @@ def feature_nulls(rows: DataFrame, threshold: float = NULL_THRESHOLD) -> DataFra
 
 
 def kept_features(rows: DataFrame, threshold: float = NULL_THRESHOLD) -> list[str]:
-    """Sorted names of the features kept; their number is that of the vocabulary."""
-    spark = rows.sparkSession
-    bound = int(spark.conf.get("spark.sql.pivotMaxValues"))
-    names = feature_nulls(rows, threshold).where("kept").select("feature").limit(bound + 1).collect()
-    if len(names) > bound:
-        raise ValueError(f"more than {bound} features; raise spark.sql.pivotMaxValues or narrow the panel")
-    return sorted(r.feature for r in names)
+    """Sorted names of the features kept."""
+    return bounded_names(feature_nulls(rows, threshold).where("kept"), "feature")
 
 
 def modes(rows: DataFrame, *keys: str) -> DataFrame:
