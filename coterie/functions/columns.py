@@ -81,7 +81,7 @@ def item_value(text: Column) -> Column:
 
 def key_of(items: Column) -> Column:
     """Canonical text of an item set."""
-    return F.array_join(F.array_sort(F.array_distinct(items)), " & ")
+    return F.array_join(F.sort_array(F.array_distinct(items)), " & ")
 
 
 def list_text(items: Column, brackets: bool = True) -> Column:

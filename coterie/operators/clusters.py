@@ -5,21 +5,20 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from coterie.functions import columns as C
+from coterie.functions.blocks import merge_rest, nearest
 from coterie.functions.frames import bounded_names, ranked, scalar_of, settle
 
 CLUSTERS = 10
 SIGNIFICANCE = 0.05
 TOP_VALUES = 5
 NO_RESISTANCE = "All susceptible"
-BLOCK = 2000
-LAST_CLUSTERS = 1024
+BLOCK = 1024
+LAST_CLUSTERS = 4096
 MERGE = "left string, right string, node string, d2 double, size double, round int, seq int"
 
 
@@ -34,7 +33,7 @@ def target_names(panel: DataFrame) -> list[str]:
 def status_label() -> Column:
     """Sorted list of the tests that are more than susceptible."""
     found = F.transform(F.filter("target", lambda x: C.severity(x["value"]) > 1), lambda x: x["attr"])
-    found = F.array_sort(found)
+    found = F.sort_array(found)
     return C.list_text(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_RESISTANCE))))
 
 
@@ -61,7 +60,7 @@ def attribute_profiles(panel: DataFrame, attributes: Sequence[str]) -> DataFrame
     )
     return (
         panel.where(_is_resistant())
-        .withColumn("indicators", F.array_sort(chosen))
+        .withColumn("indicators", F.sort_array(chosen))
         .select("id", C.list_text(F.col("indicators")).alias("label"), "indicators", "target")
     )
 
@@ -89,26 +88,6 @@ def point_key(vector: str | Column) -> Column:
     return F.array_join(F.transform(vector, lambda v: v.cast("string")), ",")
 
 
-def _distances(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    ca, cb = np.stack(a["centre"]), np.stack(b["centre"])
-    wa, wb = a["size"].to_numpy(), b["size"].to_numpy()
-    gap = (ca**2).sum(1)[:, None] + (cb**2).sum(1)[None, :] - 2 * ca @ cb.T
-    return np.round(np.maximum(gap, 0) * (wa[:, None] * wb[None, :]) / (wa[:, None] + wb[None, :]), 9)
-
-
-def _nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Nearest cluster of one block for every cluster of another."""
-    if left.empty or right.empty:
-        return pd.DataFrame({"node": [], "other": [], "d2": []})
-    right = right.sort_values("node")
-    d2 = _distances(left, right)
-    names = right["node"].to_numpy()
-    d2[left["node"].to_numpy()[:, None] == names[None, :]] = np.inf
-    best = d2.argmin(1)
-    out = pd.DataFrame({"node": left["node"], "other": names[best], "d2": d2[np.arange(len(left)), best]})
-    return out[np.isfinite(out["d2"])]
-
-
 def _reciprocal_pairs(clusters: DataFrame, count: int, block: int) -> DataFrame:
     """Pairs of clusters that are each other's nearest: `left, right, d2`.
 
@@ -118,13 +97,15 @@ def _reciprocal_pairs(clusters: DataFrame, count: int, block: int) -> DataFrame:
     blocks = max(1, math.ceil(count / block))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     placed = clusters.withColumn("b", F.pmod(F.xxhash64("node"), F.lit(blocks)))
+    # Stated numbers of partitions keep the small but costly blocks apart.
+    tasks = min(blocks * blocks, 4 * clusters.sparkSession.sparkContext.defaultParallelism)
     cell = ["node", "size", "centre"]
     left = placed.select(*cell, "b", F.explode(every).alias("o")).withColumn("cell", F.col("b") * blocks + F.col("o"))
     right = placed.select(*cell, "b", F.explode(every).alias("o")).withColumn("cell", F.col("o") * blocks + F.col("b"))
     found = (
-        left.select("cell", *cell).groupBy("cell")
-        .cogroup(right.select("cell", *cell).groupBy("cell"))
-        .applyInPandas(_nearest, "node string, other string, d2 double")
+        left.select("cell", *cell).repartition(tasks, "cell").groupBy("cell")
+        .cogroup(right.select("cell", *cell).repartition(tasks, "cell").groupBy("cell"))
+        .applyInPandas(nearest, "node string, other string, d2 double")
         .groupBy("node").agg(F.min(F.struct("d2", "other")).alias("m"))
         .select("node", F.col("m.other").alias("other"), F.col("m.d2").alias("d2"))
     )
@@ -135,45 +116,13 @@ def _reciprocal_pairs(clusters: DataFrame, count: int, block: int) -> DataFrame:
     )
 
 
-def _merge_rest(clusters: pd.DataFrame) -> pd.DataFrame:
-    """All merges of a bounded number of clusters, by following nearest neighbours."""
-    clusters = clusters.sort_values("node").reset_index(drop=True)
-    rounds, out = int(clusters["round"].max()), []
-    names, size = clusters["node"].tolist(), clusters["size"].to_numpy().copy()
-    centre = np.stack(clusters["centre"]).copy()
-    d2 = _distances(clusters, clusters)
-    np.fill_diagonal(d2, np.inf)
-    chain: list[int] = []
-    alive = np.ones(len(names), dtype=bool)
-    for seq in range(len(names) - 1):
-        if not chain:
-            chain.append(int(np.flatnonzero(alive)[0]))
-        while True:
-            here = chain[-1]
-            near = int(d2[here].argmin())
-            if len(chain) > 1 and d2[here, chain[-2]] <= d2[here, near]:
-                near = chain[-2]
-                break
-            chain.append(near)
-        i, j = sorted((here, near))
-        del chain[-2:]
-        total = size[i] + size[j]
-        out.append((names[i], names[j], f"m{rounds + 1}.{seq}", d2[i, j], total, rounds + 1, seq))
-        centre[i] = (size[i] * centre[i] + size[j] * centre[j]) / total
-        names[i], size[i], alive[j] = out[-1][2], total, False
-        gap = ((centre - centre[i]) ** 2).sum(1) * size * total / (size + total)
-        d2[i] = d2[:, i] = np.where(alive, np.round(gap, 9), np.inf)
-        d2[i, i] = np.inf
-        d2[j] = d2[:, j] = np.inf
-    return pd.DataFrame(out, columns=["left", "right", "node", "d2", "size", "round", "seq"])
-
-
 def ward_merges(points: DataFrame, last: int = LAST_CLUSTERS, block: int = BLOCK) -> DataFrame:
     """Merge log of Ward clustering: `left, right, node, d2, size, round, seq`.
 
     Each round joins every pair of clusters that are nearest to each other,
     which for Ward gives the same tree as joining one pair at a time. Once no
-    more than `last` clusters are left, one task finishes them.
+    more than `last` clusters are left, one task finishes them: its matrix of
+    distances has a fixed size, whatever the number of rows behind the clusters.
     """
     spark = points.sparkSession
     clusters = settle(points.select("node", "size", "centre"))
@@ -202,7 +151,7 @@ def ward_merges(points: DataFrame, last: int = LAST_CLUSTERS, block: int = BLOCK
         count = clusters.count()
     if count > 1:
         rest = clusters.withColumn("round", F.lit(round_no)).groupBy(F.lit(0).alias("g")).applyInPandas(
-            lambda pdf: _merge_rest(pdf), MERGE
+            merge_rest, MERGE
         )
         rest = settle(rest)
         log = rest if log is None else log.unionByName(rest)
@@ -263,7 +212,7 @@ def cluster_members(assigned: DataFrame) -> DataFrame:
 def cluster_sizes(assigned: DataFrame) -> DataFrame:
     """`cluster, cluster_size, labels` with the distinct labels as a sorted list."""
     return assigned.groupBy("cluster").agg(
-        F.count("*").alias("cluster_size"), F.array_sort(F.collect_set("label")).alias("labels")
+        F.count("*").alias("cluster_size"), F.sort_array(F.collect_set("label")).alias("labels")
     )
 
 

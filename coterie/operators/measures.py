@@ -23,12 +23,12 @@ def rule_counts(rules: DataFrame, profiles: DataFrame) -> DataFrame:
         *KEY,
         "antecedent",
         "consequent",
-        F.array_sort(F.array_distinct(F.transform(both, C.item_attr))).alias("rule_attrs"),
+        F.sort_array(F.array_distinct(F.transform(both, C.item_attr))).alias("rule_attrs"),
     )
     wanted = (
         keyed.select("rule_attrs", F.explode(F.concat("antecedent", "consequent")).alias("item"))
         .groupBy("rule_attrs")
-        .agg(F.array_sort(F.collect_set("item")).alias("wanted"))
+        .agg(F.sort_array(F.collect_set("item")).alias("wanted"))
     )
     # Meet on the attribute of the set that the fewest profiles have.
     spread = profiles.select(F.explode("attrs").alias("attr")).groupBy("attr").agg(F.count("*").alias("found"))
@@ -44,7 +44,7 @@ def rule_counts(rules: DataFrame, profiles: DataFrame) -> DataFrame:
         profiles.select("attrs", "items", "n", F.explode("attrs").alias("pivot"))
         .join(sets, "pivot")
         .where(C.contains_all(F.col("attrs"), F.col("rule_attrs")))
-        .groupBy("rule_attrs", F.array_sort(F.array_intersect("items", "wanted")).alias("cell"))
+        .groupBy("rule_attrs", F.sort_array(F.array_intersect("items", "wanted")).alias("cell"))
         .agg(F.sum("n").alias("n"))
     )
     has_x = C.contains_all(F.col("cell"), F.col("antecedent"))

@@ -31,7 +31,7 @@ def frequent_itemsets(baskets: DataFrame, min_support: float, min_transactions:
             return spark.createDataFrame([], ITEMSETS)
         model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(kept)
         sets = model.freqItemsets.select(
-            F.array_sort("items").alias("items"),
+            F.sort_array("items").alias("items"),
             C.key_of(F.col("items")).alias("item_key"),
             "freq",
             F.lit(n).cast("bigint").alias("n_baskets"),

@@ -14,7 +14,6 @@ from coterie.operators.mining import rule_order
 MEASURES = ("support", "confidence", "lift", "real_support", "real_lift")
 MIN_RULES_TO_CLUSTER = 9
 RULE_CLUSTERS = 8
-MAX_STATES = 27
 
 
 def prune(rules: DataFrame) -> DataFrame:
@@ -86,7 +85,7 @@ def combine(rules: DataFrame) -> DataFrame:
         rules.select("antecedent_key", "antecedent", F.explode("consequent").alias("con"), *measures,
                      *(c for c in ("rank",) if c in rules.columns), *kept, "consequent_key")
         .groupBy("antecedent_key", "antecedent")
-        .agg(F.array_sort(F.collect_set("con")).alias("consequent"), F.count_distinct("consequent_key").alias("__n"),
+        .agg(F.sort_array(F.collect_set("con")).alias("consequent"), F.count_distinct("consequent_key").alias("__n"),
              first.alias("__first"), *aggs)
     )
     out = out.withColumn("consequent_key", C.key_of(F.col("consequent")))
@@ -136,12 +135,16 @@ def cluster_rules(rules: DataFrame, thresholds: dict[str, float], k: int = RULE_
     rules = rules.drop("cluster")
     names = ["support_state", "confidence_state", "lift_state"]
     states = settle(with_states(rules, thresholds).groupBy(*names).agg(F.count("*").alias("n")))
-    total = states.agg(F.sum("n")).head()[0] or 0
+    total, distinct = states.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
     if total < MIN_RULES_TO_CLUSTER:
         return rules.withColumn("cluster", F.lit(""))
-    points = states.withColumn("features", array_to_vector(F.array(*[F.col(c).cast("double") for c in names])))
-    model = KMeans(k=k, seed=seed, weightCol="n").fit(points)
-    assigned = model.transform(points).select(*names, F.col("prediction").alias("__c"))
+    if distinct <= k:
+        # No more states than clusters: each state is its own cluster.
+        assigned = states.select(*names, F.concat_ws(".", *names).alias("__c"))
+    else:
+        points = states.withColumn("features", array_to_vector(F.array(*[F.col(c).cast("double") for c in names])))
+        model = KMeans(k=k, seed=seed, weightCol="n").fit(points)
+        assigned = model.transform(points).select(*names, F.col("prediction").alias("__c"))
     grouped = with_states(rules, thresholds).join(assigned, names).drop(*names)
     titles = (
         grouped.groupBy("__c")

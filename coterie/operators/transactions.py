@@ -77,7 +77,7 @@ def profiles(panel: DataFrame) -> DataFrame:
         complete(panel)
         .groupBy("target", "other")
         .agg(F.count("*").alias("n"))
-        .withColumn("items", F.array_sort(F.array_distinct(F.concat(_items("target"), _items("other")))))
+        .withColumn("items", F.sort_array(F.array_distinct(F.concat(_items("target"), _items("other")))))
         .withColumn(
             "attrs",
             F.array_distinct(

@@ -64,7 +64,7 @@ def _classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _joined(entries: str | Column) -> Column:
-    return F.array_join(F.array_sort(F.transform(entries, lambda x: C.item(x["attr"], x["value"]))), " & ")
+    return F.array_join(F.sort_array(F.transform(entries, lambda x: C.item(x["attr"], x["value"]))), " & ")
 
 
 def _shown(rules: DataFrame, *extra: str) -> DataFrame:
@@ -84,10 +84,10 @@ def observations_long(spark: SparkSession, d: str) -> DataFrame:
 def _transaction_text(df: DataFrame) -> DataFrame:
     pairs = F.transform(F.map_entries("target"), lambda e: C.item(e["key"], e["value"]))
     lists = F.transform(
-        F.map_entries("other"), lambda e: F.concat(e["key"], F.lit(":"), F.array_join(F.array_sort(e["value"]), "|"))
+        F.map_entries("other"), lambda e: F.concat(e["key"], F.lit(":"), F.array_join(F.sort_array(e["value"]), "|"))
     )
     return df.select(
-        "id", F.array_join(F.array_sort(pairs), " & ").alias("target"), F.array_join(F.array_sort(lists), " & ").alias("other")
+        "id", F.array_join(F.sort_array(pairs), " & ").alias("target"), F.array_join(F.sort_array(lists), " & ").alias("other")
     )
 
 

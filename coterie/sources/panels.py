@@ -72,7 +72,9 @@ def _rows(df: DataFrame, spec: PanelSpec, name: str, is_entity: bool) -> DataFra
     if target and status:
         attr = C.clean(F.col(target), types[target])
         value = C.clean(F.col(status), types[status])
-        cell = F.struct(attr.alias("attr"), (-C.severity_rank(value)).alias("order"), value.alias("value"))
+        # The digit in front sorts the most severe status of a test first.
+        mark = F.concat((9 - C.severity_rank(value)).cast("string"), value)
+        cell = F.struct(attr.alias("attr"), mark.alias("mark"))
         out.append(F.when(attr.isNotNull() & value.isNotNull(), cell).alias("target"))
     for c in attribute_columns(df, spec, name):
         out.append(C.clean(F.col(c), types[c]).alias(PREFIX + c.lower()))
@@ -86,7 +88,7 @@ def _rows(df: DataFrame, spec: PanelSpec, name: str, is_entity: bool) -> DataFra
 def _cells(column: str) -> Column:
     """A set of values as sorted (attr, value) entries."""
     name = F.lit(column[len(PREFIX):])
-    return F.transform(F.array_sort(column), lambda v: F.struct(name.alias("attr"), v.alias("value")))
+    return F.transform(F.sort_array(column), lambda v: F.struct(name.alias("attr"), v.alias("value")))
 
 
 def panels(sources: Mapping[str, DataFrame], spec: PanelSpec = PanelSpec()) -> DataFrame:
@@ -124,12 +126,14 @@ def panels(sources: Mapping[str, DataFrame], spec: PanelSpec = PanelSpec()) -> D
 
     pair = "struct<attr:string,value:string>"
     if "target" in grouped.columns:
-        by_severity = grouped.withColumn("target", F.array_sort("target"))
+        by_severity = grouped.withColumn("target", F.sort_array("target"))
         first = F.filter(
             "target",
             lambda x, i: ~F.coalesce(F.get(F.col("target"), i - 1)["attr"] == x["attr"], F.lit(False)),
         )
-        target = F.transform(first, lambda x: F.struct(x["attr"].alias("attr"), x["value"].alias("value")))
+        target = F.transform(
+            first, lambda x: F.named_struct(F.lit("attr"), x["attr"], F.lit("value"), F.substring(x["mark"], 2, 1 << 30))
+        )
     else:
         by_severity, target = grouped, F.array()
     other = F.concat(*[_cells(c) for c in sorted(attrs)]) if attrs else F.array()
