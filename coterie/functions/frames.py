@@ -36,11 +36,26 @@ def settle(df: DataFrame) -> DataFrame:
     Cuts lineage, survives lost executors, and gives later joins true sizes.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark).rstrip('/')}/coterie/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _app_dir(spark: SparkSession) -> str:
+    return f"{work_dir(spark).rstrip('/')}/coterie/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession) -> str:
+    """A fresh path below this application's part of the shared folder."""
+    return f"{_app_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def forget_settled(spark: SparkSession) -> None:
+    """Delete every table this application has settled; frames read from them end with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_app_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Number rows 1..n in the given order without sending them to one task.
 

@@ -9,6 +9,7 @@ from coterie.functions import columns as C
 from coterie.functions.frames import scalar_of
 
 KEY = ["antecedent_key", "consequent_key"]
+SALTS = 16
 
 
 def rule_counts(rules: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -39,10 +40,13 @@ def rule_counts(rules: DataFrame, profiles: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(F.coalesce("found", F.lit(0)).alias("found"), "attr")).alias("p"))
         .select("rule_attrs", F.col("p.attr").alias("pivot"))
     )
-    sets = wanted.join(pivot, "rule_attrs")
+    # A panel has few attributes, so each is met in several salted parts.
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    sets = wanted.join(pivot, "rule_attrs").withColumn("salt", F.explode(salts))
+    salt = F.pmod(F.xxhash64("items"), F.lit(SALTS)).cast("int")
     cells = (
-        profiles.select("attrs", "items", "n", F.explode("attrs").alias("pivot"))
-        .join(sets, "pivot")
+        profiles.select("attrs", "items", "n", salt.alias("salt"), F.explode("attrs").alias("pivot"))
+        .join(sets, ["pivot", "salt"])
         .where(C.contains_all(F.col("attrs"), F.col("rule_attrs")))
         .groupBy("rule_attrs", F.sort_array(F.array_intersect("items", "wanted")).alias("cell"))
         .agg(F.sum("n").alias("n"))

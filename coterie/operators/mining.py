@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coterie.functions import columns as C
-from coterie.functions.frames import settle
+from coterie.functions.frames import ranked, settle
 from coterie.operators.transactions import MIN_TRANSACTIONS
 
 RULES_LIMIT = 2_000_000
+SHORT_LIST = 10_000
 ITEMSETS = "items array<string>, item_key string, freq bigint, n_baskets bigint"
 
 
@@ -96,8 +97,14 @@ def select_rules(rules: DataFrame, lift_threshold: float, consequents: Sequence[
 
 
 def top_rules(rules: DataFrame, limit: int = RULES_LIMIT) -> DataFrame:
-    """The first rules in rule order."""
-    return rules.orderBy(*rule_order()).limit(limit)
+    """The first rules in rule order.
+
+    A short list is taken as such; a long one is cut by rank, so that the rules
+    stay spread over the tasks.
+    """
+    if limit <= SHORT_LIST:
+        return rules.orderBy(*rule_order()).limit(limit)
+    return ranked(rules, rule_order(), "__place").where(F.col("__place") <= limit).drop("__place")
 
 
 def with_antecedent(rules: DataFrame, attributes: Sequence[str]) -> DataFrame:

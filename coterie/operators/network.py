@@ -177,55 +177,50 @@ def _shortest_paths(adjacent: DataFrame) -> list[DataFrame]:
         levels.append(reached)
 
 
-def _dependencies(adjacent: DataFrame, levels: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Summed dependencies of nodes and of edges over all sources."""
-    below = levels[-1].withColumn("delta", F.lit(0.0))
-    node_parts, edge_parts = [], []
-    for upper in reversed(levels[:-1]):
-        flow = (
-            below.select("source", F.col("node").alias("low"), F.col("sigma").alias("low_sigma"), "delta")
-            .join(adjacent, F.col("low") == F.col("dst"))
-            .join(upper.withColumnRenamed("node", "src"), ["source", "src"])
-            .select("source", F.col("src").alias("node"), "low", "sigma",
-                    (F.col("sigma") / F.col("low_sigma") * (1 + F.col("delta"))).alias("share"))
-        )
-        flow = settle(flow)
-        edge_parts.append(flow.select("node", "low", "share"))
-        gained = flow.groupBy("source", "node").agg(F.sum("share").alias("delta"))
-        below = upper.join(gained, ["source", "node"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0)))
-        below = settle(below)
-        node_parts.append(below.where(F.col("source") != F.col("node")).select("node", "delta"))
-    schema_nodes = levels[0].select("node", F.lit(0.0).alias("delta"))
-    total = schema_nodes
-    for part in node_parts:
-        total = total.unionByName(part)
-    edges = edge_parts[0]
-    for part in edge_parts[1:]:
-        edges = edges.unionByName(part)
+def _flows(adjacent: DataFrame, lower: DataFrame, upper: DataFrame) -> DataFrame:
+    """Dependency passed from each node to its predecessors one level nearer the source."""
     return (
-        total.groupBy("node").agg(F.sum("delta").alias("delta")),
-        edges.groupBy(F.least("node", "low").alias("src"), F.greatest("node", "low").alias("dst"))
-        .agg(F.sum("share").alias("share")),
+        lower.select("source", F.col("node").alias("low"), F.col("sigma").alias("low_sigma"), "delta")
+        .join(adjacent, F.col("low") == F.col("dst"))
+        .join(upper.withColumnRenamed("node", "src"), ["source", "src"])
+        .select("source", F.col("src").alias("node"), "low",
+                (F.col("sigma") / F.col("low_sigma") * (1 + F.col("delta"))).alias("share"))
     )
 
 
+def _gained(flow: DataFrame, upper: DataFrame) -> DataFrame:
+    sums = flow.groupBy("source", "node").agg(F.sum("share").alias("delta"))
+    return upper.join(sums, ["source", "node"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0)))
+
+
 def betweenness(edges: DataFrame) -> DataFrame:
     """`node, betweenness`: unweighted shortest-path betweenness, normalised."""
     adjacent = _both_ways(edges)
     levels = _shortest_paths(adjacent)
-    deltas, _ = _dependencies(adjacent, levels)
+    lower = levels[-1].withColumn("delta", F.lit(0.0))
+    total = levels[0].select("node", F.lit(0.0).alias("delta"))
+    for upper in reversed(levels[:-1]):
+        lower = settle(_gained(_flows(adjacent, lower, upper), upper))
+        total = total.unionByName(lower.where(F.col("source") != F.col("node")).select("node", "delta"))
     n = levels[0].count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    return deltas.select("node", (F.col("delta") * scale).alias("betweenness"))
+    return total.groupBy("node").agg((F.sum("delta") * scale).alias("betweenness"))
 
 
 def edge_betweenness(edges: DataFrame) -> DataFrame:
     """`src, dst, betweenness` of the edges, normalised by the number of node pairs."""
     adjacent = _both_ways(edges)
     levels = _shortest_paths(adjacent)
-    _, shares = _dependencies(adjacent, levels)
+    lower = levels[-1].withColumn("delta", F.lit(0.0))
+    total = None
+    for upper in reversed(levels[:-1]):
+        flow = settle(_flows(adjacent, lower, upper))
+        total = flow if total is None else total.unionByName(flow)
+        lower = _gained(flow, upper)
     n = levels[0].count()
-    return shares.select("src", "dst", (F.col("share") / (n * (n - 1))).alias("betweenness"))
+    return total.groupBy(F.least("node", "low").alias("src"), F.greatest("node", "low").alias("dst")).agg(
+        (F.sum("share") / (n * (n - 1))).alias("betweenness")
+    )
 
 
 # ---- communities ------------------------------------------------------------

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,7 +14,7 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit, TrainValid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coterie.functions.frames import bounded_names, scalar_of, work_dir
+from coterie.functions.frames import bounded_names, new_path, scalar_of
 from coterie.operators.transactions import feature_rows
 
 NULL_THRESHOLD = 0.3
@@ -91,7 +90,7 @@ class Tree:
 
     def nodes(self, spark) -> DataFrame:
         """The saved model's node table."""
-        path = f"{work_dir(spark).rstrip('/')}/coterie/tree-{uuid.uuid4().hex}"
+        path = new_path(spark)
         self.model.stages[-1].write().save(path)
         return spark.read.parquet(f"{path}/data")
 

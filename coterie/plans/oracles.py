@@ -420,6 +420,14 @@ def oracle_sql() -> dict[str, str]:
                 array_to_string(list_transform(ant, lambda x: split_part(x, ':', 1) || '=' ||
                   CASE split_part(x, ':', 2) WHEN 'resistant' THEN '3' WHEN 'intermediate' THEN '2' ELSE '?' END), ' & ') AS features FROM chosen)
           SELECT antecedent_key, features, label, weight, CAST(unnest(range(1, weight + 1)) AS INTEGER) AS copy FROM w WHERE weight > 0""",
+        "rules_refined": f"""{rar_sql},
+          kept AS (SELECT m.*, c.ant, c.con FROM measured m JOIN chosen c USING (antecedent_key, consequent_key) WHERE real_support >= {Q.REAL_SUPPORT}),
+          pruned AS (SELECT * FROM kept r WHERE NOT EXISTS (SELECT 1 FROM kept c WHERE c.con = r.con AND len(c.ant) < len(r.ant)
+                     AND list_has_all(r.ant, c.ant) AND round(c.lift, 12) >= round(r.lift, 12))),
+          numbered AS (SELECT *, row_number() OVER (ORDER BY {RULE_ORDER}) AS rank FROM pruned)
+          SELECT 'run_' || min(rank) AS rule_id, antecedent_key, string_agg(con, ' & ' ORDER BY con) AS consequent_key,
+                 {", ".join(f"round(min({m}), 9) AS {m}" for m in ("support", "confidence", "lift", "real_support", "real_lift"))}
+          FROM numbered GROUP BY antecedent_key""",
         "net_target_target": f"WITH {network()} SELECT src, dst, {_rounded(['support', 'lift'])} FROM tt",
         "net_target_attribute": f"WITH {network()} SELECT src, dst, {_rounded(['support', 'lift'])} FROM ta",
         "net_target_attribute_lists": f"WITH {network(attrs=('serotype',), activity=True)} SELECT src, dst, {_rounded(['support', 'lift'])} FROM ta",

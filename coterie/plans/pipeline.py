@@ -18,6 +18,8 @@ from coterie.sources.sinks import rule_table, with_metadata
 def mine(panel: DataFrame, spec: RunSpec) -> DataFrame:
     """Association rules of the panel's baskets."""
     baskets = transactions.empty_cell_filter(transactions.baskets(panel, spec.focus), spec.empty_cell_threshold)
+    if spec.transaction_limit:
+        baskets = transactions.capped_baskets(baskets, spec.transaction_limit)
     itemsets = mining.frequent_itemsets(baskets, spec.support, spec.min_transactions)
     return mining.association_rules(itemsets, spec.confidence)
 
@@ -102,7 +104,7 @@ def run(
     shown = charts.rules_to_show(numbered, spec.show_antecedent, spec.show_consequent)
     node_class = charts.node_classes(shown, classes, spec.grouping, spec.hidden, spec.title_changes)
     edges = charts.chart_edges(shown, spec.weight, spec.hidden, spec.title_changes)
-    sampling = spec.panel.condition
+    held = spec.panel.holdout_condition or f"{spec.panel.holdout_fraction} of ids held out"
     out = {
         "rules": with_metadata(
             rule_table(final),
@@ -110,7 +112,10 @@ def run(
                 "data_sources": ", ".join(sources),
                 "correlation_target": spec.panel.target,
                 "focus": ", ".join(spec.focus),
-                "sampling_condition": sampling,
+                "sampling_condition": spec.panel.condition,
+                "test_condition": held,
+                "interested_antecedent": ", ".join(spec.antecedents) or "All",
+                "interested_consequent": ", ".join(spec.consequents) or "All",
                 "cohorts": ", ".join(spec.panel.cohorts) or "All Cohorts",
                 "parameters": ", ".join(f"{k}: {v}" for k, v in spec.thresholds.items()),
             },

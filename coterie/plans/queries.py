@@ -19,6 +19,7 @@ from coterie.sources.standin import SPLIT_YEAR
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.2
 MIN_LIFT = 1.0
+REAL_SUPPORT = 0.02
 THRESHOLDS = {"support": MIN_SUPPORT, "confidence": MIN_CONFIDENCE, "lift": MIN_LIFT}
 CHANGE_LIMITS = {"real_support": 0.03, "support": 0.01, "confidence": 0.2, "lift": 1.0}
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -252,11 +253,23 @@ def rule_weighted_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("antecedent_key", features.alias("features"), "label", "weight", "copy")
 
 
-def run_rules(spark: SparkSession, d: str) -> DataFrame:
-    spec = RunSpec(
-        "run", P.PanelSpec(excluded=RULE_ATTRS), support=MIN_SUPPORT, real_support=0.02, confidence=MIN_CONFIDENCE,
-        lift=MIN_LIFT, real_measures=True, prune=True, combine=True,
+def _run_spec(cluster: bool) -> RunSpec:
+    return RunSpec(
+        "run", P.PanelSpec(excluded=RULE_ATTRS), support=MIN_SUPPORT, real_support=REAL_SUPPORT,
+        confidence=MIN_CONFIDENCE, lift=MIN_LIFT, real_measures=True, prune=True, combine=True, cluster=cluster,
     )
+
+
+def rules_refined(spark: SparkSession, d: str) -> DataFrame:
+    spec = _run_spec(cluster=False)
+    panel = settle(P.panels(standin.sources(spark, d), spec.panel))
+    _, final = pipeline.refined(pipeline.mine(panel, spec), settle(T.profiles(panel)), spec)
+    shown = [F.round(m, 9).alias(m) for m in refine.MEASURES]
+    return final.select("rule_id", "antecedent_key", "consequent_key", *shown)
+
+
+def run_rules(spark: SparkSession, d: str) -> DataFrame:
+    spec = _run_spec(cluster=True)
     panel = settle(P.panels(standin.sources(spark, d), spec.panel))
     _, final = pipeline.refined(pipeline.mine(panel, spec), settle(T.profiles(panel)), spec)
     shown = [F.round(m, 9).alias(m) for m in refine.MEASURES]
@@ -318,6 +331,10 @@ def net_modularity_by_class(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.round("modularity", 9).alias("modularity"), "communities")
 
 
+def net_fluid_communities(spark: SparkSession, d: str) -> DataFrame:
+    return network.fluid_communities(_edges(spark, d, bipartite=True), k=3)
+
+
 def net_communities(spark: SparkSession, d: str) -> DataFrame:
     return network.greedy_communities(_edges(spark, d, bipartite=True))
 
@@ -539,9 +556,9 @@ REGISTRY: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     report_serotype_share, frequent_itemsets, association_rules, rules_topn, rules_by_consequent,
     rules_by_antecedent, rules_one_to_one, rules_by_cohort, rule_rar_support, rule_rar_lift, rule_cross_support,
     rules_pruned, rules_combined, rule_states, rule_clusters, rule_numbers, rule_attributes, rule_weighted_rows,
-    run_rules, net_target_target, net_target_attribute, net_target_attribute_lists, net_attribute_attribute,
+    rules_refined, run_rules, net_target_target, net_target_attribute, net_target_attribute_lists, net_attribute_attribute,
     net_edges, net_strength, net_degree, net_betweenness, net_clustering_coefficient, net_modularity_by_class,
-    net_communities, report_rule_change, report_rule_summary, report_rule_type, report_network_change, chart_edges,
+    net_communities, net_fluid_communities, report_rule_change, report_rule_summary, report_rule_type, report_network_change, chart_edges,
     chart_grouped_nodes, chart_measures, chart_filtered_rules, chart_chord_links, chart_chord_nodes,
     chart_arrow_labels, profile_status, profile_attributes, cluster_ward, cluster_merge_tree, cluster_sizes,
     cluster_profiles, cluster_top5, hamming_pairs, tree_rows, test_rows, tree_null_filter, tree_imputed,

@@ -37,6 +37,7 @@ class RunSpec:
     antecedents: tuple[str, ...] = ()
     consequents: tuple[str, ...] = ()
     rules_limit: int = RULES_LIMIT
+    transaction_limit: int | None = None
     min_transactions: int = MIN_TRANSACTIONS
     empty_cell_threshold: float = EMPTY_CELL_THRESHOLD
     # charts

@@ -60,6 +60,7 @@ def same(df, con, sql):
 def main(argv):
     import __spark_entry__ as entry
     from bench import session
+    from coterie.functions.frames import forget_settled
 
     sf = argv[1] if len(argv) > 1 else "sf0.01"
     sf_dir = f"/root/testdata/{sf}"
@@ -78,6 +79,7 @@ def main(argv):
                 rows, problems = df.count(), []
         except Exception as e:  # report and go on with the next query
             rows, problems = -1, [f"{type(e).__name__}: {str(e)[:1500]}"]
+        forget_settled(spark)
         bad += bool(problems)
         mark = "FAIL" if problems else ("ok" if n in oracle else "rows")
         print(f"{mark:5}{n:30}{rows:8}{time.time() - t:8.1f}s {' '.join(problems)}", flush=True)
