@@ -31,8 +31,11 @@ def rule_counts(rules: DataFrame, profiles: DataFrame) -> DataFrame:
         .groupBy("rule_attrs")
         .agg(F.sort_array(F.collect_set("item")).alias("wanted"))
     )
-    # Meet on the attribute of the set that the fewest profiles have.
-    spread = profiles.select(F.explode("attrs").alias("attr")).groupBy("attr").agg(F.count("*").alias("found"))
+    # Which sets a panel holds is settled once per distinct list of attributes,
+    # meeting on the attribute of the set that the fewest lists have.
+    shapes = profiles.select("attrs").distinct()
+    parts = shapes.select("attrs", F.explode("attrs").alias("pivot"))
+    spread = parts.groupBy(F.col("pivot").alias("attr")).agg(F.count("*").alias("found"))
     pivot = (
         wanted.select("rule_attrs", F.explode("rule_attrs").alias("attr"))
         .join(spread, "attr", "left")
@@ -40,15 +43,17 @@ def rule_counts(rules: DataFrame, profiles: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(F.coalesce("found", F.lit(0)).alias("found"), "attr")).alias("p"))
         .select("rule_attrs", F.col("p.attr").alias("pivot"))
     )
-    # A panel has few attributes, so each is met in several salted parts.
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    sets = wanted.join(pivot, "rule_attrs").withColumn("salt", F.explode(salts))
+    held = (
+        parts.join(wanted.join(pivot, "rule_attrs"), "pivot")
+        .where(C.contains_all(F.col("attrs"), F.col("rule_attrs")))
+        .select("attrs", "rule_attrs", "wanted", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    )
+    # One list of attributes may belong to most panels, so it is met in salted parts.
     salt = F.pmod(F.xxhash64("items"), F.lit(SALTS)).cast("int")
     cells = (
-        profiles.select("attrs", "items", "n", salt.alias("salt"), F.explode("attrs").alias("pivot"))
-        .join(sets, ["pivot", "salt"])
-        .where(C.contains_all(F.col("attrs"), F.col("rule_attrs")))
-        .groupBy("rule_attrs", F.sort_array(F.array_intersect("items", "wanted")).alias("cell"))
+        profiles.select("attrs", "items", "n", salt.alias("salt"))
+        .join(held, ["attrs", "salt"])
+        .groupBy("rule_attrs", F.array_intersect("items", "wanted").alias("cell"))
         .agg(F.sum("n").alias("n"))
     )
     has_x = C.contains_all(F.col("cell"), F.col("antecedent"))

@@ -78,6 +78,7 @@ def target_attribute(profiles: DataFrame, positive: str = C.POSITIVE) -> DataFra
             F.sum(F.when(F.col("first") & F.col("pos"), F.col("n")).otherwise(0)).alias("t_pos"),
         )
     )
+    rows = settle(rows)  # used twice; as wide as the vocabulary
     totals = rows.groupBy("src", "attr").agg(F.sum("t_n").alias("total"), F.sum("t_pos").alias("n1"))
     return rows.join(totals, ["src", "attr"]).select(
         F.lit("target_other").alias("kind"), "src", C.item(F.col("attr"), F.col("value")).alias("dst"),
@@ -103,6 +104,7 @@ def attribute_attribute(profiles: DataFrame) -> DataFrame:
             F.sum(F.when(F.col("a.first") & F.col("b.first"), F.col("n")).otherwise(0)).alias("c"),
         )
     )
+    rows = settle(rows)  # used four times; as wide as the vocabulary
     pair = ["attr1", "attr2"]
     totals = rows.groupBy(*pair).agg(F.sum("c").alias("total"))
     first = rows.groupBy(*pair, "value1").agg(F.sum("c1").alias("n1"))
