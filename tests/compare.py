@@ -29,13 +29,9 @@ def canonical(columns, rows):
     def cell(v):
         if v is None:
             return "~"
-        if isinstance(v, bool):
-            return str(v)
-        if isinstance(v, (int, float)):
-            if isinstance(v, float) and math.isnan(v):
-                return "nan"
-            return f"{float(v):.6f}"
-        return str(v)
+        if isinstance(v, float):
+            return "nan" if math.isnan(v) else repr(v + 0.0)
+        return f"{type(v).__name__} {v}"
 
     return [columns[i] for i in order], sorted("|".join(cell(r[i]) for i in order) for r in rows)
 
