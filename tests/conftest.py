@@ -13,6 +13,8 @@ def spark():
     session = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "2")
+        # Small inputs: compiling each stage would take longer than running it.
+        .config("spark.sql.codegen.wholeStage", os.environ.get("TEST_CODEGEN", "false"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")

@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from coterie.functions.frames import settle
 from coterie.operators import clusters as K
@@ -38,17 +37,17 @@ def naive_ward(points):
 @pytest.fixture(scope="module")
 def points():
     rng = random.Random(4)
-    return [([rng.random() * 10 for _ in range(3)], float(rng.randint(1, 5))) for _ in range(60)]
+    return [([rng.random() * 10 for _ in range(3)], float(rng.randint(1, 5))) for _ in range(36)]
 
 
-@pytest.mark.parametrize("last,block", [(1000, 1000), (10, 16), (1, 1000)])
+@pytest.mark.parametrize("last,block", [(1000, 1000), (10, 12)])
 def test_ward_heights(spark, points, last, block):
     df = spark.createDataFrame([(f"p{i:02}", w, c) for i, (c, w) in enumerate(points)], "node string, size double, centre array<double>")
     merges = K.ward_merges(df, last, block)
     got = sorted(r.d2 for r in merges.collect())
     assert got == pytest.approx(naive_ward(points), rel=1e-6)
     assigned = K.cut_tree(df, merges, 4).collect()
-    assert len(assigned) == 60 and {r.cluster for r in assigned} == {0, 1, 2, 3}
+    assert len(assigned) == 36 and {r.cluster for r in assigned} == {0, 1, 2, 3}
     heights = [r.distance for r in K.merge_tree(merges).orderBy("step").collect()]
     assert heights == sorted(heights)
 
@@ -62,7 +61,7 @@ def test_ward_cut_does_not_depend_on_the_blocks(spark, points):
             out.setdefault(r.cluster, set()).add(r.node)
         return sorted(map(sorted, out.values()))
 
-    assert groups(1000, 1000) == groups(8, 20)
+    assert groups(1000, 1000) == groups(12, 20)
 
 
 def test_ward_separates_plain_groups(spark):
@@ -169,4 +168,3 @@ def test_depth_search(spark):
     labelled = settle(T.labelled_rows(panel(spark, rows), domains={"s": ["x", "y"]}))
     model = tree.prune_search(labelled, depths=(2, 3), gains=(0.001,))
     assert len(model.validationMetrics) == 2
-    assert F is not None
