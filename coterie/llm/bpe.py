@@ -87,6 +87,7 @@ class Coder:
         if data["model"]["type"] != "BPE" or data["model"].get("end_of_word_suffix") != WORD_END or kind != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("the vocabulary file must be of the kind with word ends and lower case")
         self._content, self._library = content, None
+        self._assigned: set[str] = set()
         vocab: dict[str, int] = data["model"]["vocab"]
         special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self._special = special
@@ -123,6 +124,7 @@ class Coder:
                 self._length[i] = len(text)
                 self._automaton.add_word(text, (len(text), i))
         self._automaton.make_automaton()
+        self._own, self._widest = own, max(map(len, own))
         self._shorter: dict[int, int] = {}
         for text, i in own.items():
             cut = len(text) - 1
@@ -189,29 +191,34 @@ class Coder:
         text = (word if word.isascii() else word.encode().decode("latin-1")) + _END
         known = self._follows
         # longest matches from left to right; often each may follow the one before
-        covered, before, out = 0, -1, []
+        at, before, out = 0, -1, []
         for _, (length, token) in self._automaton.iter_long(text):
             if before >= 0 and not (known.get(before << 32 | token) or self._fits(before, token)):
+                self._backtrack(text, out, at, self._shorter[token])
                 break
             out.append(token)
-            covered += length
+            at += length
             before = token
-        if covered != len(text):
-            out = self._backtracked(text)
+        else:
+            if at < len(text):  # the word's end alone is no token
+                self._backtrack(text, out, at, -1)
         return b"".join([self._packed[t] for t in out])
 
-    def _backtracked(self, text: str) -> list[int]:
+    def _longest(self, text: str, at: int) -> int:
+        for to in range(min(len(text), at + self._widest), at, -1):
+            token = self._own.get(text[at:to])
+            if token is not None:
+                return token
+        return -1
+
+    def _backtrack(self, text: str, out: list[int], at: int, token: int) -> None:
+        """Complete `out`, which covers the text up to `at`; `token` is the next to try there."""
         size = len(text)
-        longest = [-1] * size
-        for end, (length, token) in self._automaton.iter(text):
-            longest[end - length + 1] = token  # ends ascend, so the longest comes last
         length_of, shorter, known = self._length, self._shorter, self._follows
-        open_at = [True] * (size + 1)
-        out: list[int] = []
-        at, token = 0, longest[0]
+        closed = set()
         while at < size:
             while token >= 0:
-                if open_at[at + length_of[token]] and (
+                if at + length_of[token] not in closed and (
                     not out or known.get(out[-1] << 32 | token) or self._fits(out[-1], token)
                 ):
                     break
@@ -219,13 +226,12 @@ class Coder:
             if token >= 0:
                 out.append(token)
                 at += length_of[token]
-                token = longest[at] if at < size else -1
+                token = self._longest(text, at)
             else:
-                open_at[at] = False
+                closed.add(at)
                 token = out.pop()
                 at -= length_of[token]
                 token = shorter[token]
-        return out
 
     def _encode_chunk(self, chunk: str) -> bytes:
         """Ids of text without white space."""
@@ -243,12 +249,16 @@ class Coder:
                 return self._words[chunk]
             if chunk[:-1].isalpha():  # a letter word and one mark
                 return self._words[chunk[:-1]] + self._words[chunk[-1]]
-        elif any(unicodedata.category(c) == "Cn" for c in chunk):
+        elif not self._assigned.issuperset(chunk) and not self._all_assigned(chunk):
             return b"".join(map(self._words.__getitem__, self._newer(chunk)))
         else:
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
         return b"".join(map(self._words.__getitem__, SPLIT.findall(chunk)))
 
+    def _all_assigned(self, chunk: str) -> bool:
+        self._assigned.update(c for c in chunk if unicodedata.category(c) != "Cn")
+        return self._assigned.issuperset(chunk)
+
     def _newer(self, chunk: str) -> list[str]:
         """Words of text with characters that this Python's Unicode tables lack, by the library's newer ones."""
         from tokenizers import Tokenizer

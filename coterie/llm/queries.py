@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coterie.llm import chat, quality
+from coterie.functions.frames import new_path
+from coterie.llm import bpe, chat, mixture, quality, tokenfiles
 
 SCHEMAS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
@@ -39,6 +40,27 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = tokenfiles.write_packed(table(spark, sf_dir, "documents"), new_path(spark))
+    return packed.select(
+        "sequence_id",
+        "n_tokens",
+        "cu_seqlens",
+        "doc_ids",
+        "starts",
+        F.crc32("input_ids").alias("ids_crc32"),
+        F.crc32("position_ids").alias("positions_crc32"),
+    )
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(table(spark, sf_dir, "documents"))
 
