@@ -10,9 +10,9 @@ similarity reaches 0.8. The result is one row per document with its component.
    Frequent tokens are counted over all documents; their list has a proven bound
    (`FREQUENT` entries). Sets that share such a token form a block; equal blocks count
    once.
-3. In each block every set is compared with the block's first one; verified links
-   give first components. That takes a number of comparisons in proportion to the
-   block, and settles nearly all links of near copies.
+3. In each block every set is compared with the block's first one and with the one
+   after it; verified links give first components. That takes a number of comparisons
+   in proportion to the block, and settles nearly all links of near copies.
 4. What is left are pairs across components within a block. Each block gets a tree:
    a leaf is a set's bitmap of tokens and its size, a node the OR of its children's
    bitmaps, the range of their sizes and their fewest bits. The tree is traversed
@@ -79,25 +79,42 @@ def _set_id(tokens: np.ndarray) -> int:
     return int(mixed(np.array([mixed(tokens).sum(dtype=np.uint64) + np.uint64(len(tokens))])).astype(np.int64)[0])
 
 
-def _bitmap(tokens: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(tokens % np.uint64(BITS)).astype(np.int64)] = 1
+def _bitmap(tokens: np.ndarray, width: int = BITS) -> bytes:
+    bits = np.zeros(width, np.uint8)
+    bits[(tokens % np.uint64(width)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def _wide(tokens: np.ndarray) -> bytes:
+    """A bitmap of at least four bits a token; the width is a power of two, so that it can be folded."""
+    return _bitmap(tokens, max(BITS, 1 << (4 * len(tokens) - 1).bit_length()))
+
+
+def most_common(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
+    """An upper bound of two sets' overlap from their wide bitmaps."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    common = int(np.bitwise_count(x & y).sum(dtype=np.int64))
+    bits_a, bits_b = (int(np.bitwise_count(z).sum(dtype=np.int64)) for z in (x, y))
+    return min(n_a - (bits_a - common), n_b - (bits_b - common))
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """`doc_id, n_shingles, set_id, bitmap`; no set id for the empty set."""
+    """`doc_id, n_shingles, set_id, bitmap, wide`; no set id for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(len(s), _set_id(s) if len(s) else None, _bitmap(s) if len(s) else None) for s in shingle_sets(batch.column("text"))]
-            n, ids, maps = zip(*out, strict=True) if out else ((), (), ())
+            out = [(len(s), *((_set_id(s), _bitmap(s), _wide(s)) if len(s) else (None, None, None))) for s in shingle_sets(batch.column("text"))]
+            n, ids, maps, wide = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(maps, pa.binary())],
-                ["doc_id", "n_shingles", "set_id", "bitmap"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(maps, pa.binary()), pa.array(wide, pa.binary())],
+                ["doc_id", "n_shingles", "set_id", "bitmap", "wide"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, bitmap binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, bitmap binary, wide binary")
 
 
 def _by_bucket(tokens: np.ndarray, parts: int, *beside: np.ndarray) -> Iterator[tuple]:
@@ -250,7 +267,7 @@ def linked_candidates(bitmaps: np.ndarray, n: np.ndarray, part: np.ndarray) -> I
 def across_components(rows: DataFrame) -> DataFrame:
     """`a, b`: pairs of sets that may link, from `block, set_id, part, n, bitmap` rows sorted by block in each task."""
 
-    def pairs(block: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(block: list[pa.RecordBatch]) -> Iterator[np.ndarray]:
         t = pa.Table.from_batches(block)
         ids, part, n = (t.column(c).to_numpy() for c in ("set_id", "part", "n"))
         order = np.lexsort((ids, n, part))  # like sets side by side, so that nodes are tight
@@ -258,9 +275,25 @@ def across_components(rows: DataFrame) -> DataFrame:
         ids, part = ids[order], np.unique(part[order], return_inverse=True)[1]
         for a, b in linked_candidates(maps, n[order], part):
             x, y = ids[a], ids[b]
-            yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            yield np.stack([np.minimum(x, y), np.maximum(x, y)])
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs as batches; of a pair met in several blocks of a task one is kept, as far as the buffer reaches."""
+        found, size = [], 0
+        for p in run(batches):
+            found.append(p)
+            size += p.shape[1]
+            if size > 1 << 20:
+                found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+                size = found[0].shape[1]
+                if size > 1 << 19:
+                    yield pa.record_batch([pa.array(found[0][0]), pa.array(found[0][1])], ["a", "b"])
+                    found, size = [], 0
+        if found:
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             block = batch.column("block").to_numpy()
@@ -275,11 +308,25 @@ def across_components(rows: DataFrame) -> DataFrame:
         if held:
             yield from pairs(held)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(once, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs `a, b` whose whole texts' sets reach the similarity."""
+    """The pairs `a, b` whose whole texts' sets reach the similarity.
+
+    Wide bitmaps drop nearly all others before any text moves.
+    """
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("wide_a", "wide_b", "n_a", "n_b")), strict=True)
+            keep = pa.array([k for k, r in enumerate(rows) if most_common(*r) >= _needed(r[2] + r[3])], pa.int64())
+            yield pa.record_batch([batch.column(c).take(keep) for c in ("a", "b")], ["a", "b"])
+
+    for end in ("a", "b"):
+        beside = sets.select(F.col("set_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("wide").alias(f"wide_{end}"))
+        pairs = pairs.join(beside, end)
+    pairs = settle(pairs.select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(possible, "a long, b long"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = settle(wanted.join(sets.select("set_id", "doc"), "set_id"))
     texts = settle(wanted.join(docs, wanted["doc"] == docs["doc_id"]).select("set_id", "text").dropDuplicates(["set_id"]))
@@ -335,16 +382,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = settle(described(docs))
     total = found.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).head()[0]
     sets = found.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(
-        F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap")
+        F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide")
     )
     sets = settle(sets)
     block = settle(blocks(docs, frequent_tokens(docs, total, parts), parts))
 
-    def first_against_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def star_and_chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [np.frombuffer(m.as_py(), np.int64) for m in batch.column("members")]
-            a = np.concatenate([np.full(len(x) - 1, x[0]) for x in lists]) if lists else np.zeros(0, np.int64)
-            b = np.concatenate([x[1:] for x in lists]) if lists else a
+            a = np.concatenate([c for x in lists for c in (np.full(len(x) - 1, x[0]), x[1:-1])]) if lists else np.zeros(0, np.int64)
+            b = np.concatenate([c for x in lists for c in (x[1:], x[2:])]) if lists else a
             yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,8 +409,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             keep = pa.array(np.flatnonzero(leaves.may_link(at, at + batch.num_rows)))
             yield pa.record_batch([batch.column(c).take(keep) for c in ("a", "b")], ["a", "b"])
 
-    # links of each block's first set
-    star = block.mapInArrow(first_against_rest, "a long, b long").distinct()
+    # links of each block's first set, and of neighbours in it
+    star = block.mapInArrow(star_and_chain, "a long, b long").distinct()
     star = star.join(sets.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("map_a")), "a")
     star = star.join(sets.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("map_b")), "b")
     star = settle(star.select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(possible, "a long, b long"))
@@ -379,7 +426,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed_blocks = member.groupBy("block").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
     rows = member.join(mixed_blocks.select("block"), "block", "left_semi").join(sets.select("set_id", "n", "bitmap"), "set_id")
     rows = rows.select("block", "set_id", "part", "n", "bitmap").repartition(parts, "block").sortWithinPartitions("block")
-    rest = settle(across_components(rows).join(star, ["a", "b"], "left_anti").distinct())
+    rest = settle(across_components(rows).distinct())
     links = links.unionByName(verified(rest, sets, docs))
 
     last = components(links)
