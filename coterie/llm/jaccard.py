@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -264,36 +265,39 @@ def linked_candidates(bitmaps: np.ndarray, n: np.ndarray, part: np.ndarray) -> I
             stack.append((depth - 1, a2[k : k + 256], b2[k : k + 256]))
 
 
+def earlier_blocks(block: int, lists: pa.ListArray) -> np.ndarray:
+    """A bit per block before this one that two of its sets are in as well; a row per set."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    counts = np.asarray(pa.compute.list_value_length(lists))
+    of, found = np.repeat(np.arange(len(lists)), counts), lists.flatten().to_numpy()
+    of, found = of[found < block], found[found < block]
+    _, column, shared = np.unique(found, return_inverse=True, return_counts=True)
+    several = shared > 1
+    of, column = of[several[column]], (np.cumsum(several) - 1)[column[several[column]]]
+    bits = np.zeros((len(lists), np.count_nonzero(several) // 64 + 1), np.uint64)
+    np.bitwise_or.at(bits, (of, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+    return bits
+
+
 def across_components(rows: DataFrame) -> DataFrame:
-    """`a, b`: pairs of sets that may link, from `block, set_id, part, n, bitmap` rows sorted by block in each task."""
+    """`a, b`: pairs of sets that may link, from `block, set_id, part, n, bitmap, blocks` rows sorted by block in each task.
+
+    `blocks` lists all blocks of a set. A pair comes from the first block that both are in.
+    """
 
-    def pairs(block: list[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    def pairs(block: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(block)
         ids, part, n = (t.column(c).to_numpy() for c in ("set_id", "part", "n"))
         order = np.lexsort((ids, n, part))  # like sets side by side, so that nodes are tight
         maps = np.frombuffer(b"".join(t.column("bitmap").to_pylist()), np.uint64).reshape(len(ids), -1)[order]
+        seen = earlier_blocks(t.column("block")[0].as_py(), t.column("blocks"))[order]
         ids, part = ids[order], np.unique(part[order], return_inverse=True)[1]
         for a, b in linked_candidates(maps, n[order], part):
-            x, y = ids[a], ids[b]
-            yield np.stack([np.minimum(x, y), np.maximum(x, y)])
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs as batches; of a pair met in several blocks of a task one is kept, as far as the buffer reaches."""
-        found, size = [], 0
-        for p in run(batches):
-            found.append(p)
-            size += p.shape[1]
-            if size > 1 << 20:
-                found = [np.unique(np.concatenate(found, axis=1), axis=1)]
-                size = found[0].shape[1]
-                if size > 1 << 19:
-                    yield pa.record_batch([pa.array(found[0][0]), pa.array(found[0][1])], ["a", "b"])
-                    found, size = [], 0
-        if found:
-            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+            new = ~(seen[a] & seen[b]).any(axis=1)
+            x, y = ids[a[new]], ids[b[new]]
+            yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             block = batch.column("block").to_numpy()
@@ -308,7 +312,7 @@ def across_components(rows: DataFrame) -> DataFrame:
         if held:
             yield from pairs(held)
 
-    return rows.mapInArrow(once, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -424,9 +428,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     member = settle(member)
     mixed_blocks = member.groupBy("block").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
-    rows = member.join(mixed_blocks.select("block"), "block", "left_semi").join(sets.select("set_id", "n", "bitmap"), "set_id")
-    rows = rows.select("block", "set_id", "part", "n", "bitmap").repartition(parts, "block").sortWithinPartitions("block")
-    rest = settle(across_components(rows).distinct())
+    rows = member.join(mixed_blocks.select("block"), "block", "left_semi")
+    rows = rows.groupBy("set_id").agg(F.first("part").alias("part"), F.collect_list("block").alias("blocks"))
+    rows = rows.join(sets.select("set_id", "n", "bitmap"), "set_id")
+    rows = rows.select(F.explode("blocks").alias("block"), "set_id", "part", "n", "bitmap", "blocks")
+    rest = settle(across_components(rows.repartition(parts, "block").sortWithinPartitions("block")))
     links = links.unionByName(verified(rest, sets, docs))
 
     last = components(links)
