@@ -81,7 +81,7 @@ class _Words(dict):
 class Coder:
     """Encodes and decodes with one vocabulary; see the module's text."""
 
-    def __init__(self, content: bytes, bound: int = 1_000_000):
+    def __init__(self, content: bytes, bound: int = 500_000):
         data = json.loads(content)
         kind = [n["type"] for n in data["normalizer"]["normalizers"]]
         if data["model"]["type"] != "BPE" or data["model"].get("end_of_word_suffix") != WORD_END or kind != ["NFC", "Replace", "Lowercase"]:
@@ -181,7 +181,7 @@ class Coder:
         key = left << 32 | right
         fits = self._follows.get(key)
         if fits is None:
-            if len(self._follows) >= 1_000_000:
+            if len(self._follows) >= 300_000:
                 self._follows.clear()
             fits = self._follows[key] = self._may_follow(left, right)
         return fits
