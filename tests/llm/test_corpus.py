@@ -143,7 +143,7 @@ def test_cascade_verdict_does_not_depend_on_order(docs):
 
 def test_encoder_equals_merges(coder, library):
     rnd = random.Random(1)
-    letters = "abcdeéèthinganor'<|>019 .,-!\x1ć İΣßﬁ漢字"
+    letters = "abcdeéèthinganor'<|>019 .,-!\x1c\u0107 İΣßﬁ漢字"
     pieces = [n.replace("</w>", "") for n in library.get_vocab()]
     for k in range(4000):
         text = "".join(rnd.choices(letters, k=25)) if k % 3 else "".join(rnd.choices(pieces, k=5))
