@@ -117,7 +117,7 @@ def percent_change(before: Column, after: Column) -> Column:
 def marked_percent(change: Column, limit: float) -> Column:
     """Truncated percentage text, starred beyond the limit."""
     mark = F.when(F.abs(change) > limit, F.lit("* ")).otherwise(F.lit(""))
-    return F.concat(mark, change.cast("int").cast("string"), F.lit(" %"))
+    return F.concat(mark, change.try_cast("bigint").cast("string"), F.lit(" %"))
 
 
 def percent_value(text: Column) -> Column:

@@ -199,7 +199,7 @@ LABELS = "labels AS (SELECT id, attr AS label_attr, attr || ':' || value AS labe
 
 def labelled(domain: bool, attrs: tuple[str, ...], activity: bool = False, test: bool | None = None) -> str:
     """CTEs `labels` and `features(id, label, feature, value)`."""
-    held = f"CAST('0x' || substr(md5(CAST(id AS VARCHAR) || ':4'), 1, 8) AS BIGINT) % 10000 < {int(Q.HOLDOUT * 10000)}"
+    held = f"CAST('0x' || substr(md5(CAST(id AS VARCHAR) || ':4'), 1, 8) AS BIGINT) % 10000 < {round(Q.HOLDOUT * 10000)}"
     part = "TRUE" if test is None else (held if test else f"NOT ({held})")
     keep = "TRUE" if test else "value IN ('resistant', 'intermediate')"
     numeric = "regexp_full_match(value, '-?([0-9]+\\.?[0-9]*|\\.[0-9]+)')"
@@ -378,7 +378,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT id, size FROM s WHERE size / (SELECT greatest(max(size), 1) FROM s) + CAST(0.6 AS DOUBLE) >= 1""",
         "holdout_condition": f"WITH {ISOLATES} SELECT id, year = 2001 AS is_test FROM isolates",
         "holdout_percent": f"""WITH {ISOLATES}
-          SELECT id, CAST('0x' || substr(md5(CAST(id AS VARCHAR) || ':4'), 1, 8) AS BIGINT) % 10000 < {int(Q.HOLDOUT * 10000)} AS is_test FROM isolates""",
+          SELECT id, CAST('0x' || substr(md5(CAST(id AS VARCHAR) || ':4'), 1, 8) AS BIGINT) % 10000 < {round(Q.HOLDOUT * 10000)} AS is_test FROM isolates""",
         "distinct_ids_capped": f"WITH {ISOLATES} SELECT DISTINCT id FROM isolates WHERE year < {SPLIT_YEAR} ORDER BY id LIMIT 1000",
         "class_dimension": f"WITH {TESTS}, {CLASSES} SELECT * FROM classes",
         "ordinal_features": f"WITH {labelled(False, ('serotype', 'year'))} SELECT * FROM features",

@@ -120,7 +120,7 @@ def panels(sources: Mapping[str, DataFrame], spec: PanelSpec = PanelSpec()) -> D
     if spec.holdout_condition.strip():
         is_test = F.coalesce(F.col("held"), F.lit(False))
     elif spec.holdout_fraction > 0:
-        is_test = hash_bucket(F.col("id"), spec.holdout_seed) < F.lit(int(spec.holdout_fraction * 10000))
+        is_test = hash_bucket(F.col("id"), spec.holdout_seed) < F.lit(round(spec.holdout_fraction * 10000))
     else:
         is_test = F.lit(False)
 
