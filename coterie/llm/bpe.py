@@ -16,8 +16,12 @@ others are left out of the automaton.
 Decoding lays every token's text in one buffer and finds it by an offset table.
 
 The vocabulary file is read on the driver from the path given, and sent to the
-executors; it has a fixed size (about 2 MB). Words are kept in a bounded table per
-Python worker, which changes the speed only.
+executors; it has a fixed size (about 2 MB). Texts are cut into words a slice at a time
+on their bytes, and equal words of a slice, told by a 64-bit hash, are encoded once.
+Words are kept in a bounded table per Python worker as well, which changes the speed
+only. Texts with special strings, or with characters other than ASCII and letters
+below U+0300 (nothing there joins with what precedes it), take the plain way word by
+word.
 
 Defined cases: null text counts as empty and has no ids; special strings in a
 text become their ids; repeated rows are encoded each for itself; an empty table
@@ -31,7 +35,7 @@ import hashlib
 import json
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -39,12 +43,24 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from coterie.llm.words import hashes_of
+
 #: The vocabulary's splitting pattern and its mark for a word's end.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 WORD_END = "</w>"
 
 _END = "Ā"
 _SLICE = 1 << 20
+_SLICE_BYTES = 4 << 20
+_SPACE, _LETTER, _DIGIT, _MARK = range(4)
+#: Class of each byte in the texts that are cut on their bytes; there, bytes above 0x7F belong to letters.
+_CLASS = np.array(
+    [
+        _SPACE if b == 32 or 9 <= b <= 13 else _LETTER if b >= 128 or chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _MARK
+        for b in range(256)
+    ],
+    np.uint8,
+)
 
 
 def default_path() -> str:
@@ -81,13 +97,14 @@ class _Words(dict):
 class Coder:
     """Encodes and decodes with one vocabulary; see the module's text."""
 
-    def __init__(self, content: bytes, bound: int = 500_000):
+    def __init__(self, content: bytes, bound: int = 250_000):
         data = json.loads(content)
         kind = [n["type"] for n in data["normalizer"]["normalizers"]]
         if data["model"]["type"] != "BPE" or data["model"].get("end_of_word_suffix") != WORD_END or kind != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("the vocabulary file must be of the kind with word ends and lower case")
         self._content, self._library = content, None
         self._assigned: set[str] = set()
+        self._simple = {c for c in map(chr, range(0x300)) if c.isascii() or regex.match(r"\p{L}", c) and regex.fullmatch(r"\p{L}", c.lower())}
         vocab: dict[str, int] = data["model"]["vocab"]
         special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self._special = special
@@ -132,8 +149,11 @@ class Coder:
                 cut -= 1
             self._shorter[i] = own[text[:cut]] if cut else -1
         self._packed = [struct.pack("<I", i) for i in range(len(self._names))]
-        self._words = _Words(self._encode_word, bound // 2)
-        self._chunks = _Words(self._encode_chunk, bound)
+        self._words = _Words(self._encode_word, bound // 4)
+        self._chunks = _Words(self._encode_chunk, bound // 4)
+        self._bound = bound
+        self._recent: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
         self.width = 2 if len(self._names) <= 1 << 16 else 4
         self._spelling = _Spelling(self._names)
         self._decimals = _Spelling([str(i) for i in range(len(self._names))])
@@ -276,6 +296,78 @@ class Coder:
             return b"".join(self._chunks[c] for c in chunks if c)
         return b"".join(map(self._chunks.__getitem__, text.split()))
 
+    def encode_all(self, values: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, in order."""
+        held: list[str] = []
+        size = 0
+        for text in values:
+            if (text.isascii() or self._simple.issuperset(text)) and "<|" not in text and len(text) <= _SLICE_BYTES:
+                held.append(text)
+                size += len(text)
+                if size >= _SLICE_BYTES:
+                    yield from self._encode_slice(held)
+                    held, size = [], 0
+            else:
+                yield from self._encode_slice(held)
+                held, size = [], 0
+                yield np.frombuffer(self.encode(text), "<u4")
+        yield from self._encode_slice(held)
+
+    def _of_units(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit of text, kept in two bounded tables: a full one is held until the next is full."""
+        recent, before = self._recent, self._before
+        found = [recent.get(u) for u in units]
+        missing = [k for k, f in enumerate(found) if f is None]
+        unknown = []
+        for k in missing:
+            found[k] = before.get(units[k])
+            if found[k] is None:
+                unknown.append(k)
+        for k, ids in zip(unknown, self._encode_units([units[k] for k in unknown]), strict=True):
+            found[k] = ids
+        if len(recent) + len(missing) > self._bound:
+            self._before, self._recent = recent, {}
+        self._recent.update((units[k], found[k]) for k in missing)
+        return found
+
+    def _encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids of units that are in no table."""
+        return [self._encode_unit(u) for u in units]
+
+    def _encode_unit(self, unit: str) -> bytes:
+        return self._encode_word(unit) if unit.isascii() and unit.isalpha() else self._plain(unit)
+
+    def _encode_slice(self, values: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each of some texts without special strings, whose characters are all simple."""
+        raw = [t.encode() for t in values]
+        blob = b"".join(raw)
+        data = np.frombuffer(blob, np.uint8)
+        offsets = np.cumsum([0, *map(len, raw)])
+        kind = _CLASS[data]
+        cut = np.ones(len(data) + 1, bool)
+        if len(data):
+            cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+            cut[offsets] = True
+            # an apostrophe that starts a run of marks and precedes a letter stays with it: 's, 't and so on
+            lone = np.flatnonzero((data[:-1] == ord("'")) & cut[:-2] & (kind[1:] == _LETTER))
+            cut[lone + 1] = False
+            cut[offsets] = True
+        bounds = np.flatnonzero(cut)
+        words = np.flatnonzero(kind[bounds[:-1]] != _SPACE)
+        starts, ends = bounds[words], bounds[words + 1]
+        _, first, which = np.unique(hashes_of(data, starts, ends), return_index=True, return_inverse=True)
+        folded = blob.lower()
+        found = self._of_units([folded[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        each = np.array([len(f) // 4 for f in found], np.int64)
+        ids = np.frombuffer(b"".join(found), "<u4")
+        count = each[which]
+        stop = np.cumsum(count)
+        at = np.repeat((np.cumsum(each) - each)[which] - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)
+        out = ids[at]
+        upto = np.concatenate([[0], stop])[np.searchsorted(starts, offsets)]
+        for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+            yield out[a:b]
+
     def decode(self, ids: np.ndarray) -> Iterator[bytes]:
         """UTF-8 of the decoded text, in slices."""
         return self._spelling.of(ids)
@@ -285,6 +377,29 @@ class Coder:
         return self._decimals.of(ids)
 
 
+class LibraryCoder(Coder):
+    """The same ids, with new words of plain letters merged by the tokenizers library."""
+
+    def __init__(self, content: bytes, bound: int = 250_000):
+        from tokenizers import Tokenizer
+
+        super().__init__(content, bound)
+        self._tokenizer = Tokenizer.from_str(content.decode())
+        self._tokenizer.no_truncation()
+        self._tokenizer.no_padding()
+        self._ends = np.array([name.endswith(WORD_END) for name in self._names])
+
+    def _encode_units(self, units: list[str]) -> list[bytes]:
+        plain = [u for u in units if u.isalpha()]  # simple letters: one word each
+        found: dict[str, bytes] = {}
+        for k in range(0, len(plain), 4096):
+            words = plain[k : k + 4096]
+            ids = np.array(self._tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            raw, ends = ids.tobytes(), ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
+            found.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True))
+        return [found[u] if u in found else self._encode_unit(u) for u in units]
+
+
 class _Spelling:
     """Texts of ids, each after a space, found by an offset table."""
 
@@ -305,22 +420,22 @@ class _Spelling:
             yield out[1:] if k == 0 else out
 
 
-_coders: dict[bytes, Coder] = {}
+_coders: dict[tuple[bytes, type[Coder]], Coder] = {}
 
 
 class Vocabulary:
     """A vocabulary file's content for the executors; small and of fixed size."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, kind: type[Coder] = Coder):
         with open(path or default_path(), "rb") as f:
             content = f.read()
-        self._key = hashlib.sha256(content).digest()
+        self._key = hashlib.sha256(content).digest(), kind
         self._content = spark.sparkContext.broadcast(content)
 
     def coder(self) -> Coder:
         """The coder of this Python worker."""
         if self._key not in _coders:
-            _coders[self._key] = Coder(self._content.value)
+            _coders[self._key] = self._key[1](self._content.value)
         return _coders[self._key]
 
 
@@ -336,7 +451,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocabulary.coder()
         for batch in batches:
-            ids = [coder.encode(t) for t in texts(batch)]
+            ids = [i.tobytes() for i in coder.encode_all(texts(batch))]
             counts = pa.array([len(i) // 4 for i in ids], pa.int64())
             yield pa.record_batch([batch.column("doc_id"), counts, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
@@ -370,8 +485,7 @@ def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         coder = vocabulary.coder()
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
-            for text in texts(batch):
-                ids = np.frombuffer(coder.encode(text), "<u4")
+            for ids in coder.encode_all(texts(batch)):
                 counts.append(len(ids))
                 ids_sha.append(digest(coder.decimal(ids)))
                 text_sha.append(digest(coder.decode(ids)))

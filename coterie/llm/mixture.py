@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coterie.functions.frames import settle
-from coterie.llm.bpe import Vocabulary, texts
+from coterie.llm.bpe import LibraryCoder, Vocabulary, texts
 
 LENGTH = 4096
 END_ID = 2
@@ -55,7 +55,7 @@ def token_table(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
     `part, queue, ahead, doc_id, n, ids`; `ahead` counts the tokens before it there.
     Written to the shared folder, so that places stay as they are.
     """
-    vocabulary = Vocabulary(docs.sparkSession, path)
+    vocabulary = Vocabulary(docs.sparkSession, path, LibraryCoder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocabulary.coder()
@@ -64,8 +64,8 @@ def token_table(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
         for batch in batches:
             queues = [q or "" for q in batch.column("queue").to_pylist()]
             ids, ahead, counts = [], [], []
-            for text, queue in zip(texts(batch), queues, strict=True):
-                ids.append(np.frombuffer(coder.encode(text), "<u4").astype(kind).tobytes() + end)
+            for found, queue in zip(coder.encode_all(texts(batch)), queues, strict=True):
+                ids.append(found.astype(kind).tobytes() + end)
                 counts.append(len(ids[-1]) // coder.width)
                 ahead.append(seen[queue])
                 seen[queue] += counts[-1]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from coterie.llm.bpe import Vocabulary, texts
+from coterie.llm.bpe import LibraryCoder, Vocabulary, texts
 
 LENGTH = 4096
 END_ID = 2
@@ -89,7 +89,7 @@ def pack_documents(
     docs: DataFrame, length: int = LENGTH, path: str | None = None, end_id: int = END_ID, buffer: int = BUFFER
 ) -> DataFrame:
     """Packed rows, see the module's text; ids take as many bytes as the vocabulary needs."""
-    vocabulary = Vocabulary(docs.sparkSession, path)
+    vocabulary = Vocabulary(docs.sparkSession, path, LibraryCoder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocabulary.coder()
@@ -125,8 +125,8 @@ def pack_documents(
         held: list[Piece] = []
         tokens = 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                ids = np.append(np.frombuffer(coder.encode(text), "<u4"), end_id).astype(kind)
+            for doc, found in zip(batch.column("doc_id").to_pylist(), coder.encode_all(texts(batch)), strict=True):
+                ids = np.append(found, end_id).astype(kind)
                 held += [(doc, s, ids[s : s + length]) for s in range(0, len(ids), length)]
                 tokens += len(ids)
                 if tokens >= buffer:

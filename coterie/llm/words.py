@@ -68,11 +68,16 @@ def _slice(data: np.ndarray, offsets: np.ndarray, of_word: np.ndarray) -> tuple[
     right[offsets] = False
     starts = np.flatnonzero(inside & ~left[:n])
     ends = np.flatnonzero(inside & ~right[1:]) + 1
+    return np.searchsorted(starts, offsets), hashes_of(data, starts, ends)
+
+
+def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the spans of some bytes; A-Z count as a-z."""
+    n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_LOWER[data] * _power(_BASE, n), out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * _power(_INVERSE, n + 1)[starts]
-    hashes = mixed(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return np.searchsorted(starts, offsets), hashes
+    return mixed(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
