@@ -51,7 +51,7 @@ WORD_END = "</w>"
 
 _END = "Ā"
 _SLICE = 1 << 20
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 2 << 20
 _SPACE, _LETTER, _DIGIT, _MARK = range(4)
 #: Class of each byte in the texts that are cut on their bytes; there, bytes above 0x7F belong to letters.
 _CLASS = np.array(
