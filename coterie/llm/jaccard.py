@@ -49,6 +49,7 @@ BITS = 2048
 FREQUENT = 1 << 20
 OFTEN = 64  # a token in more documents than this may count as frequent
 FANOUT = 16
+COUNTED = np.uint64(1 << 62)  # tokens below it are counted
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -127,31 +128,37 @@ def _by_bucket(tokens: np.ndarray, parts: int, *beside: np.ndarray) -> Iterator[
         yield int(k), tokens[at].tobytes(), *[x[at].tobytes() for x in beside]
 
 
+def _keys(tokens: np.ndarray) -> np.ndarray:
+    """Keys of a sorted set's tokens in the lowest quarter of the hash range."""
+    return (tokens[: np.searchsorted(tokens, COUNTED)] >> np.uint64(30)).astype(np.uint32)
+
+
 def frequent_tokens(docs: DataFrame, total: int, parts: int) -> np.ndarray:
-    """Sorted tokens that stand in many documents, `FREQUENT` at most.
+    """Sorted keys of tokens that stand in many documents, `FREQUENT` at most.
 
     Only tokens below a quarter of the hash range are counted: the order takes rare
     tokens by their hash, so others are hardly ever among the first fifth of a set.
+    A key is the upper 32 bits of such a token. Tokens that share one share their
+    place in the order, which any two sets see alike.
     """
     often = max(OFTEN, -(-total // FREQUENT))
-    limit = np.uint64(1 << 62)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s[: np.searchsorted(s, limit)] for s in shingle_sets(batch.column("text"))]
+            sets = [_keys(s) for s in shingle_sets(batch.column("text"))]
             rows = list(_by_bucket(np.concatenate(sets), parts)) if sets else []
             if rows:
                 bucket, blob = zip(*rows, strict=True)
                 yield pa.record_batch([pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "tokens"])
 
     def count(table: pa.Table) -> pa.Table:
-        tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint64)
+        tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint32)
         found, n = np.unique(tokens, return_counts=True)
         return pa.table({"token": pa.array(found[n > often].astype(np.int64))})
 
     counted = docs.mapInArrow(run, "bucket int, tokens binary").groupBy("bucket").applyInArrow(count, "token long")
     found = counted.toArrow().column("token").to_numpy()  # at most total / often
-    return np.sort(found.astype(np.uint64))
+    return np.sort(found.astype(np.uint32))
 
 
 def blocks(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
@@ -167,8 +174,9 @@ def blocks(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
                     continue
                 size = prefix_size(len(s))
                 if len(often):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    heavy = often[at] == s
+                    keys = _keys(s)
+                    heavy = np.zeros(len(s), bool)
+                    heavy[: len(keys)] = often[np.minimum(np.searchsorted(often, keys), len(often) - 1)] == keys
                     first = np.concatenate([s[~heavy][:size], s[heavy][: max(0, size - np.count_nonzero(~heavy))]])
                 else:
                     first = s[:size]
@@ -282,7 +290,7 @@ def earlier_blocks(block: int, lists: pa.ListArray) -> np.ndarray:
 def across_components(rows: DataFrame) -> DataFrame:
     """`a, b`: pairs of sets that may link, from `block, set_id, part, n, bitmap, blocks` rows sorted by block in each task.
 
-    `blocks` lists all blocks of a set. A pair comes from the first block that both are in.
+    `blocks` lists the set's blocks before this one. A pair comes from the first block that both are in.
     """
 
     def pairs(block: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,7 +439,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = member.join(mixed_blocks.select("block"), "block", "left_semi")
     rows = rows.groupBy("set_id").agg(F.first("part").alias("part"), F.collect_list("block").alias("blocks"))
     rows = rows.join(sets.select("set_id", "n", "bitmap"), "set_id")
-    rows = rows.select(F.explode("blocks").alias("block"), "set_id", "part", "n", "bitmap", "blocks")
+    rows = rows.withColumn("blocks", F.array_sort("blocks")).select(
+        F.posexplode("blocks").alias("before", "block"), "set_id", "part", "n", "bitmap", "blocks"
+    )
+    rows = rows.withColumn("blocks", F.slice("blocks", 1, F.col("before"))).drop("before")
     rest = settle(across_components(rows.repartition(parts, "block").sortWithinPartitions("block")))
     links = links.unionByName(verified(rest, sets, docs))
 
