@@ -385,3 +385,15 @@ def test_pipeline(spark):
     assert {r.doc_id for r in rows} == set(part.values())
     sizes = {r.doc_id: r.doc_tokens for r in rows}
     tiles([(r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in rows], sizes, 4096)
+
+
+def test_slices_give_the_ids_of_single_words():
+    with open(bpe.default_path(), "rb") as f:
+        content = f.read()
+    parts = [*"aAbsStTrReEvVmMlLdD''''  \t\n\x1c\x0012,.&<|>Éé߀İıªº²ςΣʰ́", "'s", "'re", "<|startoftext|>", "<|endoftext|>"]
+    pick = random.Random(7)
+    cases = ["", " ", "'d'", "ok 's"] + ["".join(pick.choices(parts, k=pick.randrange(14))) for _ in range(5000)]
+    plain = bpe.Coder(content)
+    expected = [plain.encode(t) for t in cases]
+    for kind in (bpe.Coder, bpe.LibraryCoder):
+        assert [ids.tobytes() for ids in kind(content, bound=50).encode_all(cases)] == expected
