@@ -43,6 +43,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from coterie.llm.memory import lean
 from coterie.llm.words import hashes_of
 
 #: The vocabulary's splitting pattern and its mark for a word's end.
@@ -51,7 +52,7 @@ WORD_END = "</w>"
 
 _END = "Ā"
 _SLICE = 1 << 20
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 1 << 20
 _SPACE, _LETTER, _DIGIT, _MARK = range(4)
 #: Class of each byte in the texts that are cut on their bytes; there, bytes above 0x7F belong to letters.
 _CLASS = np.array(
@@ -455,7 +456,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
             counts = pa.array([len(i) // 4 for i in ids], pa.int64())
             yield pa.record_batch([batch.column("doc_id"), counts, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return _narrow(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return _narrow(docs).mapInArrow(lean(run), "doc_id long, n_tokens long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -468,7 +469,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
             out = [b"".join(coder.decode(np.frombuffer(i.as_py() or b"", "<u4"))).decode() for i in batch.column("ids")]
             yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(encoded["doc_id"], encoded["ids"]).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(encoded["doc_id"], encoded["ids"]).mapInArrow(lean(run), "doc_id long, text string")
 
 
 def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -494,7 +495,7 @@ def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return _narrow(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _narrow(docs).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _narrow(docs: DataFrame) -> DataFrame:

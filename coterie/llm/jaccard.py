@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coterie.functions.frames import settle
+from coterie.llm.memory import lean
 from coterie.llm.words import NOT_SPACE, grams, hashed_words, mixed
 
 WORDS = 5
@@ -116,7 +117,7 @@ def described(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_shingles", "set_id", "bitmap", "wide"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, bitmap binary, wide binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, set_id long, bitmap binary, wide binary")
 
 
 def _by_bucket(tokens: np.ndarray, parts: int, *beside: np.ndarray) -> Iterator[tuple]:
@@ -156,7 +157,7 @@ def frequent_tokens(docs: DataFrame, total: int, parts: int) -> np.ndarray:
         found, n = np.unique(tokens, return_counts=True)
         return pa.table({"token": pa.array(found[n > often].astype(np.int64))})
 
-    counted = docs.mapInArrow(run, "bucket int, tokens binary").groupBy("bucket").applyInArrow(count, "token long")
+    counted = docs.mapInArrow(lean(run), "bucket int, tokens binary").groupBy("bucket").applyInArrow(count, "token long")
     found = counted.toArrow().column("token").to_numpy()  # at most total / often
     return np.sort(found.astype(np.uint32))
 
@@ -205,7 +206,7 @@ def blocks(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
             "members": pa.array([sets[starts[k] : ends[k]].tobytes() for k in keep], pa.binary()),
         })
 
-    packed = docs.mapInArrow(run, "bucket int, tokens binary, sets binary")
+    packed = docs.mapInArrow(lean(run), "bucket int, tokens binary, sets binary")
     return packed.groupBy("bucket").applyInArrow(group, "block long, members binary").dropDuplicates(["block"])
 
 
@@ -320,7 +321,7 @@ def across_components(rows: DataFrame) -> DataFrame:
         if held:
             yield from pairs(held)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -338,7 +339,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         beside = sets.select(F.col("set_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("wide").alias(f"wide_{end}"))
         pairs = pairs.join(beside, end)
-    pairs = settle(pairs.select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(possible, "a long, b long"))
+    pairs = settle(pairs.select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(lean(possible), "a long, b long"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = settle(wanted.join(sets.select("set_id", "doc"), "set_id"))
     texts = settle(wanted.join(docs, wanted["doc"] == docs["doc_id"]).select("set_id", "text").dropDuplicates(["set_id"]))
@@ -358,7 +359,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
                     keep.append(k)
             yield pa.record_batch([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -422,15 +423,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(c).take(keep) for c in ("a", "b")], ["a", "b"])
 
     # links of each block's first set, and of neighbours in it
-    star = block.mapInArrow(star_and_chain, "a long, b long").distinct()
+    star = block.mapInArrow(lean(star_and_chain), "a long, b long").distinct()
     star = star.join(sets.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("map_a")), "a")
     star = star.join(sets.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("map_b")), "b")
-    star = settle(star.select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(possible, "a long, b long"))
+    star = settle(star.select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(lean(possible), "a long, b long"))
     links = settle(verified(star, sets, docs))
     first = components(links)
 
     # links across components
-    member = block.select("block", "members").mapInArrow(members, "block long, set_id long")
+    member = block.select("block", "members").mapInArrow(lean(members), "block long, set_id long")
     member = member.join(first, member["set_id"] == first["node"], "left").select(
         "block", "set_id", F.coalesce("part", "set_id").alias("part")
     )

@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from coterie.functions.frames import settle
 from coterie.llm.bpe import LibraryCoder, Vocabulary, texts
+from coterie.llm.memory import lean
 
 LENGTH = 4096
 END_ID = 2
@@ -77,7 +78,7 @@ def token_table(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
 
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), docs["source"].alias("queue"))
     schema = "part long, queue string, ahead long, doc_id long, n long, ids binary"
-    return settle(rows.mapInArrow(run, schema))
+    return settle(rows.mapInArrow(lean(run), schema))
 
 
 class Schedule:
@@ -182,5 +183,5 @@ def pack(
     placed = table.join(counts.select("part", "queue", "base"), ["part", "queue"])
     placed = placed.select("doc_id", "queue", (F.col("base") + F.col("ahead")).alias("at"), "n", "ids")
     schema = ", ".join(f"{c} {'binary' if c == 'ids' else 'string' if c == 'source' else 'long'}" for c in kinds)
-    packed = placed.mapInArrow(run, schema)
+    packed = placed.mapInArrow(lean(run), schema)
     return packed if with_ids else packed.drop("ids")

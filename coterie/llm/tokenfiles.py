@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from coterie.llm.bpe import LibraryCoder, Vocabulary, texts
+from coterie.llm.memory import lean
 
 LENGTH = 4096
 END_ID = 2
@@ -138,7 +139,7 @@ def pack_documents(
         for k in range(0, len(rows), 512):
             yield record(rows[k : k + 512])
 
-    return docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def write_packed(docs: DataFrame, out: str, **settings) -> DataFrame:
