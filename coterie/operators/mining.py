@@ -14,8 +14,6 @@ from coterie.functions import columns as C
 from coterie.functions.frames import ranked, settle
 from coterie.operators.transactions import MIN_TRANSACTIONS
 
-RULES_LIMIT = 2_000_000
-SHORT_LIST = 10_000
 ITEMSETS = "items array<string>, item_key string, freq bigint, n_baskets bigint"
 
 
@@ -96,14 +94,13 @@ def select_rules(rules: DataFrame, lift_threshold: float, consequents: Sequence[
     return kept
 
 
-def top_rules(rules: DataFrame, limit: int = RULES_LIMIT) -> DataFrame:
-    """The first rules in rule order.
+def top_rules(rules: DataFrame, limit: int | None) -> DataFrame:
+    """The first rules in rule order; all of them without a limit.
 
-    A short list is taken as such; a long one is cut by rank, so that the rules
-    stay spread over the tasks.
+    The list is cut by rank, so that the rules stay spread over the tasks.
     """
-    if limit <= SHORT_LIST:
-        return rules.orderBy(*rule_order()).limit(limit)
+    if limit is None:
+        return rules
     return ranked(rules, rule_order(), "__place").where(F.col("__place") <= limit).drop("__place")
 
 

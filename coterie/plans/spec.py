@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 from coterie.functions import columns as C
 from coterie.operators.clusters import CLUSTERS
-from coterie.operators.mining import RULES_LIMIT
 from coterie.operators.network import LIFT_THRESHOLD, SUPPORT_THRESHOLD
 from coterie.operators.transactions import EMPTY_CELL_THRESHOLD, MIN_TRANSACTIONS
 from coterie.operators.tree import NULL_THRESHOLD
@@ -36,7 +35,7 @@ class RunSpec:
     by_cohort: bool = False
     antecedents: tuple[str, ...] = ()
     consequents: tuple[str, ...] = ()
-    rules_limit: int = RULES_LIMIT
+    rules_limit: int | None = None
     transaction_limit: int | None = None
     min_transactions: int = MIN_TRANSACTIONS
     empty_cell_threshold: float = EMPTY_CELL_THRESHOLD
