@@ -6,9 +6,10 @@ characters change class, how many distinct characters it has, how much of its le
 the corpus's dictionary covers, whether it looks like a part of a path, and whether
 neighbouring words announce a key. It is trained on findings labelled by `label`: by
 default known key shapes and announced keys are secrets; plain words, numbers and
-paths are none; a few fixed examples of both are always among them. Dictionary and
-training rows come from a bounded sample of documents (`SAMPLE_DOCS`, `TRAIN_ROWS`);
-every finding of every document is scored.
+paths are none; a few fixed examples of both are always among them. The dictionary
+counts every document: a word is in it if it stands alone, no letter or digit beside
+it, in `LEAST_DOCS` documents or more. Only the training rows are a bounded sample
+(`TRAIN_ROWS`), drawn by a hash of the row; every finding of every document is scored.
 
 Defined cases: null or empty text has no findings; texts are taken whole; repeated
 rows of a document give repeated findings; an empty table gives an empty result;
@@ -20,16 +21,15 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coterie.functions.frames import settle
 from coterie.llm.columns import bind, words_of
 
 SHORTEST = 16
-SAMPLE_DOCS = 20_000
 TRAIN_ROWS = 20_000
-DICTIONARY = 2_000  # words
+LEAST_DOCS = 2  # documents that a word of the dictionary is in, at least
 SEED = 11
 SHAPE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 ANNOUNCED = r"(?i)(key|token|secret|passw|pwd|credential|bearer|auth)"
@@ -73,37 +73,37 @@ def findings(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "w.*").select("doc_id", "place", F.explode(runs).alias("finding"), "word", "before")
 
 
-def dictionary(docs: DataFrame) -> list[str]:
-    """The commonest lower-case words of a bounded sample of documents; at most `DICTIONARY`."""
-    sample = docs.select(docs["text"].alias("text")).sample(0.1, SEED).limit(SAMPLE_DOCS)
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))))
-    counted = sample.select(word.alias("w")).groupBy("w").count()
-    return [r["w"] for r in counted.orderBy(F.desc("count"), "w").limit(DICTIONARY).collect()]
+def dictionary(docs: DataFrame) -> DataFrame:
+    """`w`: the lower-case words that stand alone in at least `LEAST_DOCS` documents, counted over all of them."""
+    alone = F.regexp_extract_all(F.lower(docs["text"]), F.lit("(?<![a-z0-9])[a-z]{3,}(?![a-z0-9])"), F.lit(0))
+    counted = docs.select(F.explode(F.array_distinct(alone)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return counted.filter(F.col("n") >= LEAST_DOCS).select("w")
 
 
-def with_features(found: DataFrame, common: list[str]) -> DataFrame:
+def with_features(found: DataFrame, common: DataFrame) -> DataFrame:
+    """The findings with `FEATURES`, without their words; `common` is the dictionary."""
     f = F.col("finding")
 
     def share(pattern: str) -> Column:
         return F.regexp_count(f, F.lit(pattern)) / F.length(f)
 
-    known = F.array(*[F.lit(w) for w in common]) if common else F.array().cast("array<string>")
-    runs = F.regexp_extract_all(F.lower(f), F.lit("[a-z]{3,}"), F.lit(0))
-    covered = F.aggregate(
-        F.filter(runs, lambda w: F.array_contains(known, w)), F.lit(0), lambda total, w: total + F.length(w)
-    )
-    return (
+    rows = (
         found.withColumn("length", F.length(f).cast("double"))
         .withColumn("digits", share("[0-9]"))
         .withColumn("uppers", share("[A-Z]"))
         .withColumn("marks", share("[+/_-]"))
         .withColumn("changes", share("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])|[a-z](?=[A-Z])"))
         .withColumn("variety", F.size(F.array_distinct(F.split(f, ""))) / F.length(f))
-        .withColumn("coverage", covered / F.length(f))
         .withColumn("path", F.col("word").rlike(r"/[^/]*/|://|\\").cast("double"))
         .withColumn("announced", (F.col("before").rlike(ANNOUNCED) | F.col("word").rlike(ANNOUNCED)).cast("double"))
         .withColumn("assigned", (F.col("word").rlike("[=:]['\"]?[A-Za-z0-9]") | F.col("before").rlike("[=:]$")).cast("double"))
+        .drop("word", "before")
     )
+    rows = settle(rows)
+    runs = F.regexp_extract_all(F.lower(f), F.lit("[a-z]{3,}"), F.lit(0))
+    parts = rows.select("finding").distinct().select("finding", F.explode(runs).alias("w"))
+    covered = parts.join(common, "w").groupBy("finding").agg(F.sum(F.length("w")).alias("covered"))
+    return rows.join(covered, "finding", "left").withColumn("coverage", F.coalesce("covered", F.lit(0)) / F.length(f)).drop("covered")
 
 
 def label(found: DataFrame) -> DataFrame:
@@ -116,14 +116,16 @@ def label(found: DataFrame) -> DataFrame:
     return found.withColumn("label", known).filter(F.col("label").isNotNull())
 
 
-def fit(spark: SparkSession, docs: DataFrame, common: list[str], labelled: DataFrame | None = None) -> RandomForestClassificationModel:
-    """The forest, from labelled findings with features, or from those `label` finds in a sample of documents."""
+def fit(labelled: DataFrame, common: DataFrame) -> RandomForestClassificationModel:
+    """The forest, from labelled findings with features; of more than `TRAIN_ROWS` those with the lowest hashes."""
+    spark = labelled.sparkSession
     seeds = spark.createDataFrame(EXAMPLES, "finding string, word string, before string, label int")
     seeds = with_features(seeds, common).select(F.col("label").cast("double"), *FEATURES)
-    if labelled is None:
-        sample = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).sample(0.1, SEED).limit(SAMPLE_DOCS)
-        labelled = label(with_features(findings(sample), common))
-    rows = settle(labelled.select("label", *FEATURES).limit(TRAIN_ROWS).unionByName(seeds).coalesce(1))
+    total = labelled.count()
+    order = F.xxhash64(*labelled.columns)
+    drawn = labelled.filter(F.pmod(order, F.lit(1 << 30)) <= F.lit((TRAIN_ROWS << 30) // max(total, 1)))
+    drawn = drawn.orderBy(F.pmod(order, F.lit(1 << 30)), order).limit(TRAIN_ROWS).select("label", *FEATURES)
+    rows = settle(drawn.unionByName(seeds).coalesce(1))
     positive = rows.agg(F.avg("label")).head()[0]
     rows = rows.withColumn("weight", F.when(F.col("label") == 1, 0.5 / positive).otherwise(0.5 / (1 - positive)))
     forest = RandomForestClassifier(numTrees=20, maxDepth=6, seed=SEED, featuresCol="vector", weightCol="weight")
@@ -132,9 +134,9 @@ def fit(spark: SparkSession, docs: DataFrame, common: list[str], labelled: DataF
 
 def secrets(docs: DataFrame, threshold: float = 0.5, labelled: DataFrame | None = None) -> DataFrame:
     """`doc_id, place, finding, score`: the findings that the forest takes for secrets."""
-    common = dictionary(docs)
-    model = fit(docs.sparkSession, docs, common, labelled)
-    found = with_features(findings(docs), common)
+    common = settle(dictionary(docs))
+    found = settle(with_features(findings(docs), common))
+    model = fit(label(found) if labelled is None else labelled, common)
     scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(found))
     score = F.round(vector_to_array("probability")[1], 6)
     return scored.select("doc_id", "place", "finding", score.alias("score")).filter(F.col("score") >= threshold)

@@ -296,6 +296,18 @@ def test_secrets_found_and_cut(spark, docs):
     assert not [r for r in cut.collect() if "AKIA" in (r.text or "") or "e3b0c44298fc1c149a" in (r.text or "")]
 
 
+def test_dictionary_counts_every_document(spark):
+    rows = [(k, "plain words only", "a") for k in range(300)]
+    rows += [(k, f"late source{k} wort{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}xyz q7zzz8", "z") for k in range(300, 400)]
+    rows += [(k, f"late source{k} wort{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}xyz q7zzz8", "z") for k in range(300, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    words = {r.w for r in secretscan.dictionary(docs).collect()}
+    late = {f"wort{a}{b}xyz" for a in "abcdefghij" for b in "klmnopqrst"}
+    assert words == {"plain", "words", "only", "late"} | late
+    found = spark.createDataFrame([("wortakxyz-wortakxyz-q9", "wortakxyz-wortakxyz-q9", "the")], "finding string, word string, before string")
+    assert secretscan.with_features(found, secretscan.dictionary(docs)).head().coverage == 18 / 22
+
+
 def tiles(pieces, sizes, whole):
     """Pieces (document, start, length, sequence, offset) cover each document once and each sequence without gaps."""
     per, seq = defaultdict(list), defaultdict(list)
