@@ -308,6 +308,24 @@ def test_dictionary_counts_every_document(spark):
     assert secretscan.with_features(found, secretscan.dictionary(docs)).head().coverage == 18 / 22
 
 
+def test_announced_secrets_of_any_length(spark):
+    hidden = {
+        1: ("log in with password=Tr0ub4dor3 today", "Tr0ub4dor3"),
+        2: ("my pwd: hunter2x, thanks", "hunter2x"),
+        3: ("api_key = 'k9!vq#2m$x1\\E' here", "k9!vq#2m$x1"),
+        4: ('{"user":"bob","token":"q1w2e3r4t5y6","n":1}', "q1w2e3r4t5y6"),
+        5: ("secret := a1b2c3d4.", "a1b2c3d4"),
+        6: ("passwd =z8y7x6", "z8y7x6"),
+    }
+    plain = {7: "the author: Johnson wrote it", 8: "monkey business and keynotes, password: to follow", 9: "no hunter2x here"}
+    rows = [(k, t) for k, (t, _) in hidden.items()] + list(plain.items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in secretscan.secrets(docs).collect()} == set(hidden)
+    cut = {r.doc_id: r.text for r in secretscan.redacted(docs).collect()}
+    assert not [k for k, (_, s) in hidden.items() if s in cut[k] or "[secret]" not in cut[k]]
+    assert all(cut[k] == t for k, t in plain.items()) and cut[2] == "my pwd: [secret], thanks"
+
+
 def tiles(pieces, sizes, whole):
     """Pieces (document, start, length, sequence, offset) cover each document once and each sequence without gaps."""
     per, seq = defaultdict(list), defaultdict(list)
