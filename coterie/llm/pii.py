@@ -4,8 +4,10 @@ The base patterns run on the text as it stands. Then transducers rewrite disguis
 each keeping for every character it puts out the source span it stands for: look-alike
 characters and digits become plain ones and invisible characters vanish; bracketed or
 spaced "at" and "dot" become `@` and `.`; runs of spelled digits become digits. The
-patterns run again on the result, and spans that hold a rewritten character are mapped
-back to the source. They are added; base spans stay.
+patterns run again on the result, and spans that hold a rewritten or dropped character
+are mapped back to the source. They are added unless a base span of the kind holds them;
+base spans stay. A spelled address may end in any domain ending, other than function
+words that are none.
 
 Every pattern is matched in time linear in the text: an address is found from its `@`,
 digit runs are entered at their first digit only.
@@ -102,10 +104,13 @@ DIGIT_WORDS = {
 
 _UNUSUAL = re.compile(f"[{''.join(LOOKALIKES)}{INVISIBLE}٠-٩۰-۹०-९！-～\U0001d400-\U0001d7ff]")
 _BRACKETED = re.compile(r"[ \t]?[\[({<][ \t]?(at|dot|plus)[ \t]?[\])}>][ \t]?", re.I)
-_TOP = "com|org|net|edu|gov|info|io|dev|ai|app|biz|co|uk|us|eu|de|fr|es|it|nl|ch|at|be|pl|se|jp|cn|in|br|ru"
+_BRACKET = re.compile(r"[\[({<][ \t]?(?:at|dot|plus)", re.I)  # in all that _BRACKETED matches
+#: Fixed value: words after "dot" that are no domain endings.
+_NO_TOP = "on|the|and|or|of|for|if|an|with|from|then|than|that|this|these|those|when|where|which|was|were|will|would|not|but|into"
 _NAMED = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:[ \t]+dot[ \t]+[A-Za-z0-9._%+-]++){0,3}[ \t]+at[ \t]+"
-    rf"[A-Za-z0-9-]++(?:(?:\.|[ \t]+dot[ \t]+)[A-Za-z0-9-]++){{0,3}}?[ \t]+dot[ \t]+(?:{_TOP})\b",
+    r"[A-Za-z0-9-]++(?:(?:\.|[ \t]+dot[ \t]+)[A-Za-z0-9-]++)*"
+    rf"[ \t]+dot[ \t]+(?!(?:{_NO_TOP})\b)(?:xn--[A-Za-z0-9-]++|[A-Za-z]{{2,}}+)\b",
     re.I,
 )
 _NAMED_MARK = re.compile(r"[ \t]+(at|dot)[ \t]+", re.I)
@@ -173,27 +178,32 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _bracketed(text: str) -> list[tuple[int, int, str]]:
+    if not _BRACKET.search(text):
+        return []
+    return [(m.start(), m.end(), _MARKS[m[1].lower()]) for m in _BRACKETED.finditer(text)]
+
+
+def _named(text: str) -> list[tuple[int, int, str]]:
+    if "dot" not in text.lower():
+        return []
+    return [
+        (m.start(), m.end(), _MARKS[m[1].lower()])
+        for whole in _NAMED.finditer(text)
+        for m in _NAMED_MARK.finditer(text, whole.start(), whole.end())
+    ]
+
+
 def deobfuscated(text: str) -> Traced | None:
     """The text with disguises rewritten, null if there are none."""
     traced = Traced(text) if not text.isascii() and _UNUSUAL.search(text) else None
     if traced:
         traced.rewrite([(m.start(), m.end(), p) for m in _UNUSUAL.finditer(text) if (p := _plain(m[0])) != m[0]])
-    low = (traced.text if traced else text).lower()
-    dotted = "dot" in low or "(at" in low or "[at" in low or " at)" in low or " at]" in low or "{at" in low or "<at" in low
-    counted = sum(low.count(w) for w in DIGIT_WORDS) >= 4
-    if not (traced or dotted or counted):
-        return None
-    traced = traced or Traced(text)
-    if counted:
-        traced.rewrite(_spelled(traced.text))
-    if dotted:
-        traced.rewrite([(m.start(), m.end(), _MARKS[m[1].lower()]) for m in _BRACKETED.finditer(traced.text)])
-        marks = [
-            (m.start(), m.end(), _MARKS[m[1].lower()])
-            for whole in _NAMED.finditer(traced.text)
-            for m in _NAMED_MARK.finditer(traced.text, whole.start(), whole.end())
-        ]
-        traced.rewrite(marks)
+    for edits_of in (_spelled, _bracketed, _named):
+        edits = edits_of(traced.text if traced else text)
+        if edits:
+            traced = traced or Traced(text)
+            traced.rewrite(edits)
     return traced
 
 
@@ -201,13 +211,13 @@ def spans(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans."""
     base = identifiers(text)
     traced = deobfuscated(text)
-    if traced is None or not any(traced.changed):
+    if traced is None:
         return base, base
     added = []
     for s, kind, e in identifiers(traced.text):
-        if any(traced.changed[s:e]):
-            a, b = traced.start[s], traced.end[e - 1]
-            if not any(k == kind and a < e2 and s2 < b for s2, k, e2 in base):
+        a, b = traced.start[s], traced.end[e - 1]
+        if any(traced.changed[s:e]) or b - a != e - s:
+            if not any(k == kind and s2 <= a and b <= e2 for s2, k, e2 in base):
                 added.append((a, kind, b))
     return base, sorted({*base, *added})
 

@@ -277,6 +277,31 @@ def test_disguises(text, found):
     assert [text[s:e] for s, _, e in all_spans] == ([found] if found else []) and not base
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("mail jane ( at ) example.com", "jane ( at ) example.com"),
+        ("mail jane [ at ] example.com", "jane [ at ] example.com"),
+        ("mail jane { at } example.com", "jane { at } example.com"),
+        ("call plus 4 9 1 5 1 five 2 3 4 5 6", "plus 4 9 1 5 1 five 2 3 4 5 6"),
+        ("call (plus) 49 151 234567", "(plus) 49 151 234567"),
+        ("mail jane at example dot xyz", "jane at example dot xyz"),
+        ("mail jane at mail dot example dot museum", "jane at mail dot example dot museum"),
+        ("mail jane@exam\u200bple.com", "jane@exam\u200bple.com"),
+    ],
+)
+def test_disguises_without_other_marks(text, found):
+    base, all_spans = pii.spans(text)
+    assert [text[s:e].strip() for s, _, e in all_spans] == [found] and not base
+
+
+def test_longer_disguise_beside_its_base_span():
+    text = "mail jаne@example.com"  # the second letter is Cyrillic
+    base, all_spans = pii.spans(text)
+    assert [text[s:e] for s, _, e in base] == ["ne@example.com"]
+    assert [text[s:e] for s, _, e in all_spans] == ["jаne@example.com", "ne@example.com"]
+
+
 def test_personal_data_rows(docs):
     texts = dict(enumerate(odd_texts()))
     rows = pii.find_personal_data(docs).collect()
