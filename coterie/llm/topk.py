@@ -14,7 +14,7 @@ by id over all of them.
 Defined cases: null vectors and vectors with null or non-finite components take no
 part; vectors of different lengths are compared over the dimensions both have; equal
 scores go to the smaller id; a candidate with the query's own id is left out, and
-repeated rows of an id with equal vectors count once; fewer candidates than k give
+repeated rows of an id whose vectors quantize alike count once; fewer candidates than k give
 fewer rows; an empty table gives an empty result; further columns are ignored.
 Scores must fit 64 bits.
 """
@@ -39,16 +39,17 @@ SAMPLE = 4096  # candidates that give the first bounds, at most
 BLOCK_SCHEMA = "block long, n int, dim int, ids binary, components binary"
 
 
-def blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """Usable vectors of `vec_id, embedding` in blocks, components laid out by dimension."""
+def quantized(vectors: DataFrame) -> DataFrame:
+    """`vec_id, quantized`: usable vectors as integers, each pair once."""
+    finite = F.forall(vectors["embedding"], lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = vectors.filter(vectors["vec_id"].isNotNull() & vectors["embedding"].isNotNull() & finite)
+    whole = F.transform(usable["embedding"], lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
+    rows = usable.select(usable["vec_id"].alias("vec_id"), whole.alias("quantized"))
+    return rows.distinct() if _repeats(rows) else rows
+
 
-    def usable(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding"), strict=True):
-            if i is None or not v.is_valid or v.values.null_count:
-                continue
-            x = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64)
-            if np.isfinite(x).all():
-                yield i, np.floor(SCALE * x)
+def blocks(vectors: DataFrame, size: int) -> DataFrame:
+    """Rows of `quantized` in blocks, components laid out by dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -67,9 +68,9 @@ def blocks(vectors: DataFrame, size: int) -> DataFrame:
             return pa.record_batch([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names)
 
         for batch in batches:
-            for i, x in usable(batch):
+            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("quantized"), strict=True):
                 ids.append(i)
-                rows.append(x)
+                rows.append(v.values.to_numpy(zero_copy_only=False))
                 if len(rows) == size:
                     yield block()
                     ids, rows = [], []
@@ -129,9 +130,8 @@ def best(queries: _Side, candidates: _Side, k: int, bound: np.ndarray) -> Iterat
 def search(queries: DataFrame, candidates: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """`query_id, rank, vec_id, score`: each query's k best candidates."""
     spark = candidates.sparkSession
-    plain = [df.select(df["vec_id"].alias("vec_id"), df["embedding"].alias("embedding")) for df in (queries, candidates)]
-    held = settle(blocks(plain[1].distinct() if _repeats(plain[1]) else plain[1], block))
-    asked = settle(blocks(plain[0], QUERY_BLOCK))
+    held = settle(blocks(quantized(candidates), block))
+    asked = settle(blocks(quantized(queries), QUERY_BLOCK))
     n_blocks = held.count()
     sample = [(r["ids"], r["dim"], r["components"]) for r in held.filter(F.col("n") <= SAMPLE).limit(1).collect()]
     shared = spark.sparkContext.broadcast(sample)  # one block at most
@@ -173,7 +173,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, block: int = BLOCK
         met, "query_id long, vec_id long, score long"
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(order))
+    ranked = found.withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -424,6 +424,16 @@ def test_topk(spark):
         assert sorted(found) == [(k + 1, i, -s) for k, (s, i) in enumerate(sorted(scores)[:15])]
 
 
+def test_topk_counts_vectors_that_quantize_alike_once(spark):
+    rows = [(0, [1.0, 1.0])] + [(k, [0.1 + 0.0001 * j, 0.5]) for k in range(1, 6) for j in range(3)]
+    rows += [(0, [1.0001, 1.0]), (6, [0.25, 0.25]), (7, [0.25, 0.5]), (7, [0.5, 0.25])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    distinct = {(i, tuple(int(np.floor(64 * np.float64(np.float32(x)))) for x in v)) for i, v in rows}
+    scores = sorted((-64 * sum(v), i) for i, v in distinct if i)
+    got = topk.search(vectors.filter("vec_id = 0"), vectors, 8, block=4).collect()
+    assert sorted((r.rank, -r.score, r.vec_id) for r in got) == [(n + 1, *s) for n, s in enumerate(scores[:8])]
+
+
 def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "secret scan", "packing"]
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
