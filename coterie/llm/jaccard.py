@@ -25,9 +25,10 @@ all pairs of a block, and no link between different sets is lost.
 
 Defined cases: null text and text without words is the empty set and links with
 nothing; a text of fewer than five words is one shingle; rows with equal `doc_id` are
-one document each and share a component if linked; an empty table gives an empty
-result; further columns are ignored. Texts are taken whole. Hashes of 64 bits stand
-for shingles and for whole sets.
+one document each and share a component if linked; a component is named by its smallest
+id that is not null, and by null if it has none; an empty table gives an empty result;
+further columns are ignored. Texts are taken whole. Hashes of 64 bits stand for
+shingles, for whole sets and, beside `doc_id`, for the text of a row.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coterie.functions.frames import settle
@@ -106,18 +107,19 @@ def most_common(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """`doc_id, n_shingles, set_id, bitmap, wide`; no set id for the empty set."""
+    """`doc_id, text_hash, n_shingles, set_id, bitmap, wide`; no set id for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(len(s), *((_set_id(s), _bitmap(s), _wide(s)) if len(s) else (None, None, None))) for s in shingle_sets(batch.column("text"))]
             n, ids, maps, wide = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(maps, pa.binary()), pa.array(wide, pa.binary())],
-                ["doc_id", "n_shingles", "set_id", "bitmap", "wide"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(maps, pa.binary()), pa.array(wide, pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "set_id", "bitmap", "wide"],
             )
 
-    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, set_id long, bitmap binary, wide binary")
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    return docs.mapInArrow(lean(run), "doc_id long, text_hash long, n_shingles long, set_id long, bitmap binary, wide binary")
 
 
 def _by_bucket(tokens: np.ndarray, parts: int, *beside: np.ndarray) -> Iterator[tuple]:
@@ -341,8 +343,10 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
         pairs = pairs.join(beside, end)
     pairs = settle(pairs.select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(lean(possible), "a long, b long"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    wanted = settle(wanted.join(sets.select("set_id", "doc"), "set_id"))
-    texts = settle(wanted.join(docs, wanted["doc"] == docs["doc_id"]).select("set_id", "text").dropDuplicates(["set_id"]))
+    wanted = settle(wanted.join(sets.select("set_id", "doc.*"), "set_id").withColumnRenamed("doc_id", "doc"))
+    # the row that the set is of: an id alone may be null or stand for several texts
+    same = wanted["doc"].eqNullSafe(docs["doc_id"]) & (wanted["text_hash"] == F.xxhash64(docs["text"]))
+    texts = settle(wanted.join(docs, same).select("set_id", "text").dropDuplicates(["set_id"]))
     both = pairs.join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -387,15 +391,29 @@ def components(links: DataFrame) -> DataFrame:
     return parts.unionByName(parts.select(F.col("part").alias("node"), "part").distinct())
 
 
+def row() -> Column:
+    """Orders rows by id, those without one last, then by their texts."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """`doc_id, n_shingles, component_id`, one row per row."""
+    rows = labelled(docs)
+    lowest = rows.filter(F.col("part").isNotNull()).groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(lowest, "part", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    )
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """`doc_id, text_hash, n_shingles, part`, one row per row; rows of a component share `part`, null for the empty set."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
     found = settle(described(docs))
     total = found.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).head()[0]
     sets = found.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(
-        F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide")
+        F.min(row()).alias("doc"), F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide")
     )
     sets = settle(sets)
     block = settle(blocks(docs, frequent_tokens(docs, total, parts), parts))
@@ -448,19 +466,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.unionByName(verified(rest, sets, docs))
 
     last = components(links)
-    labelled = found.join(last, found["set_id"] == last["node"], "left").select(
-        "doc_id", "n_shingles", "set_id", F.coalesce("part", "set_id").alias("part")
-    )
-    labelled = settle(labelled)
-    lowest = labelled.filter(F.col("part").isNotNull()).groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(lowest, "part", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    rows = found.join(last, found["set_id"] == last["node"], "left").select(
+        "doc_id", "text_hash", "n_shingles", F.coalesce("part", "set_id").alias("part")
     )
+    return settle(rows)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns."""
-    kept = near_duplicates(docs).filter("component_id = doc_id").select(F.col("doc_id").alias("kept")).distinct()
-    kept = settle(kept)
-    spare = f"kept_{len(''.join(docs.columns))}"
-    return docs.join(kept.toDF(spare), docs["doc_id"] == F.col(spare), "left_semi")
+    """One document of each component, with all its columns, and all documents without words.
+
+    The first by id, then by text; of rows that agree in both the one with the smallest hash.
+    """
+    rows = labelled(docs)
+    counted = rows.groupBy("part", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    first = counted.filter(F.col("part").isNotNull()).groupBy("part").agg(F.min(F.struct(row().alias("row"), "rows")).alias("r"))
+    first = first.select("r.row.doc_id", "r.row.text_hash", (F.col("r.rows") > 1).alias("several"))
+    empty = counted.filter(F.col("part").isNull()).select("doc_id", "text_hash", F.lit(False).alias("several"))
+    tail = len("".join(docs.columns))
+    names = [f"{n}_{tail}" for n in ("kept_doc", "kept_hash", "kept_several")]
+    kept = settle(first.unionByName(empty)).toDF(*names)
+
+    def taken(several: bool) -> DataFrame:
+        some = kept.filter(F.col(names[2]) == several)
+        return docs.join(some, docs["doc_id"].eqNullSafe(some[names[0]]) & (F.xxhash64(docs["text"]) == some[names[1]]), "left_semi")
+
+    if kept.filter(names[2]).isEmpty():
+        return taken(False)
+    repeated = taken(True)
+    whole = F.struct(*[repeated[c] for c in docs.columns])
+    least = repeated.groupBy(repeated["doc_id"], F.xxhash64(repeated["text"])).agg(F.min_by(whole, F.xxhash64(whole)).alias("row"))
+    return taken(False).unionByName(least.select("row.*"))

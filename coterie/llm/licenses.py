@@ -82,7 +82,7 @@ def rolling(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids = np.array(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+            ids = batch.column("doc_id")
             for first, bounds, hashes in hashed_words(batch.column("text"), LETTERS):
                 count = np.diff(bounds)
                 here = np.arange(first, first + len(count))
@@ -95,7 +95,7 @@ def rolling(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch(
                     [
                         pa.array(of + row),
-                        pa.array(ids[of]),
+                        ids.take(pa.array(of)),
                         pa.array(np.concatenate([place[full], none - 1])),
                         pa.array(np.concatenate([gram, none])),
                         pa.array(np.concatenate([np.zeros(len(full), np.int64), count])),

@@ -15,7 +15,8 @@ it, in `LEAST_DOCS` documents or more. Only the training rows are a bounded samp
 (`TRAIN_ROWS`), drawn by a hash of the row; every finding of every document is scored.
 
 Defined cases: null or empty text has no findings; texts are taken whole; repeated
-rows of a document give repeated findings; an empty table gives an empty result;
+rows of a document give repeated findings; rows of one id with different texts, and rows
+without an id, are redacted each by its own findings; an empty table gives an empty result;
 further columns are not looked at, and pass through `redacted` unchanged.
 """
 
@@ -68,7 +69,7 @@ FEATURES = ("length", "digits", "uppers", "marks", "changes", "variety", "covera
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """`doc_id, place, finding, word, before`: each token-like run, by the place of its word."""
+    """`doc_id, text_hash, place, finding, word, before`: each token-like run, by the place of its word."""
 
     def before(words: Column, i: Column) -> Column:
         return F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1))
@@ -87,12 +88,14 @@ def findings(docs: DataFrame) -> DataFrame:
     def placed(words: Column) -> Column:
         return F.when(F.size(words) > 0, near(words))
 
-    rows = docs.select(docs["doc_id"].alias("doc_id"), F.explode(bind(words_of(docs["text"]), placed)).alias("w"))
-    rows = rows.select("doc_id", "w.*")
+    rows = docs.select(
+        docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), F.explode(bind(words_of(docs["text"]), placed)).alias("w")
+    )
+    rows = rows.select("doc_id", "text_hash", "w.*")
     runs = F.regexp_extract_all("word", F.lit(SHAPE), F.lit(0))
     rows = rows.withColumn("runs", runs).withColumn("values", announced_values(F.col("word"), F.col("before")))
     found = F.concat("runs", F.array_except("values", "runs"))
-    return rows.select("doc_id", "place", F.explode(found).alias("finding"), "word", "before")
+    return rows.select("doc_id", "text_hash", "place", F.explode(found).alias("finding"), "word", "before")
 
 
 def announced_values(word: Column, before: Column) -> Column:
@@ -165,12 +168,16 @@ def fit(labelled: DataFrame, common: DataFrame) -> RandomForestClassificationMod
 
 def secrets(docs: DataFrame, threshold: float = 0.5, labelled: DataFrame | None = None) -> DataFrame:
     """`doc_id, place, finding, score`: the findings that the forest takes for secrets."""
+    return _secrets(docs, threshold, labelled).drop("text_hash")
+
+
+def _secrets(docs: DataFrame, threshold: float = 0.5, labelled: DataFrame | None = None) -> DataFrame:
     common = settle(dictionary(docs))
     found = settle(with_features(findings(docs), common))
     model = fit(label(found) if labelled is None else labelled, common)
     scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(found))
     score = F.round(vector_to_array("probability")[1], 6)
-    return scored.select("doc_id", "place", "finding", score.alias("score")).filter(F.col("score") >= threshold)
+    return scored.select("doc_id", "text_hash", "place", "finding", score.alias("score")).filter(F.col("score") >= threshold)
 
 
 def one_of(texts: Column) -> Column:
@@ -183,20 +190,21 @@ def one_of(texts: Column) -> Column:
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every secret replaced, all columns as before (`n_chars` follows the text if there)."""
     cut = settle(
-        secrets(docs)
-        .groupBy(F.col("doc_id").alias("secret_doc"))
+        _secrets(docs)
+        .groupBy(F.col("doc_id").alias("secret_doc"), F.col("text_hash").alias("secret_hash"))
         .agg(F.collect_set(F.col("finding")).alias("secret_texts"))
-        .select("secret_doc", one_of(F.col("secret_texts")).alias("secret_texts"))
+        .select("secret_doc", "secret_hash", one_of(F.col("secret_texts")).alias("secret_texts"))
     )
     # the names are free here: no documents column may clash with them
     names = docs.columns
-    spare = [f"{n}_{len(''.join(names))}" for n in ("secret_doc", "secret_texts")]
+    spare = [f"{n}_{len(''.join(names))}" for n in ("secret_doc", "secret_hash", "secret_texts")]
     cut = cut.toDF(*spare)
-    joined = docs.join(cut, docs["doc_id"] == cut[spare[0]], "left")
+    same = docs["doc_id"].eqNullSafe(cut[spare[0]]) & (F.xxhash64(docs["text"]) == cut[spare[1]])
+    joined = docs.join(cut, same, "left")
     plain = mark.replace("\\", "\\\\").replace("$", "\\$")
-    text = F.regexp_replace(docs["text"], cut[spare[1]], F.lit(plain))
-    text = F.when(cut[spare[1]].isNull(), docs["text"]).otherwise(text)
+    text = F.regexp_replace(docs["text"], cut[spare[2]], F.lit(plain))
+    text = F.when(cut[spare[2]].isNull(), docs["text"]).otherwise(text)
     out = {"text": text}
     if "n_chars" in names:
-        out["n_chars"] = F.when(cut[spare[1]].isNull(), docs["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(cut[spare[2]].isNull(), docs["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
     return joined.select(*[out.get(c, docs[c]).alias(c) for c in names])

@@ -206,6 +206,26 @@ def test_near_duplicates_at_the_border(spark):
     assert {r.doc_id: r.component_id for r in found.collect()} == part
 
 
+def test_null_and_repeated_ids(spark):
+    words = [[f"{c}{k}" for k in range(100)] for c in "abcde"]
+    near = [" ".join([*w[:50], "changed", *w[51:]]) for w in words]
+    a, b, c, d, e = (" ".join(w) for w in words)
+    hidden = "password=e3b0c44298fc1c149a now"
+    # no id; one id with different texts; repeated rows; a text that only rows without an id have
+    rows = [(None, a), (None, near[0]), (1, b), (1, c), (2, near[2]), (3, near[1]), (4, d), (4, d), (None, e), (5, near[4])]
+    rows += [(None, hidden), (6, ""), (6, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n long").repartition(3)
+    kept = [(r.doc_id, r.text) for r in jaccard.one_of_each(docs).collect()]
+    assert kept.count((4, d)) == 1 and kept.count((6, "")) == 2 and kept.count((None, None)) == 1
+    assert sum(t in (a, near[0]) for _, t in kept) == 1
+    assert {(1, b), (1, c), (5, near[4]), (None, hidden)} <= set(kept) and len(kept) == 9
+    parts = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
+    assert {(2, 96, 1), (3, 96, 1), (5, 96, 5), (None, 96, 5)} <= parts
+    assert {r.doc_id for r in licenses.scan(docs).collect()} == {None, 1, 2, 3, 4, 5, 6}
+    cut = [(r.doc_id, r.text) for r in secretscan.redacted(docs).collect()]
+    assert len(cut) == len(rows) and (None, "password=[secret] now") in cut
+
+
 def test_signature_tree_drops_no_link():
     rnd = np.random.default_rng(4)
     sets = [np.unique(rnd.integers(0, 1 << 63, 200).astype(np.uint64)) for _ in range(40)]
