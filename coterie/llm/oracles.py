@@ -69,5 +69,42 @@ FROM scores QUALIFY rank <= 20
 """
 
 
+#: 3988292384 is the reversed polynomial of the 32-bit check sum, a fixed value.
+OP11 = r"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations
+  WHERE conv_id IS NOT NULL),
+whole AS (
+  SELECT c, list(sha256(len(role) || ':' || role || text) ORDER BY turn NULLS FIRST, role, text) AS t,
+    list(octet_length(encode(text)) ORDER BY turn NULLS FIRST, role, text) AS n FROM turns GROUP BY c),
+kept AS (
+  SELECT *, xor(4294967295::UBIGINT, list_reduce(
+    list_concat([4294967295::UBIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: unicode(x)::UBIGINT)),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], list_transform(range(8), lambda i: 0::UBIGINT)),
+      lambda v, i: xor(v >> 1, (v & 1) * 3988292384::UBIGINT)))) % 9 AS h FROM whole),
+rebuilt AS (
+  SELECT k.c, list_concat(coalesce(b.t, [])[1:k.h], k.t[k.h + 1:]) AS t, list_concat(coalesce(b.n, [])[1:k.h], k.n[k.h + 1:]) AS n
+  FROM kept k LEFT JOIN whole b ON b.c = k.c - k.c % 5),
+members AS (
+  SELECT c, d, sha256(array_to_string(t[1:d], ',')) AS node, sha256(array_to_string(t[1:d - 1], ',')) AS parent,
+    d = len(t) AS ends, coalesce(n[d], 0) AS bytes
+  FROM (SELECT *, unnest(range(len(t) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT node, d, min(c) AS conv_id, CASE WHEN d > 0 THEN any_value(parent) END AS parent, count(*) AS n_convs,
+    (count(*) - 1) * any_value(bytes) AS saved,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY node, d),
+children AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+subtrees AS (
+  SELECT m.node, m.d, count(*) FILTER (k.n_children IS NULL) AS n_leaves, sum(x.saved)::BIGINT AS saved_tokens
+  FROM nodes x JOIN members m ON m.c = x.conv_id AND m.d <= x.d LEFT JOIN children k ON k.node = x.node AND k.d = x.d
+  GROUP BY m.node, m.d)
+SELECT x.conv_id, x.d::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n_convs::BIGINT AS n_convs,
+  coalesce(k.n_children, 0)::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens, x.ends_sha256
+FROM nodes x JOIN subtrees s ON s.node = x.node AND s.d = x.d
+  LEFT JOIN nodes p ON p.node = x.parent AND p.d = x.d - 1 LEFT JOIN children k ON k.node = x.node AND k.d = x.d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1, "op9_quality_rules": OP9, "op10_exact_topk": OP10}
+    return {"op1_chat_format": OP1, "op9_quality_rules": OP9, "op10_exact_topk": OP10, "op11_prefix_trie": OP11}

@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coterie.functions.frames import new_path
-from coterie.llm import bpe, chat, jaccard, licenses, mixture, pii, quality, secretscan, tokenfiles, topk
+from coterie.llm import (
+    bpe,
+    chat,
+    jaccard,
+    licenses,
+    mixture,
+    pii,
+    quality,
+    secretscan,
+    tokencount,
+    tokenfiles,
+    topk,
+    trie,
+    whitening,
+)
 
 SCHEMAS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
@@ -93,5 +107,17 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors.filter(F.col("vec_id") % 20 == 0), vectors, 20)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
