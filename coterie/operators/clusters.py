@@ -10,16 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from coterie.functions import columns as C
-from coterie.functions.blocks import merge_rest, nearest
+from coterie.functions.blocks import CLUSTER, box, merge_within, nearest, nearest_within
 from coterie.functions.frames import bounded_names, ranked, scalar_of, settle
 
 CLUSTERS = 10
 SIGNIFICANCE = 0.05
 TOP_VALUES = 5
 NO_RESISTANCE = "All susceptible"
-BLOCK = 1024
-LAST_CLUSTERS = 4096
-MERGE = "left string, right string, node string, d2 double, size double, round int, seq int"
+#: Clusters in a block, whose matrix of distances one task holds (134 MB).
+BLOCK = 4096
+#: Blocks that a block's own merges are checked against one by one; one bound covers all others.
+NEAR_BLOCKS = 64
+SLACK = 1e-9
+NEAREST = "block int, key string, other string, d2 double"
+STEP = (
+    "key string, node string, size double, leaves long, sums array<double>, height double, level int, "
+    "left string, right string, right_key string, alive boolean"
+)
 
 
 # ---- profiles ---------------------------------------------------------------
@@ -46,6 +53,22 @@ def status_profiles(panel: DataFrame, names: Sequence[str] | None = None) -> Dat
     return rows.select("id", "label", "other", *values)
 
 
+def status_vectors(panel: DataFrame, names: Sequence[str]) -> DataFrame:
+    """`id, label, other, vector`: severities in the order of the names, 0 where a test was not done.
+
+    Names stay values, so any text may be one.
+    """
+    rows = panel.select("id", status_label().alias("label"), "other", F.map_from_entries("target").alias("t"))
+    each = F.transform(F.array(*map(F.lit, names)), lambda n: C.severity(F.element_at("t", n)).cast("double"))
+    return rows.select("id", "label", "other", each.alias("vector"))
+
+
+def indicator_vectors(profiles: DataFrame, names: Sequence[str]) -> DataFrame:
+    """`id, label, target, vector`: 0 or 1 per named indicator."""
+    each = F.transform(F.array(*map(F.lit, names)), lambda n: F.array_contains("indicators", n).cast("double"))
+    return profiles.select("id", "label", "target", each.alias("vector"))
+
+
 def _is_resistant() -> Column:
     return F.exists("target", lambda x: x["value"].isin(*C.FOCUS))
 
@@ -75,12 +98,11 @@ def indicator_columns(profiles: DataFrame, names: Sequence[str]) -> DataFrame:
 # ---- Ward clustering --------------------------------------------------------
 
 
-def weighted_points(profiles: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Distinct feature vectors with their number of rows: `node, size, centre`."""
-    vector = F.array(*[F.col(n).cast("double") for n in names])
+def weighted_points(rows: DataFrame) -> DataFrame:
+    """Distinct vectors with their number of rows: `node, size, vector`."""
     return (
-        profiles.groupBy(vector.alias("centre")).agg(F.count("*").cast("double").alias("size"))
-        .withColumn("node", point_key("centre"))
+        rows.groupBy("vector").agg(F.count("*").cast("double").alias("size"))
+        .withColumn("node", point_key("vector"))
     )
 
 
@@ -88,81 +110,125 @@ def point_key(vector: str | Column) -> Column:
     return F.array_join(F.transform(vector, lambda v: v.cast("string")), ",")
 
 
-def _reciprocal_pairs(clusters: DataFrame, count: int, block: int) -> DataFrame:
-    """Pairs of clusters that are each other's nearest: `left, right, d2`.
+def _placed(clusters: DataFrame, count: int, block: int) -> DataFrame:
+    """Clusters with a block number; neighbours in the order of keys share a block."""
+    blocks = math.ceil(count / block)
+    return settle(clusters.repartitionByRange(blocks, "key").withColumn("block", F.spark_partition_id()))
+
+
+def _block_pairs(placed: DataFrame) -> DataFrame:
+    """`block, other, bound, box` of every two blocks: what their clusters are apart at least, and the other's box.
 
-    Clusters are hashed into blocks of bounded size. Every pair of blocks is one
-    task that returns only the nearest cluster per row.
+    Pairs of blocks, not of clusters: a row per block is met with a row per block.
     """
-    blocks = max(1, math.ceil(count / block))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    placed = clusters.withColumn("b", F.pmod(F.xxhash64("node"), F.lit(blocks)))
-    # Stated numbers of partitions keep the small but costly blocks apart.
-    tasks = min(blocks * blocks, 4 * clusters.sparkSession.sparkContext.defaultParallelism)
-    cell = ["node", "size", "centre"]
-    left = placed.select(*cell, "b", F.explode(every).alias("o")).withColumn("cell", F.col("b") * blocks + F.col("o"))
-    right = placed.select(*cell, "b", F.explode(every).alias("o")).withColumn("cell", F.col("o") * blocks + F.col("b"))
-    found = (
-        left.select("cell", *cell).repartition(tasks, "cell").groupBy("cell")
-        .cogroup(right.select("cell", *cell).repartition(tasks, "cell").groupBy("cell"))
-        .applyInPandas(nearest, "node string, other string, d2 double")
-        .groupBy("node").agg(F.min(F.struct("d2", "other")).alias("m"))
-        .select("node", F.col("m.other").alias("other"), F.col("m.d2").alias("d2"))
+    boxes = settle(placed.groupBy("block").applyInPandas(box, "block int, least double, low array<double>, high array<double>"))
+    many = max(1, boxes.count())
+    numbers = boxes.select("block").agg(F.max("block")).first()[0] if many > 1 else 0
+    named = boxes.select("block", F.struct("least", "low", "high").alias("mine"))
+    other = named.select(F.col("block").alias("other"), F.col("mine").alias("box"))
+    pairs = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(numbers)))).where("other <> block").join(other, "other")
+    gaps = F.zip_with(
+        F.arrays_zip(F.col("mine.low").alias("a"), F.col("mine.high").alias("b")),
+        F.arrays_zip(F.col("box.low").alias("a"), F.col("box.high").alias("b")),
+        lambda x, y: F.greatest(F.lit(0.0), x["a"] - y["b"], y["a"] - x["b"]),
     )
-    found = settle(found)
-    back = found.select(F.col("node").alias("other"), F.col("other").alias("node"))
-    return found.where("node < other").join(back, ["node", "other"]).select(
-        F.col("node").alias("left"), F.col("other").alias("right"), "d2"
+    apart = F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g)
+    mine, its = F.col("mine.least"), F.col("box.least")
+    return pairs.select("block", "other", (apart * mine * its / (mine + its) * (1 - SLACK)).alias("bound"), "box")
+
+
+def _merged_within(placed: DataFrame) -> DataFrame:
+    """Each block's merges that no other block can touch, and its clusters left."""
+    order = Window.partitionBy("block").orderBy("bound", "other")
+    near = _block_pairs(placed).withColumn("place", F.row_number().over(order)).where(F.col("place") <= NEAR_BLOCKS + 1)
+    near = near.groupBy("block").agg(
+        F.collect_list(F.when(F.col("place") <= NEAR_BLOCKS, F.col("box"))).alias("boxes"),
+        F.coalesce(F.min(F.when(F.col("place") > NEAR_BLOCKS, F.col("bound"))), F.lit(float("inf"))).alias("cap"),
+    )
+    return settle(placed.groupBy("block").cogroup(near.groupBy("block")).applyInPandas(merge_within, STEP))
+
+
+def _merged_across(clusters: DataFrame, placed: DataFrame) -> DataFrame:
+    """Merges of clusters that are each other's nearest among all."""
+    found = settle(placed.groupBy("block").applyInPandas(nearest_within, NEAREST))
+    # a block's clusters look into those blocks only that may hold something nearer
+    farthest = placed.select("block").distinct().join(found.groupBy("block").agg(F.max("d2").alias("far")), "block", "left")
+    farthest = farthest.fillna(float("inf"), ["far"])
+    cells = settle(_block_pairs(placed).join(farthest, "block").where(F.col("bound") <= F.col("far")).select("block", "other"))
+    row = [*CLUSTER, "block"]
+    tasks = min(max(1, cells.count()), 4 * clusters.sparkSession.sparkContext.defaultParallelism)
+    left = placed.join(cells, "block").select("other", *row).repartition(tasks, "block", "other")
+    right = placed.withColumnRenamed("block", "other").join(cells, "other").select("other", *row).toDF("other", *row)
+    right = right.repartition(tasks, "block", "other")
+    across = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(nearest, NEAREST)
+    best = settle(
+        found.unionByName(across).groupBy("key").agg(F.min(F.struct("d2", "other")).alias("m"))
+        .select("key", F.col("m.other").alias("other"), F.col("m.d2").alias("d2"))
+    )
+    back = best.select(F.col("other").alias("key"), F.col("key").alias("other"))
+    pairs = best.where("key < other").join(back, ["key", "other"])
+    a = clusters.select("key", *[F.col(c).alias(f"{c}_a") for c in CLUSTER[1:]])
+    b = clusters.select(F.col("key").alias("other"), *[F.col(c).alias(f"{c}_b") for c in CLUSTER[1:]])
+    return settle(
+        pairs.join(a, "key").join(b, "other").select(
+            "key",
+            F.concat(F.lit("m:"), "other").alias("node"),
+            (F.col("size_a") + F.col("size_b")).alias("size"),
+            (F.col("leaves_a") + F.col("leaves_b")).alias("leaves"),
+            F.zip_with("sums_a", "sums_b", lambda x, y: x + y).alias("sums"),
+            F.greatest("d2", "height_a", "height_b").alias("height"),
+            (F.greatest("level_a", "level_b") + 1).alias("level"),
+            F.col("node_a").alias("left"),
+            F.col("node_b").alias("right"),
+            F.col("other").alias("right_key"),
+            F.lit(True).alias("alive"),
+        )
     )
 
 
-def ward_merges(points: DataFrame, last: int = LAST_CLUSTERS, block: int = BLOCK) -> DataFrame:
-    """Merge log of Ward clustering: `left, right, node, d2, size, round, seq`.
+def ward_merges(points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Merge log of Ward clustering: `left, right, node, d2, size, leaves, level, key, right_key`.
 
-    Each round joins every pair of clusters that are nearest to each other,
-    which for Ward gives the same tree as joining one pair at a time. Once no
-    more than `last` clusters are left, one task finishes them: its matrix of
-    distances has a fixed size, whatever the number of rows behind the clusters.
+    At every size the same two steps alternate until one cluster is left. Within blocks of at most about
+    `block` clusters, pairs of nearest neighbours are joined as far as the bounds of
+    the other blocks prove that nothing outside is nearer; then each cluster's nearest neighbour among all is
+    found, looking only into blocks that may hold one, and pairs of nearest neighbours are joined.
+    Ties go by (distance, smaller leaf key, larger leaf key). Joining such pairs in any order gives the tree
+    of joining the nearest pair one at a time, so the tree does not depend on the blocks.
+    `size` counts rows, `leaves` distinct vectors; a node is named by the key that its merge takes away.
     """
-    spark = points.sparkSession
-    clusters = settle(points.select("node", "size", "centre"))
+    whole = F.col("size")
+    clusters = points.select(
+        F.col("node").alias("key"), "node", whole.alias("size"), F.lit(1).cast("long").alias("leaves"),
+        F.transform("vector", lambda v: v * whole).alias("sums"), F.lit(0.0).alias("height"), F.lit(0).alias("level"),
+    )
+    clusters = settle(clusters)
+    log = clusters.sparkSession.createDataFrame([], STEP)
     count = clusters.count()
-    log = None
-    round_no = 0
-    while count > last:
-        round_no += 1
-        pairs = _reciprocal_pairs(clusters, count, block)
-        side = clusters.select("node", "size", "centre")
-        a = side.select(F.col("node").alias("left"), F.col("size").alias("sa"), F.col("centre").alias("ca"))
-        b = side.select(F.col("node").alias("right"), F.col("size").alias("sb"), F.col("centre").alias("cb"))
-        total = F.col("sa") + F.col("sb")
-        merged = settle(
-            pairs.join(a, "left").join(b, "right").select(
-                "left", "right",
-                F.concat(F.lit(f"m{round_no}."), F.col("left")).alias("node"),
-                "d2", total.alias("size"),
-                F.zip_with("ca", "cb", lambda x, y: (x * F.col("sa") + y * F.col("sb")) / total).alias("centre"),
-            )
-        )
-        gone = merged.select(F.explode(F.array("left", "right")).alias("node"))
-        clusters = settle(side.join(gone, "node", "left_anti").unionByName(merged.select("node", "size", "centre")))
-        step = merged.select("left", "right", "node", "d2", "size", F.lit(round_no).alias("round"), F.lit(0).alias("seq"))
-        log = step if log is None else log.unionByName(step)
+    while count > 1:
+        within = _merged_within(_placed(clusters, count, block))
+        log = log.unionByName(within.where(F.col("left").isNotNull()))
+        clusters = within.where("alive").select(*CLUSTER)
         count = clusters.count()
-    if count > 1:
-        rest = clusters.withColumn("round", F.lit(round_no)).groupBy(F.lit(0).alias("g")).applyInPandas(
-            merge_rest, MERGE
-        )
-        rest = settle(rest)
-        log = rest if log is None else log.unionByName(rest)
-    return log if log is not None else spark.createDataFrame([], MERGE)
+        if count > 1:
+            across = _merged_across(clusters, _placed(clusters, count, block))
+            log = log.unionByName(across)
+            gone = across.select(F.explode(F.array("key", "right_key")).alias("key"))
+            clusters = settle(clusters.join(gone, "key", "left_anti").unionByName(across.select(*CLUSTER)))
+            count = clusters.count()
+    return settle(log.select("left", "right", "node", F.col("height").alias("d2"), "size", "leaves", "level", "key", "right_key"))
+
+
+def _by_height(*, falling: bool = False) -> list[Column]:
+    """Order of the merges; a merge never comes before those it rests on."""
+    order = ["d2", "level", "key", "right_key"]
+    return [F.desc(c) if falling else F.asc(c) for c in order]
 
 
 def merge_tree(merges: DataFrame) -> DataFrame:
-    """`step, left, right, node, distance, size` in order of distance."""
-    order = [F.round("d2", 9), F.col("round"), F.col("seq"), F.col("left")]
-    return ranked(merges, order, "step").select(
-        "step", "left", "right", "node", F.sqrt(2 * F.col("d2")).alias("distance"), "size"
+    """`step, left, right, node, distance, size, leaves` in order of distance."""
+    return ranked(merges, _by_height(), "step").select(
+        "step", "left", "right", "node", F.sqrt(2 * F.col("d2")).alias("distance"), "size", "leaves"
     )
 
 
@@ -172,7 +238,7 @@ def cut_tree(points: DataFrame, merges: DataFrame, k: int = CLUSTERS) -> DataFra
     Pointers to the merged cluster are doubled each round, so their number is
     logarithmic in the depth of the tree.
     """
-    undone = merges.orderBy(F.round("d2", 9).desc(), F.desc("round"), F.desc("seq"), F.desc("left")).limit(k - 1)
+    undone = merges.orderBy(*_by_height(falling=True)).limit(k - 1)
     kept = settle(merges.join(undone.select("node"), "node", "left_anti"))
     up = kept.select(F.explode(F.array("left", "right")).alias("node"), F.col("node").alias("up"))
     up = settle(up)
@@ -193,12 +259,11 @@ def cut_tree(points: DataFrame, merges: DataFrame, k: int = CLUSTERS) -> DataFra
     return top.join(numbers, "top").select("node", "cluster")
 
 
-def ward_clusters(profiles: DataFrame, names: Sequence[str], k: int = CLUSTERS, last: int = LAST_CLUSTERS, block: int = BLOCK) -> DataFrame:
-    """`id, label, cluster` of the profiles."""
-    points = settle(weighted_points(profiles, names))
-    assigned = cut_tree(points, ward_merges(points, last, block), k)
-    vector = F.array(*[F.col(n).cast("double") for n in names])
-    return profiles.select("id", "label", point_key(vector).alias("node")).join(assigned, "node").drop("node")
+def ward_clusters(rows: DataFrame, k: int = CLUSTERS, block: int = BLOCK) -> DataFrame:
+    """`id, label, cluster` of rows with a `vector`."""
+    points = settle(weighted_points(rows))
+    assigned = cut_tree(points, ward_merges(points, block), k)
+    return rows.select("id", "label", point_key("vector").alias("node")).join(assigned, "node").drop("node")
 
 
 # ---- descriptions of clusters -----------------------------------------------

@@ -319,6 +319,29 @@ def _cohort_rules() -> str:
     )
 
 
+def _attribute_tree() -> str:
+    """Ward clustering one pair at a time: the state of the recursion is the list of clusters left."""
+    return f"""WITH RECURSIVE {panel(NET)},
+      sick AS (SELECT 'data_source' || data_source AS x, 'serotype' || serotype AS y FROM scope
+               WHERE id IN (SELECT id FROM tgt WHERE value IN ('resistant', 'intermediate'))),
+      names AS (SELECT list(DISTINCT n ORDER BY n) AS n FROM (SELECT x AS n FROM sick UNION SELECT y FROM sick)),
+      points AS (
+        SELECT list_transform(n, lambda a: CAST(a = x OR a = y AS DOUBLE)) AS v, CAST(count(*) AS DOUBLE) AS w FROM sick, names GROUP BY ALL),
+      tree AS (
+        SELECT 0 AS step, (SELECT list({{'k': array_to_string(v, ','), 'w': w, 's': list_transform(v, lambda z: z * w), 'n': 1, 'h': 0.0::DOUBLE}})
+                           FROM points) AS left_over, 0.0::DOUBLE AS h, 0.0::DOUBLE AS w, 0 AS n
+        UNION ALL
+        (SELECT step + 1, list_append(list_filter(left_over, lambda c: c.k <> a.k AND c.k <> b.k),
+                {{'k': a.k, 'w': a.w + b.w, 's': list_transform(list_zip(a.s, b.s), lambda p: p[1] + p[2]), 'n': a.n + b.n, 'h': greatest(d, a.h, b.h)}}),
+                greatest(d, a.h, b.h), a.w + b.w, a.n + b.n
+         FROM (SELECT step, left_over, a, b,
+                 list_sum(list_transform(list_zip(a.s, b.s), lambda p: (p[1] * b.w - p[2] * a.w) * (p[1] * b.w - p[2] * a.w))) / (a.w * b.w * (a.w + b.w)) AS d
+               FROM (SELECT step, left_over, a, unnest(left_over) AS b FROM (SELECT step, left_over, unnest(left_over) AS a FROM tree)) WHERE a.k < b.k)
+         ORDER BY d, a.k, b.k LIMIT 1))
+      SELECT CAST(row_number() OVER (ORDER BY h, step) AS BIGINT) AS step, round(sqrt(2 * h), 6) AS distance, CAST(w AS BIGINT) AS size,
+             CAST(n AS BIGINT) AS leaves FROM tree WHERE step > 0"""
+
+
 def oracle_sql() -> dict[str, str]:
     rule_sql = f"WITH {mined()}"
     rar_sql = f"WITH {mined()}, {COUNTED}"
@@ -487,6 +510,12 @@ def oracle_sql() -> dict[str, str]:
           SELECT id, '[' || 'data_source' || data_source || ', serotype' || serotype || ']' AS label,
                  {", ".join(f"CAST(serotype = '{s}' AS INTEGER) AS serotype{s}" for s in Q.SEGMENTS)}
           FROM scope WHERE id IN (SELECT id FROM tgt WHERE value IN ('resistant', 'intermediate'))""",
+        "cluster_tree_totals": f"""WITH {panel(NET)},
+          vectors AS (SELECT id, {", ".join(f"coalesce(max({CODE}) FILTER (attr = '{n}'), 0) AS {n}" for n in drugs)} FROM tgt GROUP BY id),
+          leaves AS (SELECT DISTINCT {", ".join(drugs)} FROM vectors)
+          SELECT (SELECT count(*) - 1 FROM leaves) AS merges, (SELECT count(*) FROM leaves) AS leaves, count(*) AS size,
+                 round({" + ".join(f"var_pop({n}) * count(*)" for n in drugs)}, 3) AS sum_of_squares FROM vectors""",
+        "cluster_attribute_tree": _attribute_tree(),
         "cluster_sizes": f"""WITH {panel(NET)}, {BURDEN}
           SELECT cluster, count(*) AS cluster_size, CAST(count(DISTINCT label) AS INTEGER) AS labels FROM base GROUP BY cluster""",
         "cluster_profiles": f"WITH {panel(NET)}, {BURDEN} SELECT * FROM profiles",

@@ -71,13 +71,13 @@ def analyse_clusters(panel: DataFrame, spec: RunSpec) -> dict[str, DataFrame]:
     if spec.cluster_attributes:
         base = settle(clusters.attribute_profiles(panel, spec.cluster_attributes))
         names = bounded_names(base.select(F.explode("indicators").alias("name")), "name")
-        table = clusters.indicator_columns(base, names)
+        table = clusters.indicator_vectors(base, names)
         meta = base.select("label", F.col("target").alias("data"))
     else:
         names = clusters.target_names(panel)
-        table = settle(clusters.status_profiles(panel, names))
+        table = settle(clusters.status_vectors(panel, names))
         meta = table.select("label", F.col("other").alias("data"))
-    assigned = settle(clusters.ward_clusters(table, names, spec.clusters))
+    assigned = settle(clusters.ward_clusters(table, spec.clusters))
     profiles = clusters.cluster_profiles(assigned, meta)
     out = {
         "assigned": assigned,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coterie.functions import columns as C
-from coterie.functions.frames import settle
+from coterie.functions.frames import bounded_names, settle
 from coterie.operators import charts, clusters, measures, mining, network, refine, reports, transactions as T, tree
 from coterie.plans import pipeline
 from coterie.plans.spec import RunSpec
@@ -463,15 +463,35 @@ def profile_attributes(spark: SparkSession, d: str) -> DataFrame:
 def cluster_ward(spark: SparkSession, d: str) -> DataFrame:
     panel = settle(_complete(spark, d))
     names = clusters.target_names(panel)
-    assigned = clusters.ward_clusters(settle(clusters.status_profiles(panel, names)), names)
+    assigned = clusters.ward_clusters(settle(clusters.status_vectors(panel, names)))
     return clusters.row_share(assigned)
 
 
 def cluster_merge_tree(spark: SparkSession, d: str) -> DataFrame:
     panel = settle(_complete(spark, d))
     names = clusters.target_names(panel)
-    points = settle(clusters.weighted_points(clusters.status_profiles(panel, names), names))
-    return clusters.merge_tree(clusters.ward_merges(points))
+    points = settle(clusters.weighted_points(clusters.status_vectors(panel, names)))
+    return clusters.merge_tree(clusters.ward_merges(points, block=2048))
+
+
+def cluster_tree_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What every Ward tree must add up to: its heights are the whole sum of squares."""
+    panel = settle(_complete(spark, d))
+    points = settle(clusters.weighted_points(clusters.status_vectors(panel, clusters.target_names(panel))))
+    return clusters.ward_merges(points).agg(
+        F.count("*").alias("merges"), F.max("leaves").alias("leaves"), F.max("size").cast("long").alias("size"),
+        F.round(F.sum("d2"), 3).alias("sum_of_squares"),
+    )
+
+
+def cluster_attribute_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The tree of the attribute profiles, in blocks smaller than their number."""
+    base = settle(clusters.attribute_profiles(_complete(spark, d), ("serotype", "data_source")))
+    names = bounded_names(base.select(F.explode("indicators").alias("name")), "name")
+    points = settle(clusters.weighted_points(clusters.indicator_vectors(base, names)))
+    return clusters.merge_tree(clusters.ward_merges(points, block=16)).select(
+        "step", F.round("distance", 6).alias("distance"), F.col("size").cast("long").alias("size"), "leaves"
+    )
 
 
 def _by_burden(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -560,7 +580,8 @@ REGISTRY: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     net_edges, net_strength, net_degree, net_betweenness, net_clustering_coefficient, net_modularity_by_class,
     net_communities, net_fluid_communities, report_rule_change, report_rule_summary, report_rule_type, report_network_change, chart_edges,
     chart_grouped_nodes, chart_measures, chart_filtered_rules, chart_chord_links, chart_chord_nodes,
-    chart_arrow_labels, profile_status, profile_attributes, cluster_ward, cluster_merge_tree, cluster_sizes,
+    chart_arrow_labels, profile_status, profile_attributes, cluster_ward, cluster_merge_tree,
+    cluster_tree_totals, cluster_attribute_tree, cluster_sizes,
     cluster_profiles, cluster_top5, hamming_pairs, tree_rows, test_rows, tree_null_filter, tree_imputed,
     tree_nodes, tree_accuracy,
 )

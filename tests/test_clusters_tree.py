@@ -1,8 +1,12 @@
+import itertools
 import random
+from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from coterie.functions import blocks
 from coterie.functions.frames import settle
 from coterie.operators import clusters as K
 from coterie.operators import transactions as T
@@ -16,52 +20,85 @@ def panel(spark, rows, **options):
 
 
 def naive_ward(points):
-    """Merge heights by joining the closest pair of all pairs each time."""
-    groups = [(np.array(c, float), w) for c, w in points]
+    """`(height, leaves)` of every merge, by joining the closest pair of all pairs each time.
+
+    Exact fractions; equal distances go by the smaller, then the larger of both smallest leaf keys.
+    """
+    groups = [(key, frozenset([key]), [Fraction(x) * Fraction(w) for x in c], Fraction(w)) for key, c, w in points]
     out = []
     while len(groups) > 1:
-        best = None
-        for i in range(len(groups)):
-            for j in range(i):
-                (a, wa), (b, wb) = groups[i], groups[j]
-                d = wa * wb / (wa + wb) * ((a - b) ** 2).sum()
-                if best is None or d < best[0]:
-                    best = (d, i, j)
-        d, i, j = best
-        (a, wa), (b, wb) = groups[i], groups[j]
-        groups = [g for k, g in enumerate(groups) if k not in (i, j)] + [((wa * a + wb * b) / (wa + wb), wa + wb)]
-        out.append(d)
-    return sorted(out)
-
-
-@pytest.fixture(scope="module")
-def points():
-    rng = random.Random(4)
-    return [([rng.random() * 10 for _ in range(3)], float(rng.randint(1, 5))) for _ in range(36)]
+        best = min(
+            (wa * wb / (wa + wb) * sum((x / wa - y / wb) ** 2 for x, y in zip(a, b, strict=True)), *sorted((ka, kb)))
+            for i, (ka, _, a, wa) in enumerate(groups) for kb, _, b, wb in groups[:i]
+        )
+        (ka, la, a, wa), (_, lb, b, wb) = (next(g for g in groups if g[0] == k) for k in best[1:])
+        groups = [g for g in groups if g[0] not in best[1:]] + [(ka, la | lb, [x + y for x, y in zip(a, b, strict=True)], wa + wb)]
+        out.append((float(best[0]), la | lb))
+    return out
 
 
-@pytest.mark.parametrize("last,block", [(1000, 1000), (10, 12)])
-def test_ward_heights(spark, points, last, block):
-    df = spark.createDataFrame([(f"p{i:02}", w, c) for i, (c, w) in enumerate(points)], "node string, size double, centre array<double>")
-    merges = K.ward_merges(df, last, block)
-    got = sorted(r.d2 for r in merges.collect())
-    assert got == pytest.approx(naive_ward(points), rel=1e-6)
-    assigned = K.cut_tree(df, merges, 4).collect()
-    assert len(assigned) == 36 and {r.cluster for r in assigned} == {0, 1, 2, 3}
+def leaf_sets(merges):
+    """`(height, leaves)` of every merge of a log."""
+    rows = {r.node: r for r in merges.collect()}
+
+    def leaves(node):
+        return leaves(rows[node].left) | leaves(rows[node].right) if node in rows else frozenset([node])
+
+    assert all(r.leaves == len(leaves(n)) for n, r in rows.items())
+    return [(r.d2, leaves(n)) for n, r in rows.items()]
+
+
+def as_points(spark, points):
+    return spark.createDataFrame([(k, w, c) for k, c, w in points], "node string, size double, vector array<double>")
+
+
+def same_tree(got, want):
+    got, want = ({leaves: height for height, leaves in x} for x in (got, want))
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+def drawn_points(kind, n):
+    rng = random.Random(4)
+    if kind == "spread":
+        return [(f"p{i:03}", [rng.random() * 10 for _ in range(3)], float(rng.randint(1, 5))) for i in range(n)]
+    # small whole numbers: most distances are tied
+    every = rng.sample(list(itertools.product(range(4), repeat=4)), n)
+    return [(",".join(map(str, c)), [float(x) for x in c], float(rng.choice([1, 1, 1, 2, 40]))) for c in every]
+
+
+@pytest.mark.parametrize("kind", ["spread", "tied"])
+def test_ward_tree_for_several_block_sizes(spark, kind):
+    points = drawn_points(kind, 40)
+    want = naive_ward(points)
+    df = settle(as_points(spark, points))
+    for block in (1000, 22):
+        merges = K.ward_merges(df, block)
+        same_tree(leaf_sets(merges), want)
     heights = [r.distance for r in K.merge_tree(merges).orderBy("step").collect()]
-    assert heights == sorted(heights)
+    assert heights == sorted(heights) and len(heights) == 39
+    assigned = K.cut_tree(df, merges, 4).collect()
+    assert len(assigned) == 40 and {r.cluster for r in assigned} == {0, 1, 2, 3}
 
 
-def test_ward_cut_does_not_depend_on_the_blocks(spark, points):
-    df = spark.createDataFrame([(f"p{i:02}", w, c) for i, (c, w) in enumerate(points)], "node string, size double, centre array<double>")
+def test_ward_with_far_more_blocks_than_are_looked_at_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(K, "NEAR_BLOCKS", 1)
+    points = drawn_points("tied", 16)
+    same_tree(leaf_sets(K.ward_merges(as_points(spark, points), 5)), naive_ward(points))
 
-    def groups(last, block):
-        out = {}
-        for r in K.cut_tree(df, K.ward_merges(df, last, block), 5).collect():
-            out.setdefault(r.cluster, set()).add(r.node)
-        return sorted(map(sorted, out.values()))
 
-    assert groups(1000, 1000) == groups(12, 20)
+def test_blocks_merge_only_what_is_proven():
+    def cluster(key, x, block=0):
+        return {"block": block, "key": key, "node": key, "size": 1.0, "leaves": 1, "sums": [x], "height": 0.0, "level": 0}
+
+    block = pd.DataFrame([cluster("a", 0.0), cluster("b", 1.0), cluster("c", 5.0), cluster("d", 6.5)])
+    near = pd.DataFrame({"boxes": [[{"least": 1.0, "low": [7.0], "high": [9.0]}]], "cap": [np.inf]})
+    out = blocks.merge_within(block, near)
+    assert set(out[out["left"].notna()]["node"]) == {"m:b"}  # d may be nearer to the box than to c
+    assert sorted(out[out["alive"]]["key"]) == ["a", "c", "d"]
+    assert len(blocks.merge_within(block, near.assign(cap=0.1))) == 4
+    whole = blocks.merge_within(block, pd.DataFrame())
+    assert whole["left"].notna().sum() == 3 and whole["alive"].sum() == 1
 
 
 def test_ward_separates_plain_groups(spark):
@@ -71,14 +108,23 @@ def test_ward_separates_plain_groups(spark):
         rows += [(i, "A", status, "x"), (i, "B", status, "x")]
     p = panel(spark, rows)
     names = K.target_names(p)
-    assigned = K.ward_clusters(K.status_profiles(p, names), names, k=2).collect()
+    assigned = K.ward_clusters(K.status_vectors(p, names), k=2).collect()
     assert len({(r.label, r.cluster) for r in assigned}) == 2
     assert {r.label for r in assigned} == {"[A, B]", "[All susceptible]"}
 
 
 def test_one_profile_is_one_cluster(spark):
     p = panel(spark, [(1, "A", "resistant", "x"), (2, "A", "resistant", "x")])
-    assert {r.cluster for r in K.ward_clusters(K.status_profiles(p), ["A"]).collect()} == {0}
+    assert {r.cluster for r in K.ward_clusters(K.status_vectors(p, ["A"])).collect()} == {0}
+
+
+def test_any_text_may_be_a_name(spark):
+    rows = [(i, n, ("resistant", "susceptible")[i % 2], "a.b") for i in range(6) for n in ("x.y", "id", "`q`", "Label", "label")]
+    p = panel(spark, rows)
+    names = K.target_names(p)
+    assert {r.cluster for r in K.ward_clusters(K.status_vectors(p, names), k=2).collect()} == {0, 1}
+    base = K.attribute_profiles(p, ["s"])
+    assert [r.vector for r in K.indicator_vectors(base, ["sa.b", "none"]).collect()] == [[1.0, 0.0]] * 3
 
 
 def test_status_profiles(spark):
