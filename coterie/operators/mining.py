@@ -49,16 +49,17 @@ def association_rules(itemsets: DataFrame, min_confidence: float) -> DataFrame:
     """Rules with one consequent item, by two joins of the settled itemsets.
 
     Every subset of a frequent itemset is frequent, so both joins always find
-    their partner; the join keys are whole itemsets and do not pile up.
+    their partner; the join keys are whole itemsets as arrays, so they do not pile up, and
+    an item's text may hold anything.
     """
     whole = itemsets.where(F.size("items") > 1).select("items", "freq", "n_baskets", F.explode("items").alias("con"))
     whole = whole.withColumn("antecedent", F.array_remove(F.col("items"), F.col("con"))).withColumn(
         "antecedent_key", F.array_join("antecedent", " & ")
     )
-    side = itemsets.select(F.col("item_key").alias("antecedent_key"), F.col("freq").alias("freq_ant"))
-    single = itemsets.where(F.size("items") == 1).select(F.col("item_key").alias("con"), F.col("freq").alias("freq_con"))
+    side = itemsets.select(F.col("items").alias("antecedent"), F.col("freq").alias("freq_ant"))
+    single = itemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("con"), F.col("freq").alias("freq_con"))
     rules = (
-        whole.join(side, "antecedent_key")
+        whole.join(side, "antecedent")
         .withColumn("confidence", F.col("freq") / F.col("freq_ant"))
         .where(F.col("confidence") >= min_confidence)
         .join(single, "con")

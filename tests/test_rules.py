@@ -215,6 +215,46 @@ def test_rule_counts_against_a_scan_with_list_values(spark):
         assert r.real_support >= r.support
 
 
+def test_rule_counts_with_a_skewed_list_of_attributes(spark, monkeypatch):
+    """Nearly all panels have the same attributes; their profiles are met in many parts."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        for t in "ABCD" if i % 10 else "AB":
+            rows.append((i, t, rng.choice(["resistant", "susceptible", "intermediate"]), f"s{rng.randint(0, 4)}"))
+    panel = P.panels({"v": spark.createDataFrame(rows, "id int, drug string, status string, s string")})
+    profiles = settle(T.profiles(panel))
+    monkeypatch.setattr(measures, "PART", 10)
+    found = settle(mining.association_rules(mining.frequent_itemsets(T.baskets(panel), 0.05), 0.1))
+    scans = [{f"{x.attr}:{x.value}" for x in list(r.target) + list(r.other)} for r in T.complete(panel).collect()]
+    out = measures.rar(found, profiles).collect()
+    assert len(out) > 20
+    for r in out:
+        assert (r.n_complete, r.n_x, r.n_y, r.n_xy) == brute_counts(scans, r)
+
+
+def test_attribute_sets_held_by_lists(spark):
+    shapes = spark.createDataFrame([(["c", "a", "b"],), (["b"],), ([],), (["a b", "a"],)], "attrs array<string>")
+    sets = [["a"], ["a", "b"], ["a", "c"], ["a", "a b"], ["b", "d"], ["b"]]
+    wanted = spark.createDataFrame([(x, ["w"]) for x in sets], "rule_attrs array<string>, wanted array<string>")
+    got = {(tuple(r.attrs), tuple(r.rule_attrs)) for r in measures.held_sets(shapes, wanted).collect()}
+    assert got == {(tuple(s.attrs), tuple(x)) for s in shapes.collect() for x in sets if set(x) <= set(s.attrs)}
+    assert measures.held_sets(shapes, wanted.limit(0)).count() == 0
+
+
+def test_items_may_hold_the_mark_between_items(spark):
+    """`p:a & q:b` is one item here, and `p:a` with `q:b` are two; their texts are alike."""
+    rows = [(i, ["p:a", "q:b", "r:c"]) for i in range(30)] + [(i, ["p:a & q:b", "r:c"]) for i in range(30, 50)]
+    df = spark.createDataFrame(rows, "id int, items array<string>")
+    found = mining.association_rules(mining.frequent_itemsets(df, 0.1), 0.0).collect()
+    assert len({(tuple(r.antecedent), tuple(r.consequent)) for r in found}) == len(found)
+    for r in found:
+        have = [set(items) for _, items in rows]
+        x, y = set(r.antecedent), set(r.consequent)
+        assert r.support * 50 == pytest.approx(sum(x | y <= h for h in have))
+        assert r.confidence == pytest.approx(sum(x | y <= h for h in have) / sum(x <= h for h in have))
+
+
 def test_cross_support_and_plain(spark):
     panel = missing_panel(spark)
     profiles = settle(T.profiles(panel))
