@@ -6,7 +6,7 @@ single row to decide whether to go on.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coterie.functions import columns as C
@@ -136,6 +136,11 @@ def _ends(edges: DataFrame, *more: str) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node"), *more)
 
 
+def graph_nodes(edges: DataFrame) -> DataFrame:
+    """`node`: every node that has an edge."""
+    return _ends(edges).distinct()
+
+
 def strength(edges: DataFrame) -> DataFrame:
     """`node, strength`: sum of the lifts at a node."""
     return _ends(edges, "lift").groupBy("node").agg(F.sum("lift").alias("strength"))
@@ -253,40 +258,70 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
 def greedy_communities(edges: DataFrame) -> DataFrame:
     """`node, community`: join the two communities that gain most modularity until none gains.
 
-    Communities are numbered by size, largest first, the name settling ties.
+    Equal gains go by the names. Communities are numbered by size, largest first, the name settling ties.
     """
-    spark = edges.sparkSession
-    a, b = F.least("src", "dst"), F.greatest("src", "dst")
-    pairs = settle(edges.groupBy(a.alias("c1"), b.alias("c2")).agg(F.sum("lift").alias("w")))
-    m = pairs.agg(F.sum("w")).head()[0] or 0.0
     members = settle(_ends(edges).distinct())
-    merged: list[tuple[str, str]] = []
-    while m > 0:
-        ends = pairs.select(F.explode(F.array("c1", "c2")).alias("c"), "w").groupBy("c").agg(F.sum("w").alias("k"))
-        best = (
-            pairs.where("c1 <> c2")
-            .join(ends.select(F.col("c").alias("c1"), F.col("k").alias("k1")), "c1")
-            .join(ends.select(F.col("c").alias("c2"), F.col("k").alias("k2")), "c2")
-            .select("c1", "c2", F.round(F.col("w") / m - F.col("k1") * F.col("k2") / (2 * m * m), 12).alias("gain"))
-            .where("gain > 0").orderBy(F.desc("gain"), "c1", "c2").limit(1).head()
-        )
-        if best is None:
-            break
-        merged.append((best.c2, best.c1))
+    moves = greedy_merges(edges, members)
+    return _numbered(_heads(members, moves.select("node", F.col("into").alias("head"))))
+
 
-        def moved(c: str, old: str = best.c2, new: str = best.c1) -> Column:
-            return F.when(F.col(c) == old, F.lit(new)).otherwise(F.col(c))
+def greedy_merges(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """`node, into, gain, round`: the merges of the greedy search, each by the name of the community that goes.
 
+    Communities of different components never gain by a merge and share no pair, so each
+    round joins the best pair of every component; within one, a merge can change which
+    pair is best. The table of pairs carries the weights of both ends and is kept from round to round: the
+    pairs of a merged community take its name and its weight, and those that become one are summed.
+    """
+    a, b = F.least("src", "dst"), F.greatest("src", "dst")
+    links = settle(edges.groupBy(a.alias("c1"), b.alias("c2")).agg(F.sum("lift").alias("w")))
+    log = edges.sparkSession.createDataFrame([], "node string, into string, gain double, round int")
+    m = links.agg(F.sum("w")).head()[0] or 0.0
+    if m <= 0:
+        return log
+    # a community's weight: all ends of edges in it, both ends of a loop
+    ends = links.select(F.inline(F.array(F.struct(F.col("c1").alias("c"), "w"), F.struct(F.col("c2").alias("c"), "w"))))
+    weight = settle(ends.groupBy("c").agg(F.sum("w").alias("k")))
+    part = components(edges, members).select(F.col("node").alias("c1"), F.col("head").alias("part"))
+    pairs = settle(
+        links.where("c1 <> c2").join(part, "c1").join(weight.toDF("c1", "k1"), "c1").join(weight.toDF("c2", "k2"), "c2")
+        .select("part", "c1", "c2", "k1", "k2", "w")
+    )
+    gain = F.round(F.col("w") / m - F.col("k1") * F.col("k2") / (2 * m * m), 12)
+    number = 0
+    while True:
+        number += 1
+        first = F.min(F.struct((-F.col("gain")).alias("loss"), "c1", "c2", "k1", "k2"))
+        best = pairs.withColumn("gain", gain).where("gain > 0").groupBy("part").agg(first.alias("b")).select("b.*")
+        best = settle(best)
+        if best.isEmpty():
+            return settle(log)
+        step = best.select(F.col("c2").alias("node"), F.col("c1").alias("into"), (-F.col("loss")).alias("gain"), F.lit(number).alias("round"))
+        log = log.unionByName(step)
+        if number % 20 == 0:
+            log = settle(log)
+        joined = F.col("k1") + F.col("k2")
+        both = [F.struct(F.col(c).alias("c"), F.col("c1").alias("n"), joined.alias("k")) for c in ("c1", "c2")]
+        new = best.select(F.inline(F.array(*both)))
+        x = F.struct(F.coalesce("n1", "c1").alias("c"), F.coalesce("m1", "k1").alias("k"))
+        y = F.struct(F.coalesce("n2", "c2").alias("c"), F.coalesce("m2", "k2").alias("k"))
+        moved = pairs.join(new.toDF("c1", "n1", "m1"), "c1", "left").join(new.toDF("c2", "n2", "m2"), "c2", "left")
+        moved = moved.select("part", F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), "w").where("x.c <> y.c")
         pairs = settle(
-            pairs.select(moved("c1").alias("x"), moved("c2").alias("y"), "w")
-            .groupBy(F.least("x", "y").alias("c1"), F.greatest("x", "y").alias("c2")).agg(F.sum("w").alias("w"))
+            moved.groupBy("part", F.col("x.c").alias("c1"), F.col("y.c").alias("c2"))
+            .agg(F.max("x.k").alias("k1"), F.max("y.k").alias("k2"), F.sum("w").alias("w"))
         )
-    final: dict[str, str] = {}
-    for old, new in reversed(merged):
-        final[old] = final.get(new, new)
-    moves = spark.createDataFrame(list(final.items()), "node string, moved string")
-    placed = members.join(moves, "node", "left").select("node", F.coalesce("moved", "node").alias("head"))
-    return _numbered(placed)
+
+
+def _heads(members: DataFrame, up: DataFrame) -> DataFrame:
+    """`node, head` at the end of each node's chain of moves `node, head`; chains halve every round."""
+    up = settle(members.join(up, "node", "left").select("node", F.coalesce("head", "node").alias("head")))
+    while True:
+        next_up = up.select(F.col("node").alias("head"), F.col("head").alias("next"))
+        step = settle(up.join(next_up, "head").select("node", "head", "next"))
+        if step.where("head <> next").isEmpty():
+            return step.select("node", "head")
+        up = step.select("node", F.col("next").alias("head"))
 
 
 def _numbered(placed: DataFrame) -> DataFrame:
@@ -348,38 +383,95 @@ def girvan_newman(edges: DataFrame, max_communities: int = 12) -> DataFrame:
     return out if out is not None else members.select(F.lit(0).alias("level"), "node", F.lit(1).cast("bigint").alias("community"))
 
 
-def fluid_communities(edges: DataFrame, k: int, max_rounds: int = 100, seed: int = 0) -> DataFrame:
-    """`node, community`: k fluids spread from seeded nodes, each of total density 1.
+def colours(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """`node, colour`: neighbours differ. Nodes that come first among their uncoloured neighbours choose in one round."""
+    adjacent = settle(_both_ways(edges).where("src <> dst").select("src", "dst").distinct())
+    open_nodes = settle(members.select("node", F.md5("node").alias("turn")))
+    done = settle(open_nodes.limit(0).select("node", F.lit(0).alias("colour")))
+    while not open_nodes.isEmpty():
+        near = adjacent.join(open_nodes.toDF("dst", "their_turn"), "dst").groupBy(F.col("src").alias("node")).agg(
+            F.min(F.struct("their_turn", "dst")).alias("first")
+        )
+        ready = open_nodes.join(near, "node", "left").where(
+            F.col("first").isNull() | (F.struct(F.col("turn").alias("their_turn"), F.col("node").alias("dst")) < F.col("first"))
+        )
+        taken = adjacent.join(done.toDF("dst", "theirs"), "dst").groupBy(F.col("src").alias("node")).agg(
+            F.collect_set("theirs").alias("taken")
+        )
+        none = F.array().cast("array<int>")
+        free = F.coalesce("taken", none)
+        # the smallest number that no neighbour has
+        colour = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(free)), free))
+        chosen = settle(ready.join(taken, "node", "left").select("node", colour.alias("colour")))
+        done = settle(done.unionByName(chosen))
+        open_nodes = settle(open_nodes.join(chosen, "node", "left_anti"))
+    return done
+
+
+def fluid_seeds(edges: DataFrame, members: DataFrame, k: int, seed: int) -> DataFrame:
+    """`node, fluid`: one node of every component, then further ones up to k, in the order of a hash."""
+    order = F.md5(F.concat_ws(":", F.col("node"), F.lit(str(seed))))
+    placed = components(edges, members).withColumn("turn", order)
+    first = placed.withColumn("later", F.row_number().over(Window.partitionBy("head").orderBy("turn", "node")) > 1)
+    chosen = ranked(first, [F.col("later"), F.col("turn"), F.col("node")], "place")
+    return chosen.where((F.col("place") <= k) | ~F.col("later")).select("node", F.col("node").alias("fluid"))
+
+
+def _pressure(adjacent: DataFrame, labels: DataFrame) -> DataFrame:
+    """`node, fluid, d`: how dense each fluid is around a node, the node included; `own` marks its present one."""
+    density = labels.where(F.col("fluid").isNotNull()).groupBy("fluid").agg((1.0 / F.count("*")).alias("d"))
+    held = labels.join(density, "fluid")
+    around = (
+        adjacent.join(held.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "fluid", "d")
+        .unionByName(held.select("node", "fluid", "d"))
+        .groupBy("node", "fluid").agg(F.round(F.sum("d"), 12).alias("d"))
+    )
+    own = labels.select("node", "fluid", F.lit(1).alias("own"))
+    return around.join(own, ["node", "fluid"], "left").fillna(0, ["own"])
 
-    All nodes update at once; a node takes the fluid that is densest around it
-    and keeps its own on a tie. Rounds stop when nothing moves.
+
+def fluid_communities(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """`node, community, converged`: fluids spread from seeded nodes, each of total density 1.
+
+    Every component has a fluid, so every node gets one; there are k communities, or as
+    many as components if these are more. Nodes of one colour have no edge between them and
+    take the fluid that is densest around them at once; then the densities are summed
+    anew and the next colour follows. A node keeps its fluid on a tie. The rounds
+    end when none moves. Rounds follow from the labels alone, so should a state ever come
+    back the rounds would go on in a circle: they stop there, and `converged` is false.
     """
-    adjacent = _both_ways(edges)
     members = settle(_ends(edges).distinct())
-    order = F.md5(F.concat_ws(":", F.col("node"), F.lit(str(seed))))
-    labels = settle(members.orderBy(order).limit(k).select("node", F.col("node").alias("fluid")))
-    for _ in range(max_rounds):
-        density = labels.groupBy("fluid").agg((1.0 / F.count("*")).alias("d"))
-        held = labels.join(density, "fluid")
-        around = (
-            adjacent.join(held, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "fluid", "d")
-            .unionByName(held.select("node", "fluid", "d"))
-            .groupBy("node", "fluid").agg(F.round(F.sum("d"), 12).alias("d"))
-        )
-        own = labels.withColumn("own", F.lit(1))
-        chosen = (
-            around.join(own, ["node", "fluid"], "left")
-            .groupBy("node")
-            .agg(F.max(F.struct("d", F.coalesce("own", F.lit(0)).alias("own"), "fluid")).alias("best"))
-            .select("node", F.col("best.fluid").alias("fluid"))
-        )
-        after = settle(chosen)
-        changed = after.join(labels, ["node", "fluid"], "left_anti")
-        done = changed.isEmpty()
-        labels = after
-        if done:
+    adjacent = settle(_both_ways(edges).where("src <> dst").select("src", "dst").distinct())
+    coloured = colours(edges, members)
+    last = coloured.agg(F.max("colour")).head()[0]
+    labels = settle(members.join(fluid_seeds(edges, members, k, seed), "node", "left"))
+    seen: set[int] = set()
+    converged = last is None
+    while not converged:
+        before = labels
+        for colour in range(last + 1):
+            moving = coloured.where(F.col("colour") == colour).select("node")
+            best = (
+                _pressure(adjacent, labels).join(moving, "node", "left_semi").groupBy("node")
+                .agg(F.max(F.struct("d", "own", "fluid")).alias("best")).select("node", F.col("best.fluid").alias("next"))
+            )
+            labels = settle(labels.join(best, "node", "left").select("node", F.coalesce("next", "fluid").alias("fluid")))
+        same = labels.alias("a").join(before.alias("b"), "node").where(~F.col("a.fluid").eqNullSafe(F.col("b.fluid")))
+        converged = same.isEmpty() and labels.where("fluid IS NULL").isEmpty()
+        state = labels.agg(F.bit_xor(F.xxhash64("node", "fluid"))).head()[0]
+        if state in seen:
             break
-    return _numbered(labels.select("node", F.col("fluid").alias("head")))
+        seen.add(state)
+    numbered = _numbered(labels.select("node", F.col("fluid").alias("head")))
+    return numbered.withColumn("converged", F.lit(converged))
+
+
+def fluid_unsettled(edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """Nodes that another fluid than their own presses on harder."""
+    adjacent = _both_ways(edges).where("src <> dst").select("src", "dst").distinct()
+    pressure = _pressure(adjacent, communities.select("node", F.col("community").alias("fluid")))
+    best = pressure.groupBy("node").agg(F.max("d").alias("most"), F.max(F.when(F.col("own") == 1, F.col("d"))).alias("mine"))
+    return best.where(F.coalesce("mine", F.lit(0.0)) < F.col("most")).select("node")
 
 
 def clustering_coefficients(edges: DataFrame) -> DataFrame:

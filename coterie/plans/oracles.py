@@ -319,6 +319,29 @@ def _cohort_rules() -> str:
     )
 
 
+def _greedy() -> str:
+    """Greedy modularity, a merge at a time: the state is the map from nodes to communities."""
+    return f"""WITH RECURSIVE {network(True)},
+      links AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(lift) AS w FROM edges GROUP BY ALL),
+      total AS (SELECT sum(w) AS m FROM links),
+      graph AS (SELECT a AS n FROM links UNION SELECT b FROM links),
+      state AS (
+        SELECT 0 AS step, (SELECT map_from_entries(list((n, n))) FROM graph) AS part, '' AS node, '' AS into_node, 0.0::DOUBLE AS gain
+        UNION ALL
+        (SELECT step + 1, map_from_entries(list_transform(map_entries(part), lambda e: (e.key, CASE WHEN e.value = p.c2 THEN p.c1 ELSE e.value END))),
+                p.c2, p.c1, round(p.w / m - k1 * k2 / (2 * m * m), 12) AS g
+         FROM (SELECT step, part, m, p,
+                 list_sum(list_transform(pairs, lambda q: q.w * (CAST(q.c1 = p.c1 AS INT) + CAST(q.c2 = p.c1 AS INT)))) AS k1,
+                 list_sum(list_transform(pairs, lambda q: q.w * (CAST(q.c1 = p.c2 AS INT) + CAST(q.c2 = p.c2 AS INT)))) AS k2
+               FROM (SELECT *, unnest(pairs) AS p FROM (
+                 SELECT step, any_value(part) AS part, any_value(m) AS m, list({{'c1': c1, 'c2': c2, 'w': w}}) AS pairs
+                 FROM (SELECT step, any_value(part) AS part, any_value(m) AS m, least(x, y) AS c1, greatest(x, y) AS c2, sum(w) AS w
+                       FROM (SELECT step, part, m, w, map_extract_value(part, a) AS x, map_extract_value(part, b) AS y FROM state, links, total)
+                       GROUP BY step, c1, c2) GROUP BY step)) WHERE p.c1 <> p.c2)
+         WHERE round(p.w / m - k1 * k2 / (2 * m * m), 12) > 0 ORDER BY g DESC, p.c1, p.c2 LIMIT 1))
+      SELECT node, into_node AS "into", round(gain, 9) AS gain FROM state WHERE step > 0"""
+
+
 def _attribute_tree() -> str:
     """Ward clustering one pair at a time: the state of the recursion is the list of clusters left."""
     return f"""WITH RECURSIVE {panel(NET)},
@@ -475,6 +498,12 @@ def oracle_sql() -> dict[str, str]:
           around AS (SELECT community AS c, sum(lift) AS k FROM ends JOIN class_community USING (node) GROUP BY ALL)
           SELECT round(sum(coalesce(l, 0) / m - (k / (2 * m)) ** 2), 9) AS modularity, count(*) AS communities
           FROM around LEFT JOIN inside USING (c) CROSS JOIN m""",
+        "net_greedy_merges": _greedy(),
+        "net_fluid_checks": f"""WITH RECURSIVE {network(True)},
+          near AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+          reach AS (SELECT a AS x, a AS y FROM near UNION SELECT x, b FROM reach JOIN near ON a = y),
+          heads AS (SELECT x, min(y) AS head FROM reach GROUP BY x)
+          SELECT count(*) AS nodes, greatest(3, count(DISTINCT head)) AS communities, TRUE AS converged, CAST(0 AS BIGINT) AS unsettled FROM heads""",
         "report_rule_change": f"""WITH {_changes(Q.CHANGE_LIMITS)} SELECT association, {_rounded(before_after)}, {marks} FROM changes""",
         "report_rule_summary": f"""WITH {_changes(Q.CHANGE_LIMITS)}, {TESTS}, {CLASSES},
           {_types("before_rules", "'Cephalosporins', 'Penicillins', 'Beta lactam', 'Carbapenems'")},

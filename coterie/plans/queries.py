@@ -335,6 +335,21 @@ def net_fluid_communities(spark: SparkSession, d: str) -> DataFrame:
     return network.fluid_communities(_edges(spark, d, bipartite=True), k=3)
 
 
+def net_fluid_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What fluid communities must fulfil: all nodes placed, as many fluids as asked for, nothing left to move."""
+    edges = _edges(spark, d, bipartite=True)
+    found = settle(network.fluid_communities(edges, k=3))
+    unsettled = network.fluid_unsettled(edges, found).agg(F.count("*").alias("unsettled"))
+    totals = found.agg(F.count("*").alias("nodes"), F.countDistinct("community").alias("communities"), F.bool_and("converged").alias("converged"))
+    return totals.withColumn("unsettled", unsettled.scalar())
+
+
+def net_greedy_merges(spark: SparkSession, d: str) -> DataFrame:
+    edges = _edges(spark, d, bipartite=True)
+    merges = network.greedy_merges(edges, settle(network.graph_nodes(edges)))
+    return merges.select("node", "into", F.round("gain", 9).alias("gain"))
+
+
 def net_communities(spark: SparkSession, d: str) -> DataFrame:
     return network.greedy_communities(_edges(spark, d, bipartite=True))
 
@@ -578,7 +593,8 @@ REGISTRY: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     rules_pruned, rules_combined, rule_states, rule_clusters, rule_numbers, rule_attributes, rule_weighted_rows,
     rules_refined, run_rules, net_target_target, net_target_attribute, net_target_attribute_lists, net_attribute_attribute,
     net_edges, net_strength, net_degree, net_betweenness, net_clustering_coefficient, net_modularity_by_class,
-    net_communities, net_fluid_communities, report_rule_change, report_rule_summary, report_rule_type, report_network_change, chart_edges,
+    net_communities, net_greedy_merges, net_fluid_communities, net_fluid_checks,
+    report_rule_change, report_rule_summary, report_rule_type, report_network_change, chart_edges,
     chart_grouped_nodes, chart_measures, chart_filtered_rules, chart_chord_links, chart_chord_nodes,
     chart_arrow_labels, profile_status, profile_attributes, cluster_ward, cluster_merge_tree,
     cluster_tree_totals, cluster_attribute_tree, cluster_sizes,

@@ -1,10 +1,12 @@
 import itertools
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 import golden
+from coterie.functions.frames import settle
 from coterie.operators import network, transactions as T
 from coterie.sources import panels as P
 from coterie.sources.sinks import graphml_lines
@@ -98,10 +100,74 @@ def test_girvan_newman_cuts_the_bridge(spark):
     assert sorted(map(sorted, groups.values())) == [["a", "b", "c"], ["d", "e", "f"]]
 
 
-def test_fluid_communities_cover_all_nodes(spark):
-    out = network.fluid_communities(frame(spark, two_triangles()), k=2).collect()
-    assert sorted(r.node for r in out) == list("abcdef")
-    assert len({r.community for r in out}) <= 2
+def fluids(spark, edges, k):
+    df = frame(spark, edges)
+    found = network.fluid_communities(df, k)
+    rows = found.collect()
+    assert sorted(r.node for r in rows) == sorted({n for e in edges for n in e[:2]})
+    assert all(r.converged for r in rows)
+    assert network.fluid_unsettled(df, found).isEmpty()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.community, set()).add(r.node)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_fluid_communities(spark):
+    assert len(fluids(spark, two_triangles(), 2)) == 2
+    cycle = [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("a", "d", 1.0)]
+    assert len(fluids(spark, cycle, 2)) == 2
+
+
+def test_fluid_communities_reach_every_component(spark):
+    pairs = [("a", "b", 1.0), ("c", "d", 1.0), ("e", "f", 1.0)]
+    assert fluids(spark, pairs, 2) == [["a", "b"], ["c", "d"], ["e", "f"]]
+    assert len(fluids(spark, [*two_triangles(), ("x", "y", 1.0)], 3)) == 3
+
+
+def test_neighbours_have_different_colours(spark):
+    rng = random.Random(3)
+    pairs = sorted({tuple(sorted(rng.sample("abcdefghijkl", 2))) for _ in range(30)})
+    edges = frame(spark, [(a, b, 1.0) for a, b in pairs])
+    members = settle(network.graph_nodes(edges))
+    got = {r.node: r.colour for r in network.colours(edges, members).collect()}
+    assert set(got) == {n for p in pairs for n in p} and all(got[a] != got[b] for a, b in pairs)
+
+
+def naive_merges(edges):
+    """Greedy modularity by trying every pair of communities each time."""
+    m = sum(w for *_, w in edges)
+    part = {n: n for e in edges for n in e[:2]}
+    out = []
+    while True:
+        k, between = defaultdict(float), defaultdict(float)
+        for a, b, w in edges:
+            x, y = sorted((part[a], part[b]))
+            k[x] += w
+            k[y] += w
+            between[x, y] += w
+        gains = [(-round(w / m - k[x] * k[y] / (2 * m * m), 12), x, y) for (x, y), w in between.items() if x != y]
+        best = min(gains, default=(0, "", ""))
+        if best[0] >= 0:
+            return sorted(out)
+        out.append((best[2], best[1], -best[0]))
+        part = {n: best[1] if c == best[2] else c for n, c in part.items()}
+
+
+def test_greedy_merges_against_every_pair(spark):
+    rng = random.Random(8)
+    for letters in ("abcdefgh", "mnopqr"):  # the second time with two further components
+        pairs = sorted({tuple(sorted(rng.sample(letters, 2))) for _ in range(14)})
+        edges = [(a, b, float(rng.randint(1, 9))) for a, b in pairs]
+        if letters[0] == "m":
+            edges += [("a", "b", 2.0), ("b", "c", 3.0), ("a", "c", 2.5), ("x", "y", 1.0), ("y", "z", 1.0)]
+        df = settle(frame(spark, edges))
+        rows = network.greedy_merges(df, settle(network.graph_nodes(df))).collect()
+        got = sorted((r.node, r.into, r.gain) for r in rows)
+        want = naive_merges(edges)
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+        assert [r[2] for r in got] == pytest.approx([r[2] for r in want])
+    assert max(r["round"] for r in rows) < len(rows)  # components merge at once
 
 
 def test_components(spark):
