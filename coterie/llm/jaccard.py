@@ -51,6 +51,8 @@ BITS = 2048
 FREQUENT = 1 << 20
 OFTEN = 64  # a token in more documents than this may count as frequent
 FANOUT = 16
+FILTER_BITS = 1 << 27
+FILTER_PART = 1 << 17
 COUNTED = np.uint64(1 << 62)  # tokens below it are counted
 
 
@@ -326,10 +328,66 @@ def across_components(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(lean(run), "a long, b long")
 
 
+class KeyFilter:
+    """A Bloom filter of 64-bit keys, of 16 bits a key and `FILTER_BITS` at most.
+
+    Rows whose key is not among them are dropped where they are read, but for a share that grows
+    once the keys are more than the bits allow; no row is ever dropped wrongly.
+    """
+
+    def __init__(self, keys: DataFrame):
+        spark = keys.sparkSession
+        bits = min(FILTER_BITS, max(FILTER_PART, 1 << (16 * keys.count()).bit_length()))
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = np.unique(np.concatenate(_places(batch.column("key").to_numpy(), bits)))
+                part = found // FILTER_PART
+                cuts = np.flatnonzero(np.diff(part)) + 1
+                rows = [x.astype(np.uint32).tobytes() for x in np.split(found, cuts)] if len(found) else []
+                numbers = part[np.concatenate([[0], cuts])] if len(found) else part
+                yield pa.record_batch([pa.array(numbers.astype(np.int32)), pa.array(rows, pa.binary())], ["part", "places"])
+
+        def joined(table: pa.Table) -> pa.Table:
+            part = table.column("part")[0].as_py()
+            found = np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint32) - np.uint32(part * FILTER_PART)
+            held = np.zeros(FILTER_PART, bool)
+            held[found] = True
+            return pa.table({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(held).tobytes()], pa.binary())})
+
+        filled = keys.mapInArrow(lean(places), "part int, places binary").groupBy("part").applyInArrow(joined, "part int, bits binary")
+        held = np.zeros(bits // 8, np.uint8)  # 16 MB at most, however many keys there are
+        for r in filled.collect():
+            at = r["part"] * FILTER_PART // 8
+            held[at : at + FILTER_PART // 8] = np.frombuffer(r["bits"], np.uint8)
+        self._bits, self._held = bits, spark.sparkContext.broadcast(held)
+
+    def passed(self, rows: DataFrame) -> DataFrame:
+        """The rows whose `key` may be among the keys."""
+        bits, shared = self._bits, self._held
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = shared.value
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for at in _places(batch.column("key").to_numpy(), bits):
+                    keep &= (held[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+                yield batch.take(pa.array(np.flatnonzero(keep)))
+
+        return rows.mapInArrow(lean(run), rows.schema)
+
+
+def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Four places of each key."""
+    keys = keys.astype(np.uint64)
+    return [(mixed(keys + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(bits)).astype(np.int64) for k in range(1, 5)]
+
+
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs `a, b` whose whole texts' sets reach the similarity.
 
-    Wide bitmaps drop nearly all others before any text moves.
+    Wide bitmaps drop nearly all others before any text moves, and a filter of fixed size
+    keeps back the texts of rows that are in no pair.
     """
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,8 +403,10 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = settle(wanted.join(sets.select("set_id", "doc.*"), "set_id").withColumnRenamed("doc_id", "doc"))
     # the row that the set is of: an id alone may be null or stand for several texts
-    same = wanted["doc"].eqNullSafe(docs["doc_id"]) & (wanted["text_hash"] == F.xxhash64(docs["text"]))
-    texts = settle(wanted.join(docs, same).select("set_id", "text").dropDuplicates(["set_id"]))
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", F.xxhash64("text")).alias("key"))
+    asked = KeyFilter(wanted.select(F.xxhash64("doc", "text_hash").alias("key"))).passed(keyed)
+    same = wanted["doc"].eqNullSafe(asked["doc_id"]) & (wanted["text_hash"] == F.xxhash64(asked["text"]))
+    texts = settle(wanted.join(asked, same).select("set_id", "text").dropDuplicates(["set_id"]))
     both = pairs.join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a")
 

@@ -12,7 +12,7 @@ pytest.importorskip("coterie.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from coterie.llm import bpe, tokencount, trie, whitening  # noqa: E402
+from coterie.llm import bpe, jaccard, tokencount, trie, whitening  # noqa: E402
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -255,3 +255,15 @@ def test_token_counts_over_a_table(spark, library):
     assert tokencount.count_tokens(docs.filter("doc_id < 0")).count() == 0
     with pytest.raises(ValueError):
         tokencount.count_tokens(docs, chunk=100)
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 17])
+def test_key_filter_drops_no_wanted_row(spark, monkeypatch, bits):
+    monkeypatch.setattr(jaccard, "FILTER_BITS", bits)
+    keys = spark.range(0, 60_000, 3).select(F.xxhash64("id").alias("key"))
+    rows = spark.range(60_000).select("id", F.xxhash64("id").alias("key"))
+    kept = {r["id"] for r in jaccard.KeyFilter(keys).passed(rows).collect()}
+    assert kept >= set(range(0, 60_000, 3))
+    if bits > 1 << 17:
+        assert len(kept) < 20_000 + 400
+    assert jaccard.KeyFilter(keys.filter("key IS NULL")).passed(rows).count() == 0
