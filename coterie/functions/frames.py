@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _local_dir: dict[str, str] = {}
+#: By application: the folder of the step that runs, and that of the step before the next one.
+_step_open: dict[str, str] = {}
+_step_last: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -46,14 +50,42 @@ def _app_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession) -> str:
-    """A fresh path below this application's part of the shared folder."""
-    return f"{_app_dir(spark)}/{uuid.uuid4().hex}"
+    """A fresh path below this application's part of the shared folder, in the folder of the step that runs."""
+    folder = _step_open.get(spark.sparkContext.applicationId) or _app_dir(spark)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def step_folder(spark: SparkSession) -> Iterator[None]:
+    """Tables settled inside go to a folder of their own, which the next step of the application deletes.
+
+    So a step's result must have been written before the next one begins.
+    """
+    app = spark.sparkContext.applicationId
+    forget_step(spark)
+    _step_last[app] = _step_open[app] = f"{_app_dir(spark)}/{uuid.uuid4().hex}"
+    try:
+        yield
+    finally:
+        del _step_open[app]
+
+
+def forget_step(spark: SparkSession) -> None:
+    """Delete what the last step has settled."""
+    last = _step_last.pop(spark.sparkContext.applicationId, None)
+    if last:
+        forget(spark, last)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a settled table or folder; frames read from it end with it."""
+    gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def forget_settled(spark: SparkSession) -> None:
     """Delete every table this application has settled; frames read from them end with it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_app_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    forget(spark, _app_dir(spark))
 
 
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coterie.functions import columns as C
+from coterie.functions import frames
 from coterie.functions.frames import bounded_names, ranked, settle, work_dir
 from coterie.operators import transactions as T
 from coterie.sources import panels as P
@@ -232,3 +233,21 @@ def test_readers(spark, tmp_path):
     assert read_source(spark, "select id from some_view", "sql").first().id == 1
     spark.read.parquet(str(tmp_path / "p")).write.csv(str(tmp_path / "c"), header=True)
     assert read_source(spark, str(tmp_path / "c"), "csv", options={"header": "true"}).columns == ["id", "v"]
+
+
+def test_a_step_deletes_what_the_step_before_has_settled(spark):
+    outside = frames.settle(spark.range(3))
+    with frames.step_folder(spark):
+        first = frames.settle(spark.range(4))
+        assert first.count() == 4
+    between = frames.settle(spark.range(5))
+    with frames.step_folder(spark):
+        second = frames.settle(spark.range(6))
+        with pytest.raises(Exception):
+            first.count()
+    assert (outside.count(), between.count(), second.count()) == (3, 5, 6)
+    frames.forget_step(spark)
+    frames.forget_step(spark)
+    with pytest.raises(Exception):
+        second.count()
+    assert frames.settle(spark.range(2)).count() == 2
