@@ -23,6 +23,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,12 +98,13 @@ LOOKALIKES = {
     "․": ".", "。": ".", "｡": ".", "‐": "-", "‑": "-", "﹫": "@", " ": " ", " ": " ",
 }
 INVISIBLE = "­​‌‍⁠﻿"
+#: Kinds of Unicode decompositions that only style a character.
+STYLES = frozenset(("<wide>", "<narrow>", "<small>", "<font>", "<circle>"))
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7",
     "eight": "8", "nine": "9",
 }
 
-_UNUSUAL = re.compile(f"[{''.join(LOOKALIKES)}{INVISIBLE}٠-٩۰-۹०-९！-～\U0001d400-\U0001d7ff]")
 _BRACKETED = re.compile(r"[ \t]?[\[({<][ \t]?(at|dot|plus)[ \t]?[\])}>][ \t]?", re.I)
 _BRACKET = re.compile(r"[\[({<][ \t]?(?:at|dot|plus)", re.I)  # in all that _BRACKETED matches
 #: Fixed value: words after "dot" that are no domain endings.
@@ -154,18 +156,31 @@ class Traced:
         self.text, self.start, self.end, self.changed = "".join(text), start, end, changed
 
 
+@lru_cache(maxsize=65_536)
 def _plain(c: str) -> str:
+    """What a character stands for; raised and lowered ones stay, as they are notes more often than disguises."""
+    if c.isascii():
+        return c
     if c in INVISIBLE:
         return ""
     if c in LOOKALIKES:
         return LOOKALIKES[c]
-    digit = unicodedata.digit(c, None)
+    digit = unicodedata.decimal(c, None)
     if digit is not None:
         return str(digit)
+    if unicodedata.decomposition(c).split(" ")[0] not in STYLES:
+        return c
     folded = unicodedata.normalize("NFKC", c)
     return folded if folded.isascii() else c
 
 
+def _unusual(text: str) -> list[tuple[int, int, str]]:
+    if text.isascii():
+        return []
+    odd = "".join(c for c in set(text) if _plain(c) != c)
+    return [(m.start(), m.end(), _plain(m[0])) for m in re.finditer(f"[{re.escape(odd)}]", text)] if odd else []
+
+
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _SPELLED.finditer(text):
@@ -196,10 +211,8 @@ def _named(text: str) -> list[tuple[int, int, str]]:
 
 def deobfuscated(text: str) -> Traced | None:
     """The text with disguises rewritten, null if there are none."""
-    traced = Traced(text) if not text.isascii() and _UNUSUAL.search(text) else None
-    if traced:
-        traced.rewrite([(m.start(), m.end(), p) for m in _UNUSUAL.finditer(text) if (p := _plain(m[0])) != m[0]])
-    for edits_of in (_spelled, _bracketed, _named):
+    traced = None
+    for edits_of in (_unusual, _spelled, _bracketed, _named):
         edits = edits_of(traced.text if traced else text)
         if edits:
             traced = traced or Traced(text)

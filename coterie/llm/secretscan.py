@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coterie.functions.frames import settle
-from coterie.llm.columns import bind, words_of
+from coterie.llm.columns import SPACE, bind, words_of
 
 SHORTEST = 16
 TRAIN_ROWS = 20_000
@@ -47,6 +47,7 @@ LEAD = rf"{_NAME}(?:\s?{_SIGN})?$"
 #: Announced values: within double quotes, single quotes, or up to the end.
 VALUE = rf"{_NAME}\s?{_SIGN}\s?\\?(?:\"([^\"\s]+)|'([^'\s]+)|([^\"'\s]\S*+))"
 END = r"[,;.)\]}>\"'`\\]+$"
+WORD_AND_SPACE = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 #: (finding, word, before, label): both classes, whatever the corpus holds.
 EXAMPLES = [
@@ -188,23 +189,39 @@ def one_of(texts: Column) -> Column:
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """The documents with every secret replaced, all columns as before (`n_chars` follows the text if there)."""
-    cut = settle(
-        _secrets(docs)
-        .groupBy(F.col("doc_id").alias("secret_doc"), F.col("text_hash").alias("secret_hash"))
-        .agg(F.collect_set(F.col("finding")).alias("secret_texts"))
-        .select("secret_doc", "secret_hash", one_of(F.col("secret_texts")).alias("secret_texts"))
-    )
+    """The documents with every secret replaced where it was found, all columns as before (`n_chars` follows the text if there).
+
+    The same characters elsewhere in the text stay, unless they were found there as well.
+    """
     # the names are free here: no documents column may clash with them
     names = docs.columns
-    spare = [f"{n}_{len(''.join(names))}" for n in ("secret_doc", "secret_hash", "secret_texts")]
-    cut = cut.toDF(*spare)
-    same = docs["doc_id"].eqNullSafe(cut[spare[0]]) & (F.xxhash64(docs["text"]) == cut[spare[1]])
+    doc, text_hash, cuts = (f"{n}_{len(''.join(names))}" for n in ("secret_doc", "secret_hash", "secret_cuts"))
+    found = _secrets(docs).groupBy("doc_id", "text_hash", "place").agg(one_of(F.collect_set("finding")).alias("pattern"))
+    cut = settle(
+        found.groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "pattern"))).alias(cuts))
+    )
+    same = docs["doc_id"].eqNullSafe(cut[doc]) & (F.xxhash64(docs["text"]) == cut[text_hash])
     joined = docs.join(cut, same, "left")
-    plain = mark.replace("\\", "\\\\").replace("$", "\\$")
-    text = F.regexp_replace(docs["text"], cut[spare[2]], F.lit(plain))
-    text = F.when(cut[spare[2]].isNull(), docs["text"]).otherwise(text)
+    text = F.when(cut[cuts].isNull(), docs["text"]).otherwise(_cut_out(docs["text"], cut[cuts], mark))
     out = {"text": text}
     if "n_chars" in names:
-        out["n_chars"] = F.when(cut[spare[2]].isNull(), docs["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(cut[cuts].isNull(), docs["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
     return joined.select(*[out.get(c, docs[c]).alias(c) for c in names])
+
+
+def _cut_out(text: Column, cuts: Column, mark: str) -> Column:
+    """The text with the mark for what each cut's pattern matches in the word at its place; cuts in ascending order."""
+    plain = F.lit(mark.replace("\\", "\\\\").replace("$", "\\$"))
+    words = F.regexp_extract_all(text, F.lit(WORD_AND_SPACE), F.lit(0))
+
+    def parts(words: Column) -> Column:
+        def part(cut: Column, k: Column) -> Column:
+            begin = F.when(k > 0, F.get(cuts, k - 1)["place"] + 1).otherwise(0)
+            kept = F.array_join(F.slice(words, begin + 1, cut["place"] - begin), "")
+            return F.concat(kept, F.regexp_replace(F.get(words, cut["place"]), cut["pattern"], plain))
+
+        rest = F.slice(words, F.element_at(cuts, -1)["place"] + 2, F.size(words))
+        return F.concat(F.array_join(F.transform(cuts, part), ""), F.array_join(rest, ""))
+
+    return F.concat(F.regexp_extract(text, f"^{SPACE}|", 0), bind(words, parts))

@@ -385,6 +385,24 @@ def tiles(pieces, sizes, whole):
         assert at == want if want is not None else at <= whole
 
 
+def test_secrets_are_cut_where_they_stand(spark):
+    text = " \n password=summer2019 and later\tsummer2019 was a good summer2019x season  \n"
+    many = " ".join(f"word{k} password=q{k}w{k}e{k}r7t \t" for k in range(3000))
+    rows = [(1, text), (1, text), (2, many), (3, "password=summer2019"), (4, "\u00a0pwd: hunter2x\u3000 hunter2x ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = {r.doc_id: r.text for r in secretscan.redacted(docs).collect()}
+    assert cut[1] == text.replace("=summer2019", "=[secret]") and cut[3] == "password=[secret]"
+    assert cut[2] == " ".join(f"word{k} password=[secret] \t" for k in range(3000))
+    assert cut[4].count("[secret]") == 1 and cut[4].endswith(" hunter2x ") and cut[4].startswith("\u00a0pwd: ")
+
+
+def test_every_folded_character_counts(spark):
+    base, every = pii.spans("write to \u24d9ane\uff20example\uff0ecom or x\u00b2 a@b.de\u00b2")
+    assert pii.written(every) == "email:9:25,email:32:38" and pii.written(base) == "email:32:38"
+    _, every = pii.spans("\U0001d4f3\U0001d4f8e@\u24d4xample.com")
+    assert pii.written(every) == "email:0:15"
+
+
 @pytest.mark.parametrize("weights", [None, {"s0": 3, "s1": 1}])
 def test_mixture_packing(docs, library, weights):
     ids = {k: ids_of(library, t) + [2] for k, t in enumerate(odd_texts())}
@@ -403,6 +421,64 @@ def test_schedule_keeps_proportions():
     assert plan.given(plan.windows).tolist() == [90_000, 30_000, 500_000]
 
 
+@pytest.mark.parametrize("sizes", [(90_000, 30_001, 500_000), (7,), (1, 5_000, 4_999), (50_000, *[300] * 40, 9)])
+@pytest.mark.parametrize("sequences", [1, 3, 16])
+def test_shares_tile_and_keep_proportions(sizes, sequences):
+    total, length = sum(sizes), 64
+    plan = mixture.Shares(total, length, sequences, first=5)
+    bounds = np.cumsum([0, *sizes]).tolist()
+    if min(sizes) < plan.owed(1):  # what is owed less than a token a window shares a queue with its neighbour
+        bounds = [0, total]
+    queues = list(zip(bounds[:-1], bounds[1:], strict=True))
+    filled = {}
+    for lo, hi in queues:
+        at = 0
+        while at < hi - lo:
+            n, start = min(37, hi - lo - at), 0
+            for first, size, sequence, offset in plan.pieces(lo, hi, at, n):
+                assert first == start and size > 0 and offset + size <= length
+                filled.setdefault(sequence, []).append((offset, size))
+                start += size
+            assert start == n
+            at += n
+    assert sorted(filled) == list(range(5, 5 + -(-total // length)))
+    for sequence, parts in filled.items():
+        end = 0
+        for offset, size in sorted(parts):
+            assert offset == end
+            end += size
+        assert end == length or sequence == max(filled)
+    for w in range(plan.windows):
+        packed = plan.until(w + 1) - plan.until(w)
+        for lo, hi in queues:
+            given = plan.given(lo, hi, w + 1) - plan.given(lo, hi, w)
+            assert abs(given - packed * (hi - lo) / total) < 2
+
+
+def packed_whole(rows, docs, length):
+    """Every sequence without gaps, every document whole; returns the tokens of padding and the sequences."""
+    end = F.max(F.col("offset") + F.col("length"))
+    full = rows.groupBy("sequence_id").agg(end.alias("end"), F.sum("length").alias("n"), F.min("offset").alias("low")).collect()
+    assert all(r["end"] == r["n"] <= length and r["low"] == 0 for r in full)
+    whole = rows.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("want"), F.min("start").alias("low"))
+    assert whole.filter("n != want or low != 0").count() == 0 and whole.count() == docs.count()
+    return sum(length - r["n"] for r in full), len(full)
+
+
+def test_any_number_of_sources(spark):
+    text = F.concat(F.lit("text of source "), F.col("id").cast("string"))
+    docs = spark.range(100_002).select(F.col("id").alias("doc_id"), text.alias("text"), F.col("id").cast("string").alias("source"))
+    large = F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source"))
+    docs = docs.repartition(8, "doc_id")
+    rows = mixture.pack(docs, length=256, sequences=8)
+    assert packed_whole(rows, docs, 256)[0] < 256
+    for weights in (None, {"hot": 1, "4": 2, "absent": 5, "none": 0}):
+        rows = mixture.pack(docs.withColumn("source", large), weights, length=256, sequences=8).persist()
+        padding, sequences = packed_whole(rows, docs, 256)
+        assert padding < (2 * 256 + 2 * 2 * (sequences // 8 + 1) if weights else 256)
+        rows.unpersist()
+
+
 def test_token_files(docs, library, tmp_path):
     ids = {k: ids_of(library, t) + [2] for k, t in enumerate(odd_texts())}
     rows = tokenfiles.write_packed(docs, str(tmp_path / "packed"), length=512, buffer=4096).collect()
