@@ -22,16 +22,17 @@ def period(year: Column, split: int, before: str, after: str) -> Column:
 
 
 def merged_class(cls: Column, family: Sequence[str] = BETA_LACTAMS, name: str = BETA_LACTAM) -> Column:
-    return F.when(cls.isin(*family), name).otherwise(cls)
+    """The class, classes of the family as one; compared without case."""
+    return F.when(F.lower(cls).isin([c.lower() for c in family]), name).otherwise(cls)
 
 
 def resistance_ratio(
     view: DataFrame,
     split: int,
     focus_serotype: str,
-    before: str = "Before2012",
-    after: str = "After2012",
-    other: str = "Non-Dublin",
+    before: str | None = None,
+    after: str | None = None,
+    other: str | None = None,
     family: Sequence[str] = BETA_LACTAMS,
     name_of_family: str = BETA_LACTAM,
     more_than: int = MULTI_CLASSES,
@@ -40,16 +41,19 @@ def resistance_ratio(
     """Share of isolates resistant to more than two classes, by serotype group and period.
 
     One grouping by isolate and one by group; a null class counts as a class.
-    Groups without such isolates are left out. The serotype compares without case.
+    Groups without such isolates are left out. Serotypes, classes and statuses compare
+    without case, and the focused group is named as `focus_serotype` is written. Labels
+    follow from the arguments unless given: `Before2012`, `After2012`, `Non-Dublin`.
     """
-    sero = F.when(F.lower("serotype") == focus_serotype.lower(), F.col("serotype")).otherwise(other)
-    cls = F.struct(merged_class(F.col("class"), family, name_of_family).alias("c"))
+    before, after = before or f"Before{split}", after or f"After{split}"
+    sero = F.when(F.lower("serotype") == focus_serotype.lower(), focus_serotype).otherwise(other or f"Non-{focus_serotype}")
+    cls = F.struct(F.lower(merged_class(F.col("class"), family, name_of_family)).alias("c"))
     per_id = (
         view.select(
             "id",
             sero.alias("serotype"),
             period(F.col("year"), split, before, after).alias("period"),
-            F.when(F.col("status") == positive, cls).alias("c"),
+            F.when(F.lower("status") == positive.lower(), cls).alias("c"),
         )
         .groupBy("id", "serotype", "period")
         .agg(F.size(F.collect_set("c")).alias("classes"))
@@ -66,9 +70,9 @@ def resistance_ratio(
 def serotype_share(view: DataFrame, serotypes: Sequence[str], intervals: Mapping[str, tuple[int, int]]) -> DataFrame:
     """Isolates of the given serotypes and their percentage, by interval of years.
 
-    Years outside every interval form the null interval.
+    Years outside every interval form the null interval. Serotypes compare without case.
     """
-    bucket = F.when(F.col("serotype").isin(*serotypes), F.col("serotype")).otherwise("Other")
+    bucket = F.coalesce(*[F.when(F.lower("serotype") == s.lower(), s) for s in serotypes], F.lit("Other"))
     interval = F.lit(None).cast("string")
     for name, (lo, hi) in reversed(list(intervals.items())):
         interval = F.when(F.col("year").between(lo, hi), name).otherwise(interval)
@@ -113,8 +117,8 @@ def rule_change(before: DataFrame, after: DataFrame, limits: Mapping[str, float]
 
 
 def rule_types(attributes: DataFrame, classes: DataFrame, family: Sequence[str] = BETA_LACTAMS) -> DataFrame:
-    """`rule_id, rule_type`: whether the tests of a rule come from more than one class."""
-    dim = classes.select(F.col("drug").alias("attr"), merged_class(F.col("class"), family).alias("class"))
+    """`rule_id, rule_type`: whether the tests of a rule come from more than one class, compared without case."""
+    dim = classes.select(F.col("drug").alias("attr"), F.lower(merged_class(F.col("class"), family)).alias("class"))
     return (
         attributes.join(dim, "attr", "left")
         .groupBy("rule_id")

@@ -54,15 +54,20 @@ def imputations(rows: DataFrame) -> DataFrame:
     return labels.join(by_label, "label", "left").withColumn("by_all", by_all)
 
 
-def imputed(rows: DataFrame, features: Sequence[str], fills: DataFrame) -> DataFrame:
-    """`id, label` and one column per feature, nulls replaced by label mode, overall mode or 0."""
+def imputed(rows: DataFrame, features: Sequence[str], fills: DataFrame, label_known: bool = True) -> DataFrame:
+    """`id, label` and one column per feature, nulls replaced by label mode, overall mode or 0.
+
+    Rows to be scored have no label yet: without `label_known` it is not looked at.
+    """
+    plain = rows.select("id", "label", F.map_from_entries("features").alias("f"))
+    if label_known:
+        joined, steps = plain.join(fills, "label", "left"), ("f", "by_label", "by_all")
+    else:
+        joined, steps = plain.withColumn("by_all", scalar_of(fills, F.first("by_all"))), ("f", "by_all")
 
     def value(name: str) -> Column:
-        own = F.element_at(F.col("f"), name)
-        filled = F.coalesce(own, F.element_at("by_label", name), F.element_at("by_all", name), F.lit(DEFAULT_VALUE))
-        return filled.alias(name)
+        return F.coalesce(*[F.element_at(s, name) for s in steps], F.lit(DEFAULT_VALUE)).alias(name)
 
-    joined = rows.select("id", "label", F.map_from_entries("features").alias("f")).join(fills, "label", "left")
     return joined.select("id", "label", *[value(n) for n in features])
 
 
@@ -82,7 +87,8 @@ class Tree:
         return self.model.stages[-1].toDebugString
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        return self.model.transform(vectors(imputed(rows, self.features, self.fills), self.features))
+        """The rows scored; nulls are filled without a look at the label, which a new row does not have."""
+        return self.model.transform(vectors(imputed(rows, self.features, self.fills, label_known=False), self.features))
 
     def accuracy(self, rows: DataFrame) -> float:
         scored = self.predict(rows)

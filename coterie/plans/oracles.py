@@ -388,17 +388,23 @@ def oracle_sql() -> dict[str, str]:
     LEFT JOIN features f ON f.id = l.id AND f.label = l.label AND f.feature = k.feature
     LEFT JOIN by_label bl ON bl.label = l.label AND bl.feature = k.feature LEFT JOIN by_all ba ON ba.feature = k.feature"""
 
-    out = {
-        "report_mdr": f"""{view},
-          per_id AS (SELECT id, CASE WHEN lower(serotype) = 'building' THEN serotype ELSE 'Non-Dublin' END AS serotype,
-                     CASE WHEN year < {SPLIT_YEAR} THEN 'Before2012' ELSE 'After2012' END AS period, status,
-                     CASE WHEN class IN ('Cephalosporins', 'Penicillins', 'Beta lactam', 'Carbapenems') THEN 'Beta lactam' ELSE class END AS class FROM view),
+    def ratio(family: tuple[str, ...], name: str, more_than: int) -> str:
+        classes = ", ".join(f"'{c.lower()}'" for c in family)
+        return f"""{view},
+          per_id AS (SELECT id, CASE WHEN lower(serotype) = 'building' THEN 'Building' ELSE 'Non-Building' END AS serotype,
+                     CASE WHEN year < {SPLIT_YEAR} THEN 'Before{SPLIT_YEAR}' ELSE 'After{SPLIT_YEAR}' END AS period, status,
+                     CASE WHEN lower(class) IN ({classes}) THEN '{name}' ELSE class END AS class FROM view),
           multi AS (SELECT serotype, period, count(*) AS multi_resistant FROM (
-                      SELECT id, serotype, period FROM (SELECT DISTINCT id, serotype, period, class FROM per_id WHERE status = 'resistant')
-                      GROUP BY ALL HAVING count(*) > 2) GROUP BY ALL),
+                      SELECT id, serotype, period FROM (SELECT DISTINCT id, serotype, period, lower(class) AS class
+                                                        FROM per_id WHERE lower(status) = 'resistant')
+                      GROUP BY ALL HAVING count(*) > {more_than}) GROUP BY ALL),
           everyone AS (SELECT serotype, period, count(DISTINCT id) AS total FROM per_id GROUP BY ALL)
           SELECT serotype, period, multi_resistant, total, round(multi_resistant * 100.0 / total, 6) AS ratio
-          FROM multi JOIN everyone USING (serotype, period)""",
+          FROM multi JOIN everyone USING (serotype, period)"""
+
+    out = {
+        "report_mdr": ratio(("Cephalosporins", "Penicillins", "Beta lactam", "Carbapenems"), "Beta lactam", 2),
+        "report_mdr_any_case": ratio(("size", "grade"), "kind", 1),
         "report_serotype_share": f"""{view},
           d AS (SELECT DISTINCT id, CASE WHEN serotype IN {shares} THEN serotype ELSE 'Other' END AS serotype,
                 CASE WHEN year BETWEEN 1996 AND 1997 THEN '1996_1997' WHEN year BETWEEN 1998 AND 1999 THEN '1998_1999' END AS interval FROM view)

@@ -358,7 +358,16 @@ def net_communities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def report_mdr(spark: SparkSession, d: str) -> DataFrame:
-    out = reports.resistance_ratio(standin.isolate_view(spark, d), SPLIT_YEAR, "building")
+    out = reports.resistance_ratio(standin.isolate_view(spark, d), SPLIT_YEAR, "Building")
+    return out.withColumn("ratio", F.round("ratio", 6))
+
+
+def report_mdr_any_case(spark: SparkSession, d: str) -> DataFrame:
+    """The report on texts whose case differs from row to row."""
+    view = standin.isolate_view(spark, d)
+    for column, every in (("serotype", 2), ("class", 3), ("status", 5)):
+        view = view.withColumn(column, F.when(F.col("id") % every == 0, F.initcap(column)).otherwise(F.col(column)))
+    out = reports.resistance_ratio(view, SPLIT_YEAR, "Building", family=("SIZE", "Grade"), name_of_family="kind", more_than=1)
     return out.withColumn("ratio", F.round("ratio", 6))
 
 
@@ -585,7 +594,7 @@ def tree_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 REGISTRY: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    report_mdr, observations_long, transactions_complete, transactions_complementary, transactions_by_class,
+    report_mdr, report_mdr_any_case, observations_long, transactions_complete, transactions_complementary, transactions_by_class,
     transactions_single_view, panel_sampled, variable_sources, baskets, basket_empty_cell_filter, holdout_condition,
     holdout_percent, distinct_ids_capped, class_dimension, ordinal_features, indicator_features,
     report_serotype_share, frequent_itemsets, association_rules, rules_topn, rules_by_consequent,

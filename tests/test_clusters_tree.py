@@ -186,6 +186,16 @@ def test_modes_and_imputation(spark):
     got = {r.id: (r.f, r.g) for r in tree.imputed(df, ["f", "g"], tree.imputations(df)).collect()}
     # label a: mode 1; label b: a tie, the smaller; label c: the overall mode; g: nothing known
     assert got[4] == (1.0, 0.0) and got[7] == (4.0, 0.0) and got[8] == (1.0, 0.0) and got[3] == (2.0, 0.0)
+    blind = tree.imputed(df, ["f", "g"], tree.imputations(df), label_known=False)
+    got = {r.id: (r.f, r.g) for r in blind.collect()}
+    assert got[7] == got[8] == got[4] == (1.0, 0.0) and got[3] == (2.0, 0.0)
+
+
+def test_scoring_does_not_see_the_label(spark):
+    rows = [(i, "L", "L:a", [("f", 1.0)]) for i in range(60)] + [(i, "L", "L:b", [("f", 2.0)]) for i in range(60, 100)]
+    fitted = tree.fit_tree(spark.createDataFrame(rows, LABELLED), 0.4)
+    new = spark.createDataFrame([(200, "L", "L:a", []), (201, "L", "L:b", []), (202, "L", "L:new", [])], LABELLED)
+    assert len({r.prediction for r in fitted.predict(new).collect()}) == 1
 
 
 def test_tree_learns_and_leaves_test_ids_out(spark):

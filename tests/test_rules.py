@@ -335,7 +335,24 @@ def test_null_class_counts_as_a_class(spark):
     rows += [(3, "Other", 2013, "X", "resistant"), (4, "dublin", 2010, "X", "susceptible")]
     view = spark.createDataFrame(rows, "id int, serotype string, year int, class string, status string")
     out = reports.resistance_ratio(view, 2012, "dublin").collect()
-    assert [(r.serotype, r.period, r.multi_resistant, r.total, r.ratio) for r in out] == [("dublin", "Before2012", 1, 2, 50.0)]
+    assert [(r.serotype, r.period, r.multi_resistant, r.total, r.ratio) for r in out] == [("dublin", "Before2012", 1, 3, 100 / 3)]
+
+
+def test_reports_compare_without_case(spark):
+    rows = [(1, "Dublin", 2010, c, "Resistant") for c in ("X", "Y", "PENICILLINS")]
+    rows += [(2, "DUBLIN", 2012, c, "resistant") for c in ("x", "X", "Penicillins", "cephalosporins", "Y")]
+    rows += [(3, "dublin", 2012, c, "RESISTANT") for c in ("x", "X", "Penicillins", "cephalosporins")]
+    rows += [(4, "Kentucky", 2013, c, "resistant") for c in "XYZ"]
+    view = spark.createDataFrame(rows, "id int, serotype string, year int, class string, status string")
+    out = reports.resistance_ratio(view, 2011, "Dublin").collect()
+    assert {(r.serotype, r.period, r.multi_resistant, r.total) for r in out} == {
+        ("Dublin", "Before2011", 1, 1), ("Dublin", "After2011", 1, 2), ("Non-Dublin", "After2011", 1, 1),
+    }
+    share = reports.serotype_share(view, ["Dublin", "Newport"], {"all": (2010, 2013)}).first()
+    assert (share.Dublin, share.Newport, share.total, share.Dublin_pct) == (3, 0, 4, 75.0)
+    attributes = spark.createDataFrame([("r", "A"), ("r", "B")], "rule_id string, attr string")
+    classes = spark.createDataFrame([("A", "PENICILLINS"), ("B", "carbapenems")], "drug string, class string")
+    assert reports.rule_types(attributes, classes).first().rule_type == "Intra_Class"
 
 
 def test_years_outside_the_intervals(spark):
