@@ -108,6 +108,12 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFr
     )
 
 
+def first_ids(df: DataFrame, limit: int) -> DataFrame:
+    """The rows of the first ids in id order; only the narrow ids are ranked, in as many tasks as they need."""
+    last = scalar_of(ranked(df.select("id"), [F.col("id")]).where(F.col("rank") == limit), F.max("id"))
+    return df.where(F.coalesce(F.col("id") <= last, last.isNull()))
+
+
 def scalar_of(df: DataFrame, value: Column) -> Column:
     """A one-value aggregate as a scalar subquery column."""
     return df.agg(value.alias("v")).scalar()

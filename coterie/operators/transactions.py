@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coterie.functions import columns as C
-from coterie.functions.frames import scalar_of
+from coterie.functions.frames import first_ids, scalar_of
 
 MIN_TRANSACTIONS = 20
 EMPTY_CELL_THRESHOLD = 0.999
@@ -67,8 +67,7 @@ def empty_cell_filter(df: DataFrame, threshold: float = EMPTY_CELL_THRESHOLD) ->
 
 def capped_baskets(df: DataFrame, limit: int) -> DataFrame:
     """The first baskets in id order."""
-    cut = df.select("id").orderBy("id").limit(limit)
-    return df.where(F.col("id") <= cut.agg(F.max("id").alias("v")).scalar())
+    return first_ids(df, limit)
 
 
 def profiles(panel: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
@@ -94,6 +95,12 @@ class Tree:
         scored = self.predict(rows)
         return MulticlassClassificationEvaluator(labelCol="target", metricName="accuracy").evaluate(scored)
 
+    def accuracies(self, parts: Mapping[str, DataFrame]) -> DataFrame:
+        """`part, rows, accuracy` of each named table of labelled rows; a part without rows is left out."""
+        scored = [self.predict(rows).select(F.lit(name).alias("part"), "prediction", "target") for name, rows in parts.items()]
+        hit = (F.col("prediction") == F.col("target")).cast("double")
+        return reduce(DataFrame.unionByName, scored).groupBy("part").agg(F.count("*").alias("rows"), F.avg(hit).alias("accuracy"))
+
     def nodes(self, spark) -> DataFrame:
         """The saved model's node table."""
         path = new_path(spark)

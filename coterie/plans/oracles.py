@@ -426,6 +426,8 @@ def oracle_sql() -> dict[str, str]:
         "variable_sources": f"""WITH {TESTS} SELECT DISTINCT drug AS attr, 'tests' AS entity FROM tests
           UNION ALL SELECT 'serotype', 'isolates'""",
         "baskets": f"""{rule_sql} SELECT id, string_agg(item, ' & ' ORDER BY item) AS items FROM basket GROUP BY id""",
+        "baskets_capped": f"""{rule_sql} SELECT id, string_agg(item, ' & ' ORDER BY item) AS items FROM basket GROUP BY id
+          ORDER BY id LIMIT {Q.CAPPED_BASKETS}""",
         "basket_empty_cell_filter": f"""{rule_sql}, s AS (SELECT id, CAST(count(*) AS INTEGER) AS size FROM basket GROUP BY id)
           SELECT id, size FROM s WHERE size / (SELECT greatest(max(size), 1) FROM s) + CAST(0.6 AS DOUBLE) >= 1""",
         "holdout_condition": f"WITH {ISOLATES} SELECT id, year = 2001 AS is_test FROM isolates",

@@ -104,6 +104,7 @@ def run(
     shown = charts.rules_to_show(numbered, spec.show_antecedent, spec.show_consequent)
     node_class = charts.node_classes(shown, classes, spec.grouping, spec.hidden, spec.title_changes)
     edges = charts.chart_edges(shown, spec.weight, spec.hidden, spec.title_changes)
+    thresholds = spec.thresholds | ({"real_support": spec.real_support} if spec.real_measures else {})
     held = spec.panel.holdout_condition or f"{spec.panel.holdout_fraction} of ids held out"
     out = {
         "rules": with_metadata(
@@ -117,7 +118,7 @@ def run(
                 "interested_antecedent": ", ".join(spec.antecedents) or "All",
                 "interested_consequent": ", ".join(spec.consequents) or "All",
                 "cohorts": ", ".join(spec.panel.cohorts) or "All Cohorts",
-                "parameters": ", ".join(f"{k}: {v}" for k, v in spec.thresholds.items()),
+                "parameters": ", ".join(f"{k}: {v}" for k, v in thresholds.items()),
             },
         ),
         "rule_attributes": refine.rule_attributes(final, P.variables(sources, spec.panel)),
@@ -134,7 +135,10 @@ def run(
     if spec.tree:
         rows = settle(transactions.labelled_rows(panel, spec.focus, spec.domains))
         fitted = tree.fit_tree(rows, spec.null_threshold)
+        held_out = settle(transactions.labelled_rows(panel, spec.focus, spec.domains, for_test=True))
         out["tree_nodes"] = fitted.nodes(panel.sparkSession)
+        out["tree_accuracy"] = fitted.accuracies({"train": rows, "test": held_out})
+        out["tree_text"] = panel.sparkSession.createDataFrame([(fitted.text(),)], "text string")
     return out
 
 

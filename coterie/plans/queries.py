@@ -26,6 +26,7 @@ SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 RENAMES = {"serotype:": "", ":resistant": "", ":intermediate": ""}
 COHORTS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 TREE_NULLS = 0.6
+CAPPED_BASKETS = 500
 HOLDOUT = 0.25
 
 RULE_ATTRS = ("year", "data_source", "cohort")
@@ -125,6 +126,12 @@ def baskets(spark: SparkSession, d: str) -> DataFrame:
     return T.baskets(_panel(spark, d)).select("id", C.key_of(F.col("items")).alias("items"))
 
 
+def baskets_capped(spark: SparkSession, d: str) -> DataFrame:
+    """The cap on transactions: the first baskets by id, as many as asked for."""
+    kept = T.capped_baskets(T.baskets(_panel(spark, d)), CAPPED_BASKETS)
+    return kept.select("id", C.key_of(F.col("items")).alias("items"))
+
+
 def basket_empty_cell_filter(spark: SparkSession, d: str) -> DataFrame:
     kept = T.empty_cell_filter(T.baskets(_panel(spark, d)), 0.6)
     return kept.select("id", F.size("items").alias("size"))
@@ -585,17 +592,12 @@ def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def tree_accuracy(spark: SparkSession, d: str) -> DataFrame:
     rows, held = settle(_tree_rows(spark, d)), settle(_tree_rows(spark, d, for_test=True))
-    fitted = tree.fit_tree(rows, TREE_NULLS)
-    scored = fitted.predict(rows).withColumn("part", F.lit("train")).unionByName(
-        fitted.predict(held).withColumn("part", F.lit("test"))
-    )
-    hit = (F.col("prediction") == F.col("target")).cast("double")
-    return scored.groupBy("part").agg(F.count("*").alias("rows"), F.avg(hit).alias("accuracy"))
+    return tree.fit_tree(rows, TREE_NULLS).accuracies({"train": rows, "test": held})
 
 
 REGISTRY: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     report_mdr, report_mdr_any_case, observations_long, transactions_complete, transactions_complementary, transactions_by_class,
-    transactions_single_view, panel_sampled, variable_sources, baskets, basket_empty_cell_filter, holdout_condition,
+    transactions_single_view, panel_sampled, variable_sources, baskets, baskets_capped, basket_empty_cell_filter, holdout_condition,
     holdout_percent, distinct_ids_capped, class_dimension, ordinal_features, indicator_features,
     report_serotype_share, frequent_itemsets, association_rules, rules_topn, rules_by_consequent,
     rules_by_antecedent, rules_one_to_one, rules_by_cohort, rule_rar_support, rule_rar_lift, rule_cross_support,

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coterie.functions import columns as C
+from coterie.functions.frames import first_ids
 
 PREFIX = "attr__"
 
@@ -143,19 +144,13 @@ def panels(sources: Mapping[str, DataFrame], spec: PanelSpec = PanelSpec()) -> D
         target.cast(f"array<{pair}>").alias("target"),
         other.cast(f"array<{pair}>").alias("other"),
     )
-    return capped(out, spec.limit) if spec.limit else out
-
-
-def capped(df: DataFrame, limit: int) -> DataFrame:
-    """The rows of the first ids in id order; only the narrow ids are ordered."""
-    cut = df.select("id").orderBy("id").limit(limit)
-    return df.where(F.col("id") <= cut.agg(F.max("id").alias("v")).scalar())
+    return first_ids(out, spec.limit) if spec.limit else out
 
 
 def distinct_ids(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     """Distinct ids of the entity that satisfy condition and cohorts, in order, capped."""
-    ids = df.where(in_scope(spec)).select(F.col(spec.id_col).alias("id")).distinct().orderBy("id")
-    return ids.limit(spec.limit) if spec.limit else ids
+    ids = df.where(in_scope(spec)).select(F.col(spec.id_col).alias("id")).distinct()
+    return (first_ids(ids, spec.limit) if spec.limit else ids).orderBy("id")
 
 
 def observations(panel: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from coterie.functions import columns as C
 from coterie.functions import frames
-from coterie.functions.frames import bounded_names, ranked, settle, work_dir
+from coterie.functions.frames import bounded_names, first_ids, ranked, settle, work_dir
 from coterie.operators import transactions as T
 from coterie.sources import panels as P
 from coterie.sources import sinks
@@ -251,3 +251,11 @@ def test_a_step_deletes_what_the_step_before_has_settled(spark):
     with pytest.raises(Exception):
         second.count()
     assert frames.settle(spark.range(2)).count() == 2
+
+
+def test_first_ids(spark):
+    df = spark.createDataFrame([(i // 2, i) for i in range(40)], "id long, v int").repartition(7, "v")
+    for limit, want in ((1, 2), (2, 2), (3, 4), (39, 40), (400, 40)):
+        kept = first_ids(df, limit)
+        assert kept.columns == ["id", "v"] and kept.count() == want
+    assert first_ids(df.where("id < 0"), 3).count() == 0

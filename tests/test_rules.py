@@ -414,6 +414,8 @@ def test_run_writes_all_tables(spark):
     assert recorded and len({r.antecedent_key for r in recorded}) == len(recorded)
     assert out["rule_attributes"].select("rule_id").distinct().count() == len(recorded)
     assert out["nodes"].where("betweenness is null or community is null").count() == 0
+    accuracy = {r.part: r for r in out["tree_accuracy"].collect()}
+    assert 0 < accuracy["train"].accuracy <= 1 and out["tree_text"].first().text.startswith("DecisionTree")
     assert out["cluster_sizes"].agg(F.sum("cluster_size")).first()[0] == out["assigned"].count()
 
 
