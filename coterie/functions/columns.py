@@ -79,6 +79,11 @@ def item_value(text: Column) -> Column:
     return F.when(F.instr(text, ":") > 0, text.substr(F.instr(text, ":") + F.lit(1), F.length(text)))
 
 
+def recorded_value(text: Column) -> Column:
+    """The value of an item as rule attributes record it: without quotes and further colons."""
+    return F.regexp_replace(item_value(text), ": ?|['\"]", "")
+
+
 def key_of(items: Column) -> Column:
     """Canonical text of an item set."""
     return F.array_join(F.sort_array(F.array_distinct(items)), " & ")
@@ -89,6 +94,11 @@ def list_text(items: Column, brackets: bool = True) -> Column:
     return F.concat(F.lit("["), body, F.lit("]")) if brackets else body
 
 
+def dict_text(entries: Column) -> Column:
+    """Text `name: value, name: value` of (name, value) structs."""
+    return F.array_join(F.transform(entries, lambda e: F.concat_ws(": ", e["name"], e["value"])), ", ")
+
+
 def rule_text(antecedent: Column, consequent: Column, arrow: str = " -> ") -> Column:
     return F.concat(list_text(antecedent), F.lit(arrow), list_text(consequent))
 

@@ -83,6 +83,13 @@ def forget(spark: SparkSession, path: str) -> None:
     gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Paths of what a folder holds; none if it is not there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().toString() for f in system.listStatus(folder)] if system.exists(folder) else []
+
+
 def forget_settled(spark: SparkSession) -> None:
     """Delete every table this application has settled; frames read from them end with it."""
     forget(spark, _app_dir(spark))

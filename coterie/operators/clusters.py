@@ -306,6 +306,17 @@ def cluster_profiles(assigned: DataFrame, meta: DataFrame, significance: float =
     )
 
 
+def profile_texts(profiles: DataFrame) -> DataFrame:
+    """`cluster, analysis`: the profile as text, attributes and values in order, a value's share in percent.
+
+    A value in a profile has more than the significance share, so an attribute of one value a row has
+    20 values at most.
+    """
+    entries = F.sort_array(F.collect_list(F.struct("attr", "value", "pct")))
+    named = F.transform(entries, lambda e: F.struct(C.item(e["attr"], e["value"]).alias("name"), e["pct"].cast("string").alias("value")))
+    return profiles.groupBy("cluster").agg(C.dict_text(named).alias("analysis"))
+
+
 def top_values(profiles: DataFrame, attribute: str, k: int = TOP_VALUES) -> DataFrame:
     """The k largest shares of one attribute per cluster; `drug` ranks the focused shares of all tests."""
     if attribute == "drug":

@@ -6,6 +6,9 @@ single row to decide whether to go on.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from coterie.functions.frames import ranked, scalar_of, settle
 
 SUPPORT_THRESHOLD = 0.01
 LIFT_THRESHOLD = 1.01
+#: So many sources are walked at a time.
+SOURCE_BATCH = 4096
 EDGE = ["kind", "src", "dst", "support", "lift"]
 
 
@@ -165,10 +170,16 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return settle(there.unionByName(back).distinct())
 
 
-def _shortest_paths(adjacent: DataFrame) -> list[DataFrame]:
+def _source_batches(adjacent: DataFrame, batch: int) -> list[DataFrame]:
+    """The nodes in parts of about `batch` by hash: frames of paths then have `batch` x nodes rows, not nodes squared."""
+    sources = settle(adjacent.select(F.col("src").alias("source")).distinct())
+    parts = -(-sources.count() // batch)
+    return [sources.where(F.pmod(F.xxhash64("source"), F.lit(parts)) == i) for i in range(parts)]
+
+
+def _shortest_paths(adjacent: DataFrame, sources: DataFrame) -> list[DataFrame]:
     """Frames `source, node, sigma` by distance: number of shortest paths from every source."""
-    starts = adjacent.select("src").distinct()
-    level = starts.select(F.col("src").alias("source"), F.col("src").alias("node"), F.lit(1.0).alias("sigma"))
+    level = sources.select("source", F.col("source").alias("node"), F.lit(1.0).alias("sigma"))
     levels = [settle(level)]
     while True:
         reached = (
@@ -200,34 +211,48 @@ def _gained(flow: DataFrame, upper: DataFrame) -> DataFrame:
     return upper.join(sums, ["source", "node"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0)))
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
-    """`node, betweenness`: unweighted shortest-path betweenness, normalised."""
+def _dependencies(adjacent: DataFrame, batch: int) -> Iterator[DataFrame]:
+    """For each part of the sources, `source, node, low, share`: what passes from `low` up to `node`."""
+    for sources in _source_batches(adjacent, batch):
+        levels = _shortest_paths(adjacent, sources)
+        lower = levels[-1].withColumn("delta", F.lit(0.0))
+        for upper in reversed(levels[:-1]):
+            flow = settle(_flows(adjacent, lower, upper))
+            yield flow
+            lower = _gained(flow, upper)
+
+
+def betweenness(edges: DataFrame, batch: int = SOURCE_BATCH) -> DataFrame:
+    """`node, betweenness`: unweighted shortest-path betweenness, normalised.
+
+    Sources are walked in parts; of each part only the sums per node are kept.
+    """
     adjacent = _both_ways(edges)
-    levels = _shortest_paths(adjacent)
-    lower = levels[-1].withColumn("delta", F.lit(0.0))
-    total = levels[0].select("node", F.lit(0.0).alias("delta"))
-    for upper in reversed(levels[:-1]):
-        lower = settle(_gained(_flows(adjacent, lower, upper), upper))
-        total = total.unionByName(lower.where(F.col("source") != F.col("node")).select("node", "delta"))
-    n = levels[0].count()
+    members = settle(adjacent.select(F.col("src").alias("node")).distinct())
+    sums = [members.withColumn("delta", F.lit(0.0))]
+    for flow in _dependencies(adjacent, batch):
+        # what reaches the source itself does not pass through it
+        passed = flow.where(F.col("source") != F.col("node"))
+        sums.append(settle(passed.groupBy("node").agg(F.sum("share").alias("delta"))))
+    n = members.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    return total.groupBy("node").agg((F.sum("delta") * scale).alias("betweenness"))
+    return reduce(DataFrame.unionByName, sums).groupBy("node").agg((F.sum("delta") * scale).alias("betweenness"))
 
 
-def edge_betweenness(edges: DataFrame) -> DataFrame:
-    """`src, dst, betweenness` of the edges, normalised by the number of node pairs."""
+def edge_shares(edges: DataFrame, batch: int = SOURCE_BATCH) -> DataFrame:
+    """`src, dst, share`: over all ordered pairs of nodes, the share of their shortest paths that use the edge."""
     adjacent = _both_ways(edges)
-    levels = _shortest_paths(adjacent)
-    lower = levels[-1].withColumn("delta", F.lit(0.0))
-    total = None
-    for upper in reversed(levels[:-1]):
-        flow = settle(_flows(adjacent, lower, upper))
-        total = flow if total is None else total.unionByName(flow)
-        lower = _gained(flow, upper)
-    n = levels[0].count()
-    return total.groupBy(F.least("node", "low").alias("src"), F.greatest("node", "low").alias("dst")).agg(
-        (F.sum("share") / (n * (n - 1))).alias("betweenness")
-    )
+    ends = (F.least("node", "low").alias("src"), F.greatest("node", "low").alias("dst"))
+    sums = [settle(flow.groupBy(*ends).agg(F.sum("share").alias("share"))) for flow in _dependencies(adjacent, batch)]
+    if not sums:
+        return edges.select("src", "dst", F.lit(0.0).alias("share")).limit(0)
+    return reduce(DataFrame.unionByName, sums).groupBy("src", "dst").agg(F.sum("share").alias("share"))
+
+
+def edge_betweenness(edges: DataFrame, batch: int = SOURCE_BATCH) -> DataFrame:
+    """`src, dst, betweenness` of the edges, normalised by the number of node pairs."""
+    n = scalar_of(_ends(edges).distinct(), F.count("*"))
+    return edge_shares(edges, batch).select("src", "dst", (F.col("share") / (n * (n - 1))).alias("betweenness"))
 
 
 # ---- communities ------------------------------------------------------------
@@ -359,18 +384,29 @@ def components(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def girvan_newman(edges: DataFrame, max_communities: int = 12) -> DataFrame:
-    """`level, node, community`: the splits met while removing the busiest edges, up to the given number."""
+    """`level, node, community`: the splits met while removing the busiest edges, up to the given number.
+
+    Only the component that loses an edge is walked again; shares and components of the others are kept.
+    Of equally busy edges the first by name goes.
+    """
     members = settle(_ends(edges).distinct())
-    left = settle(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    parts = components(left, members)
-    count = parts.select("head").distinct().count()
-    out = None
-    level = 0
-    while not left.isEmpty():
-        shares = edge_betweenness(left)
-        top = shares.orderBy(F.round("betweenness", 12).desc(), "src", "dst").limit(1).select("src", "dst")
-        left = settle(left.join(top, ["src", "dst"], "left_anti"))
-        parts = components(left, members) if not left.isEmpty() else members.withColumn("head", F.col("node"))
+    left = settle(
+        edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    )
+    parts = settle(components(left, members))
+    shares = settle(edge_shares(left))
+    count, level, out = parts.select("head").distinct().count(), 0, None
+    while not shares.isEmpty():
+        # one row: the busiest edge
+        top = shares.orderBy(F.round("share", 9).desc(), "src", "dst").select("src", "dst").first()
+        at_top = (F.col("src") == top["src"]) & (F.col("dst") == top["dst"])
+        head = scalar_of(parts.where(F.col("node") == top["src"]), F.max("head"))
+        inside = settle(parts.where(F.col("head") == head).select("node"))
+        of_part = inside.withColumnRenamed("node", "src")
+        remaining = settle(shares.join(of_part, "src", "left_semi").where(~at_top).select("src", "dst"))
+        shares = settle(shares.join(of_part, "src", "left_anti").unionByName(edge_shares(remaining)))
+        anew = components(remaining, inside)
+        parts = settle(parts.join(inside, "node", "left_anti").unionByName(anew.select(*parts.columns)))
         now = parts.select("head").distinct().count()
         if now <= count:
             continue

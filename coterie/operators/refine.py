@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,32 +125,56 @@ def cluster_name(thresholds: dict[str, float]) -> Column:
     return F.concat(*parts)
 
 
-def cluster_rules(rules: DataFrame, thresholds: dict[str, float], k: int = RULE_CLUSTERS, seed: int = 0) -> DataFrame:
+def state_clusters(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """Cluster of each of the distinct states, at most 27, by weighted k-means.
+
+    The first centre is the heaviest state, each further one the state with the most weight times squared distance
+    from the centres so far; ties go to the earlier state and the earlier centre. Centres and members follow from one
+    another until no state moves. With no more states than clusters every state is its own cluster.
+    """
+    weights = weights.astype(np.int64)
+    chosen = [int(np.argmax(weights))]
+    while len(chosen) < min(k, len(points)):
+        apart = ((points[:, None] - points[chosen][None]) ** 2).sum(axis=2).min(axis=1)
+        chosen.append(int(np.argmax(weights * apart)))
+    centres, label = points[chosen].astype(float), None
+    while True:
+        near = ((points[:, None] - centres[None]) ** 2).sum(axis=2).round(9)
+        moved = near.argmin(axis=1)
+        if label is not None and (moved == label).all():
+            return label
+        label = moved
+        for c in np.unique(label):
+            centres[c] = np.average(points[label == c], axis=0, weights=weights[label == c])
+
+
+def cluster_rules(
+    rules: DataFrame, thresholds: dict[str, float], k: int = RULE_CLUSTERS, min_rules: int = MIN_RULES_TO_CLUSTER
+) -> DataFrame:
     """Sets `cluster` to the name of the rule's k-means cluster of measure states.
 
-    The model is fitted on the at most 27 distinct states, weighted by their rules.
-    Fewer than nine rules stay without cluster.
+    Rules are only counted by state, of which there are 27. Fewer than `min_rules` rules stay without cluster, as
+    the analysis asks for.
     """
     rules = rules.drop("cluster")
     names = ["support_state", "confidence_state", "lift_state"]
-    states = settle(with_states(rules, thresholds).groupBy(*names).agg(F.count("*").alias("n")))
-    total, distinct = states.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
-    if total < MIN_RULES_TO_CLUSTER:
+    states = with_states(rules, thresholds).groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()
+    if sum(s["n"] for s in states) < max(min_rules, 1):
         return rules.withColumn("cluster", F.lit(""))
-    if distinct <= k:
-        # No more states than clusters: each state is its own cluster.
-        assigned = states.select(*names, F.concat_ws(".", *names).alias("__c"))
-    else:
-        points = states.withColumn("features", array_to_vector(F.array(*[F.col(c).cast("double") for c in names])))
-        model = KMeans(k=k, seed=seed, weightCol="n").fit(points)
-        assigned = model.transform(points).select(*names, F.col("prediction").alias("__c"))
-    grouped = with_states(rules, thresholds).join(assigned, names).drop(*names)
+    points = np.array([[s[c] for c in names] for s in states])
+    label = state_clusters(points, np.array([s["n"] for s in states]), k)
+    placed = [(*p, int(c)) for p, c in zip(points.tolist(), label)]
+    assigned = rules.sparkSession.createDataFrame(placed, ", ".join(f"{c} int" for c in (*names, "__c")))
+    means = [F.sum(m).alias(m) for m in ("support", "confidence", "lift")]
+    # Summed by state before the few clusters meet them, so no cluster is one task's work.
+    by_state = with_states(rules, thresholds).groupBy(*names).agg(F.count("*").alias("n"), *means)
     titles = (
-        grouped.groupBy("__c")
-        .agg(*[F.avg(m).alias(m) for m in ("support", "confidence", "lift")])
+        by_state.join(assigned, names).groupBy("__c")
+        .agg(*[(F.sum(m) / F.sum("n")).alias(m) for m in ("support", "confidence", "lift")])
         .select("__c", cluster_name(thresholds).alias("cluster"))
     )
-    return grouped.join(titles, "__c").drop("__c")
+    by_name = assigned.join(titles, "__c").drop("__c")
+    return with_states(rules, thresholds).join(by_name, names).drop(*names)
 
 
 # ---- derived rows -----------------------------------------------------------
@@ -165,7 +188,7 @@ def rule_attributes(rules: DataFrame, variables: DataFrame | None = None) -> Dat
 
     keys = [c for c in ("run_id", "rule_id") if c in rules.columns]
     rows = rules.select(*keys, F.inline(F.concat(tagged("antecedent"), tagged("consequent"))))
-    rows = rows.select(*keys, "side", C.item_attr(F.col("item")).alias("attr"), C.item_value(F.col("item")).alias("value"))
+    rows = rows.select(*keys, "side", C.item_attr(F.col("item")).alias("attr"), C.recorded_value(F.col("item")).alias("value"))
     if variables is None:
         return rows
     return rows.join(variables, "attr", "left").withColumn("entity", F.coalesce("entity", F.lit("")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coterie.functions.frames import bounded_names, new_path, scalar_of
+from coterie.operators import pruning
 from coterie.operators.transactions import feature_rows
 
 NULL_THRESHOLD = 0.3
@@ -23,6 +24,7 @@ DEFAULT_VALUE = 0.0
 MAX_DEPTH = 15
 MIN_LEAF = 30
 MIN_GAIN = 0.001
+CCP_ALPHA = 0.001
 
 
 def feature_nulls(rows: DataFrame, threshold: float = NULL_THRESHOLD) -> DataFrame:
@@ -78,18 +80,55 @@ def vectors(table: DataFrame, features: Sequence[str]) -> DataFrame:
 
 @dataclass
 class Tree:
-    """A fitted tree with its features and the imputations of its training rows."""
+    """A fitted tree with its features and the imputations of its training rows.
+
+    With an alpha above 0 it is the tree pruned at that cost a leaf.
+    """
 
     model: PipelineModel
     features: list[str]
     fills: DataFrame
+    ccp_alpha: float = 0.0
+
+    @property
+    def whole(self) -> dict[int, pruning.Node]:
+        return pruning.read_nodes(self._saved())
 
     def text(self) -> str:
-        return self.model.stages[-1].toDebugString
+        """The whole tree as Spark writes it; a pruned tree by the names of its features and labels."""
+        if self.ccp_alpha <= 0:
+            return self.model.stages[-1].toDebugString
+        kept = pruning.kept_nodes(self.whole, self.ccp_alpha)
+        head = f"DecisionTree of {len(kept)} nodes, pruned at {self.ccp_alpha}"
+        return head + "\n" + pruning.tree_text(kept, self.features, self.model.stages[0].labels)
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """The rows with target and `leaf` of the whole tree; nulls are filled without a look at the label."""
+        self.model.stages[-1].setLeafCol("leaf")
+        return self.model.transform(vectors(imputed(rows, self.features, self.fills, label_known=False), self.features))
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """The rows scored; nulls are filled without a look at the label, which a new row does not have."""
-        return self.model.transform(vectors(imputed(rows, self.features, self.fills, label_known=False), self.features))
+        scored = self.scored(rows)
+        if self.ccp_alpha <= 0:
+            return scored.drop("leaf")
+        nodes = self.whole
+        done = sum(c.alpha <= self.ccp_alpha for c in pruning.weakest_links(nodes))
+        spans = pruning.leaf_spans(rows.sparkSession, nodes).where((F.col("step") <= done) & (F.coalesce("until", F.lit(done + 1)) > done))
+        given = spans.select(F.col("leaf").cast("double").alias("leaf"), "prediction")
+        return scored.drop("prediction", "rawPrediction", "probability").join(given, "leaf").drop("leaf")
+
+    def path(self, rows: DataFrame) -> DataFrame:
+        """The pruning path with the accuracy on labelled rows at every step, see `pruning.path_accuracy`."""
+        return pruning.path_accuracy(self.scored(rows), self.whole)
+
+    def pruned(self, ccp_alpha: float) -> Tree:
+        return replace(self, ccp_alpha=ccp_alpha)
+
+    def best_alpha(self, rows: DataFrame) -> float:
+        """The alpha with the best accuracy on labelled rows that the tree has not seen; of equal ones the largest."""
+        best = self.path(rows).agg(F.max_by("alpha", F.struct("hits", "step"))).head()
+        return best[0]
 
     def accuracy(self, rows: DataFrame) -> float:
         scored = self.predict(rows)
@@ -101,12 +140,22 @@ class Tree:
         hit = (F.col("prediction") == F.col("target")).cast("double")
         return reduce(DataFrame.unionByName, scored).groupBy("part").agg(F.count("*").alias("rows"), F.avg(hit).alias("accuracy"))
 
-    def nodes(self, spark) -> DataFrame:
-        """The saved model's node table."""
+    def _saved(self) -> DataFrame:
+        spark = self.fills.sparkSession
         path = new_path(spark)
         self.model.stages[-1].write().save(path)
         return spark.read.parquet(f"{path}/data")
 
+    def nodes(self, spark) -> DataFrame:
+        """The model's node table; below a pruned node there are none."""
+        saved = self._saved()
+        if self.ccp_alpha <= 0:
+            return saved
+        kept = pruning.kept_nodes(pruning.read_nodes(saved), self.ccp_alpha)
+        table = spark.createDataFrame([(i, n.is_leaf) for i, n in kept.items()], "id int, ends boolean")
+        ends = {c: F.when(F.col("ends"), F.lit(-1)).otherwise(F.col(c)).alias(c) for c in ("leftChild", "rightChild")}
+        return saved.join(table, "id").select(*[ends.get(c, F.col(c)) for c in saved.columns])
+
 
 def classifier(max_depth: int = MAX_DEPTH, min_leaf: int = MIN_LEAF, min_gain: float = MIN_GAIN) -> DecisionTreeClassifier:
     return DecisionTreeClassifier(
@@ -115,15 +164,15 @@ def classifier(max_depth: int = MAX_DEPTH, min_leaf: int = MIN_LEAF, min_gain: f
     )
 
 
-def fit_tree(rows: DataFrame, null_threshold: float = NULL_THRESHOLD, **limits) -> Tree:
-    """Fit a Gini tree on labelled rows."""
+def fit_tree(rows: DataFrame, null_threshold: float = NULL_THRESHOLD, ccp_alpha: float = 0.0, **limits) -> Tree:
+    """Fit a Gini tree on labelled rows, pruned at the given cost a leaf."""
     features = kept_features(rows, null_threshold)
     if not features:
         raise ValueError("no feature is present often enough for the null threshold")
     fills = imputations(rows)
     data = vectors(imputed(rows, features, fills), features)
     indexer = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="keep")
-    return Tree(Pipeline(stages=[indexer, classifier(**limits)]).fit(data), features, fills)
+    return Tree(Pipeline(stages=[indexer, classifier(**limits)]).fit(data), features, fills, ccp_alpha)
 
 
 def prune_search(
@@ -133,7 +182,7 @@ def prune_search(
     null_threshold: float = NULL_THRESHOLD,
     train_ratio: float = 0.75,
 ) -> TrainValidationSplitModel:
-    """Choose depth and gain on a validation share, in place of a pruning path."""
+    """Choose depth and gain on a validation share."""
     features = kept_features(rows, null_threshold)
     data = vectors(imputed(rows, features, imputations(rows)), features)
     tree = classifier()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from coterie.operators import refine
 from coterie.plans import queries as Q
 from coterie.sources.standin import SPLIT_YEAR
 
@@ -112,14 +113,12 @@ COUNTED = """
       FROM counted)
 """
 
-STATE = {
-    m: f"CASE WHEN {m} < {lo} THEN 1 WHEN {m} < {hi} THEN 2 ELSE 3 END"
-    for m, lo, hi in (
-        ("support", 1.5 * Q.MIN_SUPPORT, 2 * Q.MIN_SUPPORT),
-        ("confidence", Q.MIN_CONFIDENCE + (1 - Q.MIN_CONFIDENCE) / 4, Q.MIN_CONFIDENCE + (1 - Q.MIN_CONFIDENCE) * 3 / 4),
-        ("lift", 1.5 * Q.MIN_LIFT, 2 * Q.MIN_LIFT),
-    )
+LEVELS = {
+    "support": (1.5 * Q.MIN_SUPPORT, 2 * Q.MIN_SUPPORT),
+    "confidence": (Q.MIN_CONFIDENCE + (1 - Q.MIN_CONFIDENCE) / 4, Q.MIN_CONFIDENCE + (1 - Q.MIN_CONFIDENCE) * 3 / 4),
+    "lift": (1.5 * Q.MIN_LIFT, 2 * Q.MIN_LIFT),
 }
+STATE = {m: f"CASE WHEN {m} < {low} THEN 1 WHEN {m} < {high} THEN 2 ELSE 3 END" for m, (low, high) in LEVELS.items()}
 
 CLASSES = "classes AS (SELECT drug, max(class) AS class FROM tests GROUP BY drug)"
 NET = ("serotype", "data_source")
@@ -319,6 +318,59 @@ def _cohort_rules() -> str:
     )
 
 
+def _pruned(source: str = "chosen") -> str:
+    return f"""pruned AS (SELECT * FROM {source} r WHERE NOT EXISTS (
+          SELECT 1 FROM {source} c WHERE c.con = r.con AND len(c.ant) < len(r.ant) AND list_has_all(r.ant, c.ant)
+          AND round(c.lift, 12) >= round(r.lift, 12)))"""
+
+
+def _cohort_runs() -> str:
+    return " UNION ALL ".join(
+        f"""SELECT * FROM (WITH {mined(f"cohort = '{c}'", support=0.02)}, {_pruned()},
+            n AS (SELECT *, row_number() OVER (ORDER BY {RULE_ORDER}) AS rank FROM pruned)
+            SELECT {SHOWN}, '{c}' AS cohort, 'run_{c}_' || rank AS rule_id FROM n)"""
+        for c in Q.COHORTS[2:4]
+    )
+
+
+def _configurations() -> str:
+    runs = (("before", Q.PERIODS["before"], Q.MIN_CONFIDENCE), ("after", Q.PERIODS["after"], Q.MIN_CONFIDENCE), ("all", "", 0.3))
+    return " UNION ALL ".join(
+        f"""SELECT * FROM (WITH {mined(where or "TRUE", support=0.02, confidence=confidence)}
+            SELECT {SHOWN}, '{name}' AS run, '{where}' AS sampling_condition FROM chosen)"""
+        for name, where, confidence in runs
+    )
+
+
+def _rule_clusters(k: int = 8, rounds: int = 10) -> str:
+    """Weighted k-means on the states: k centres one after the other, then rounds until no state moves, unrolled."""
+    states = ", ".join(f"{e} AS s{i}" for i, e in enumerate(STATE.values()))
+    ctes = [
+        f"placed AS (SELECT *, {states} FROM chosen)",
+        """states AS MATERIALIZED (SELECT s0, s1, s2, n, row_number() OVER (ORDER BY s0, s1, s2) AS id
+             FROM (SELECT s0, s1, s2, count(*) AS n FROM placed GROUP BY ALL))""",
+        "c0 AS MATERIALIZED (SELECT 0 AS c, s0::DOUBLE AS s0, s1::DOUBLE AS s1, s2::DOUBLE AS s2 FROM (SELECT * FROM states ORDER BY n DESC, id LIMIT 1))",
+    ]
+    apart = "(s.s0 - m.s0) ** 2 + (s.s1 - m.s1) ** 2 + (s.s2 - m.s2) ** 2"
+    for j in range(1, k):
+        ctes.append(f"""c{j} AS MATERIALIZED (SELECT * FROM c{j - 1} UNION ALL SELECT {j}, s0, s1, s2 FROM (
+            SELECT s.id, s.s0, s.s1, s.s2, any_value(n) * min({apart}) AS far FROM states s CROSS JOIN c{j - 1} m GROUP BY ALL)
+            WHERE far > 0 QUALIFY row_number() OVER (ORDER BY far DESC, id) = 1)""")
+    ctes.append(f"m0 AS (SELECT * FROM c{k - 1})")
+    for t in range(rounds):
+        ctes.append(f"""a{t} AS MATERIALIZED (SELECT s.id, s.s0, s.s1, s.s2, s.n, m.c FROM states s CROSS JOIN m{t} m
+            QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY round({apart}, 9), m.c) = 1)""")
+        means = ", ".join(f"coalesce(sum(a.s{i} * a.n) / sum(a.n), any_value(m.s{i})) AS s{i}" for i in range(3))
+        ctes.append(f"m{t + 1} AS MATERIALIZED (SELECT m.c, {means} FROM m{t} m LEFT JOIN a{t} a ON a.c = m.c GROUP BY m.c)")
+    titles = " || '_' || ".join(
+        f"CASE WHEN avg({m}) < {low} THEN 'Low' WHEN avg({m}) < {high} THEN 'Med' ELSE 'High' END || '{m.title()}'"
+        for m, (low, high) in LEVELS.items()
+    )
+    ctes.append(f"""named AS (SELECT c, {titles} AS cluster FROM placed JOIN a{rounds - 1} USING (s0, s1, s2) GROUP BY c)""")
+    return ", ".join(ctes) + f""" SELECT antecedent_key, consequent_key, cluster
+          FROM placed JOIN a{rounds - 1} USING (s0, s1, s2) JOIN named USING (c)"""
+
+
 def _greedy() -> str:
     """Greedy modularity, a merge at a time: the state is the map from nodes to communities."""
     return f"""WITH RECURSIVE {network(True)},
@@ -506,6 +558,51 @@ def oracle_sql() -> dict[str, str]:
           around AS (SELECT community AS c, sum(lift) AS k FROM ends JOIN class_community USING (node) GROUP BY ALL)
           SELECT round(sum(coalesce(l, 0) / m - (k / (2 * m)) ** 2), 9) AS modularity, count(*) AS communities
           FROM around LEFT JOIN inside USING (c) CROSS JOIN m""",
+        "net_average_clustering": f"""WITH {network()}, adj AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+          tri AS (SELECT a.src AS node, count(*) // 2 AS triangles FROM adj a JOIN adj b ON a.src = b.src AND a.dst <> b.dst
+                  JOIN adj c ON c.src = a.dst AND c.dst = b.dst GROUP BY a.src)
+          SELECT round(avg(CASE WHEN d.degree > 1 THEN 2 * coalesce(triangles, 0) / (d.degree * (d.degree - 1)) ELSE 0 END), 9) AS average_clustering
+          FROM degrees d LEFT JOIN tri USING (node)""",
+        "run_cohorts": _cohort_runs(),
+        "run_configurations": _configurations(),
+        "rule_clusters": f"{rule_sql}, {_rule_clusters(refine.RULE_CLUSTERS)}",
+        "sink_rules": f"""{rule_sql}, text AS (SELECT *, '[' || array_to_string(ant, ', ') || '] -> [' || con || ']' AS association, 'provisional' AS status FROM chosen)
+          SELECT {SHOWN}, 'all' AS run, association, status FROM text UNION ALL SELECT {SHOWN}, 'short', association, status FROM text WHERE len(ant) = 1""",
+        "sink_rule_attributes": f"""{rule_sql},
+          parts AS (SELECT antecedent_key || ' -> ' || consequent_key AS rule_id, 'antecedent' AS side, unnest(ant) AS item FROM chosen
+                    UNION ALL SELECT antecedent_key || ' -> ' || consequent_key, 'consequent', con FROM chosen)
+          SELECT rule_id, side, split_part(item, ':', 1) AS attr, split_part(item, ':', 2) AS value,
+                 CASE WHEN item LIKE 'serotype:%' THEN 'isolates' ELSE 'tests' END AS entity FROM parts""",
+        "sink_updated_rule": f"""{rule_sql}, r AS (SELECT *, antecedent_key || ' -> ' || consequent_key AS rule_id FROM chosen)
+          SELECT rule_id, CASE WHEN rule_id = (SELECT min(rule_id) FROM r) THEN 'confirmed' ELSE 'provisional' END AS status,
+                 CASE WHEN lift > 1.02 THEN 'lifted' ELSE '' END AS cluster, CAST(len(ant) + 1 AS BIGINT) AS items FROM r""",
+        "sink_deleted": f"""WITH e AS (SELECT count(*) AS n FROM (WITH {network(True)} SELECT * FROM edges)),
+          b AS (SELECT count(*) AS n FROM ({rule_sql} SELECT DISTINCT id FROM basket))
+          SELECT 'networks deleted' AS step, 'a' AS run, 'baskets' AS name, n AS rows FROM b
+          UNION ALL SELECT 'networks deleted', 'b', 'baskets', n FROM b
+          UNION ALL SELECT 'run deleted', 'b', 'baskets', n FROM b
+          UNION ALL SELECT 'clean write', 'c', 'edges', n FROM e""",
+        "sink_network": f"""WITH {network()}, m AS (SELECT sum(lift) AS m FROM edges),
+          inside AS (SELECT a.community AS c, sum(lift) AS l FROM edges JOIN class_community a ON a.node = src
+                     JOIN class_community b ON b.node = dst WHERE a.community = b.community GROUP BY ALL),
+          around AS (SELECT community AS c, sum(lift) AS k FROM ends JOIN class_community USING (node) GROUP BY ALL),
+          head AS (SELECT round(sum(coalesce(l, 0) / m - (k / (2 * m)) ** 2), 9) AS modularity, count(*) AS communities
+                   FROM around LEFT JOIN inside USING (c) CROSS JOIN m),
+          weights AS (SELECT node, any_value(class) AS class, round(sum(lift), 6) AS strength FROM ends LEFT JOIN classes ON drug = node GROUP BY node)
+          SELECT 'run' AS run_id, node, class, degree, round(degree_centrality, 9) AS degree_centrality, strength, modularity, communities,
+                 'isolates, tests' AS data_sources FROM weights JOIN degrees USING (node) CROSS JOIN head""",
+        "sink_clusters": f"""WITH {panel(NET)}, {BURDEN},
+          texts AS (SELECT cluster, string_agg(attr || ':' || value || ': ' || CAST(pct AS VARCHAR), ', ' ORDER BY attr, value) AS analysis FROM profiles GROUP BY cluster)
+          SELECT cluster, count(*) AS cluster_size, count(DISTINCT label) AS labels, (SELECT count(DISTINCT cluster) FROM base) AS clusters,
+                 any_value(analysis) AS analysis FROM base LEFT JOIN texts USING (cluster) GROUP BY cluster""",
+        "sink_graphml": f"WITH {network()} SELECT src, dst, round(lift, 6) AS weight FROM edges",
+        "tree_pruning_end": f"""WITH
+          train AS (SELECT label, count(*) AS n FROM (WITH {labelled(True, ('serotype', 'year'), test=False)} SELECT * FROM labels) GROUP BY label),
+          held AS (SELECT label, count(*) AS n FROM (WITH {labelled(True, ('serotype', 'year'), test=True)} SELECT * FROM labels) GROUP BY label),
+          commonest AS (SELECT label FROM train ORDER BY n DESC, label LIMIT 1), total AS (SELECT sum(n) AS n FROM train)
+          SELECT CAST(1 AS INTEGER) AS leaves, round((SELECT 1 - sum((t.n / total.n) ** 2) FROM train t CROSS JOIN total), 9) AS risk,
+                 CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n) FILTER (label = (SELECT label FROM commonest)) AS BIGINT) AS hits,
+                 round(sum(n) FILTER (label = (SELECT label FROM commonest)) / sum(n), 9) AS accuracy FROM held""",
         "net_greedy_merges": _greedy(),
         "net_fluid_checks": f"""WITH RECURSIVE {network(True)},
           near AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),

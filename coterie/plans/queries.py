@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coterie.functions import columns as C
-from coterie.functions.frames import bounded_names, settle
+from coterie.functions.frames import bounded_names, new_path, scalar_of, settle
 from coterie.operators import charts, clusters, measures, mining, network, refine, reports, transactions as T, tree
 from coterie.plans import pipeline
 from coterie.plans.spec import RunSpec
 from coterie.sources import panels as P
-from coterie.sources import standin
+from coterie.sources import results, sinks, standin
 from coterie.sources.standin import SPLIT_YEAR
 
 MIN_SUPPORT = 0.005
@@ -197,6 +198,28 @@ def rules_by_cohort(spark: SparkSession, d: str) -> DataFrame:
     return _shown(pipeline.run_by_cohort(standin.sources(spark, d), spec, COHORTS), "cohort")
 
 
+def run_cohorts(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of whole runs by cohort: mined, pruned and numbered in each of two cohorts."""
+    spec = RunSpec(
+        "run", P.PanelSpec(excluded=("year", "data_source"), cohorts=COHORTS[2:4]), support=0.02, confidence=MIN_CONFIDENCE,
+        lift=MIN_LIFT, prune=True, cluster=False, by_cohort=True,
+    )
+    out = pipeline.run(standin.sources(spark, d), spec, _classes(spark, d))["rules"]
+    return _shown(out, "cohort", "rule_id")
+
+
+def run_configurations(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of three runs over one panel, told apart by condition and threshold."""
+    def spec(name: str, condition: str, confidence: float) -> RunSpec:
+        panel = P.PanelSpec(excluded=RULE_ATTRS, condition=condition)
+        return RunSpec(name, panel, support=0.02, confidence=confidence, lift=MIN_LIFT, cluster=False)
+
+    specs = [spec("before", PERIODS["before"], MIN_CONFIDENCE), spec("after", PERIODS["after"], MIN_CONFIDENCE), spec("all", "", 0.3)]
+    out = pipeline.run_all(standin.sources(spark, d), specs, _classes(spark, d))
+    parts = [_shown(tables["rules"], F.lit(name).alias("run"), "sampling_condition") for name, tables in out.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _measured(spark: SparkSession, d: str) -> DataFrame:
     panel = settle(_panel(spark, d))
     rules = mining.association_rules(mining.frequent_itemsets(T.baskets(panel), MIN_SUPPORT), MIN_CONFIDENCE)
@@ -332,6 +355,15 @@ def net_clustering_coefficient(spark: SparkSession, d: str) -> DataFrame:
     return out.select("node", "degree", "triangles", F.round("clustering", 9).alias("clustering"))
 
 
+def net_average_clustering(spark: SparkSession, d: str) -> DataFrame:
+    return network.average_clustering(_edges(spark, d)).select(F.round("average_clustering", 9).alias("average_clustering"))
+
+
+def net_girvan_newman(spark: SparkSession, d: str) -> DataFrame:
+    """The first splits of the network by its busiest edges."""
+    return network.girvan_newman(_edges(spark, d, bipartite=True), max_communities=3)
+
+
 def net_modularity_by_class(spark: SparkSession, d: str) -> DataFrame:
     edges = _edges(spark, d)
     out = network.modularity(edges, network.class_communities(edges, _classes(spark, d)))
@@ -385,16 +417,18 @@ def report_serotype_share(spark: SparkSession, d: str) -> DataFrame:
     return out.select("interval", *shown, "total", *[F.round(f"{s}_pct", 6).alias(f"{s}_pct") for s in shown])
 
 
-def _period_rules(spark: SparkSession, d: str, condition: str) -> DataFrame:
-    panel = settle(_panel(spark, d, condition=condition))
+PERIODS = {"before": f"year < {SPLIT_YEAR}", "after": f"year >= {SPLIT_YEAR}"}
+
+
+def _period_rules(panel: DataFrame) -> DataFrame:
     rules = mining.association_rules(mining.frequent_itemsets(T.baskets(panel), MIN_SUPPORT), MIN_CONFIDENCE)
     measured = measures.real_measures(settle(rules), settle(T.profiles(panel)), "RAR")
     return settle(_rule_id(measured).withColumn("association", F.col("rule_id")))
 
 
 def _changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    before = _period_rules(spark, d, f"year < {SPLIT_YEAR}")
-    after = _period_rules(spark, d, f"year >= {SPLIT_YEAR}")
+    panel = settle(_panel(spark, d, slices=PERIODS))
+    before, after = (_period_rules(P.slice_of(panel, period)) for period in PERIODS)
     recorded = reports.recorded(before, refine.rule_attributes(before))
     return reports.rule_change(recorded, after, CHANGE_LIMITS), before
 
@@ -421,17 +455,115 @@ def report_rule_type(spark: SparkSession, d: str) -> DataFrame:
 def report_network_change(spark: SparkSession, d: str) -> DataFrame:
     classes = _classes(spark, d)
 
-    def period(condition: str) -> DataFrame:
-        edges = _edges(spark, d, bipartite=True, condition=condition)
+    panel = settle(_panel(spark, d, NET_ATTRS, slices=PERIODS))
+
+    def period(name: str) -> DataFrame:
+        pairs = network.co_occurrence(settle(T.profiles(P.slice_of(panel, name))), True)
+        edges = settle(network.network_edges(pairs, lift=1.0))
         return network.class_communities(edges, classes).join(network.degree_centrality(edges), "node")
 
-    out = reports.network_change(period(f"year < {SPLIT_YEAR}"), period(f"year >= {SPLIT_YEAR}"))
+    out = reports.network_change(*(period(name) for name in PERIODS))
     return out.select(
         "node", "community_before", "community_after",
         *[F.round(c, 9).alias(c) for c in ("centrality_before", "centrality_after")],
     )
 
 
+# ---- results written and read back ------------------------------------------
+
+
+def sink_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs of rules, one of them written again: its first rows are gone, the other run is untouched."""
+    root = new_path(spark)
+    rules = sinks.rule_table(_rule_id(settle(_selected(spark, d))))
+    results.write_results(spark, root, "all", {"rules": rules})
+    results.write_results(spark, root, "short", {"rules": rules})
+    results.write_results(spark, root, "short", {"rules": rules.where(F.size("antecedent") == 1)})
+    back = [results.read_results(spark, root, run)["rules"].withColumn("run", F.lit(run)) for run in ("all", "short")]
+    return _shown(reduce(DataFrame.unionByName, back), "run", "association", "status")
+
+
+def sink_rule_attributes(spark: SparkSession, d: str) -> DataFrame:
+    root = new_path(spark)
+    results.write_results(spark, root, "run", {"rule_attributes": rule_attributes(spark, d)})
+    return results.read_results(spark, root, "run")["rule_attributes"]
+
+
+def sink_updated_rule(spark: SparkSession, d: str) -> DataFrame:
+    """One field of one rule and one field of a group of rules changed in place."""
+    root = new_path(spark)
+    rules = settle(sinks.rule_table(_rule_id(_selected(spark, d))))
+    results.write_results(spark, root, "run", {"rules": rules, "rule_attributes": refine.rule_attributes(rules)})
+    first = scalar_of(rules, F.min("rule_id"))
+    results.update_results(spark, root, "run", "rules", F.col("rule_id") == first, {"status": "confirmed"})
+    results.update_results(spark, root, "run", "rules", F.col("lift") > 1.02, {"cluster": "lifted"})
+    back = results.read_results(spark, root, "run")
+    sizes = back["rule_attributes"].groupBy("rule_id").agg(F.count("*").alias("items"))
+    return back["rules"].join(sizes, "rule_id").select("rule_id", "status", "cluster", "items")
+
+
+def sink_deleted(spark: SparkSession, d: str) -> DataFrame:
+    """What is left after networks were deleted in every run, one run as a whole, and the rest by a clean write."""
+    edges, baskets_ = _edges(spark, d, bipartite=True), settle(baskets(spark, d))
+    root, seen = new_path(spark), []
+
+    def look(step: str) -> None:
+        runs = [r["run_id"] for r in results.visible(spark, root).select("run_id").distinct().collect()]
+        for run in sorted(runs):
+            for name, df in results.read_results(spark, root, run).items():
+                seen.append(df.agg(F.count("*").alias("rows")).select(F.lit(step).alias("step"), F.lit(run).alias("run"), F.lit(name).alias("name"), "rows"))
+
+    for run in ("a", "b"):
+        results.write_results(spark, root, run, {"edges": edges, "baskets": baskets_})
+    results.delete_results(spark, root, names=["edges"])
+    look("networks deleted")
+    results.delete_results(spark, root, "a")
+    look("run deleted")
+    results.write_results(spark, root, "c", {"edges": edges}, clean=True)
+    look("clean write")
+    return reduce(DataFrame.unionByName, seen)
+
+
+def sink_network(spark: SparkSession, d: str) -> DataFrame:
+    """Header and nodes of a network, written and joined again."""
+    edges, classes, root = _edges(spark, d), settle(_classes(spark, d)), new_path(spark)
+    nodes = network.nodes(edges, classes).join(network.degree_centrality(edges), "node").withColumn("run_id", F.lit("run"))
+    head = network.modularity(edges, network.class_communities(edges, classes))
+    head = sinks.with_metadata(head, {"run_id": "run"} | pipeline.data_of_run(standin.sources(spark, d), RunSpec("run")))
+    results.write_results(spark, root, "run", {"nodes": nodes, "network": head})
+    back = results.read_results(spark, root, "run")
+    return back["nodes"].join(back["network"], "run_id").select(
+        "run_id", "node", "class", "degree", F.round("degree_centrality", 9).alias("degree_centrality"),
+        F.round("strength", 6).alias("strength"), F.round("modularity", 9).alias("modularity"), "communities", "data_sources",
+    )
+
+
+def sink_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Header, clusters with their profile text, and members, written and joined again."""
+    assigned, meta = _by_burden(spark, d)
+    assigned, root = settle(assigned), new_path(spark)
+    sizes = clusters.cluster_sizes(assigned).drop("labels")
+    texts = clusters.profile_texts(clusters.cluster_profiles(assigned, meta))
+    head = sizes.agg(F.count("*").alias("clusters"))
+    tables = {"cluster_analysis": head, "cluster_sizes": sizes.join(texts, "cluster", "left"), "cluster_members": clusters.cluster_members(assigned)}
+    results.write_results(spark, root, "run", tables)
+    back = results.read_results(spark, root, "run")
+    members = back["cluster_members"].groupBy("cluster").agg(F.count("*").alias("labels"))
+    total = scalar_of(back["cluster_analysis"], F.max("clusters"))
+    return back["cluster_sizes"].join(members, "cluster").withColumn("clusters", total)
+
+
+def sink_graphml(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of a GraphML document, read from its lines."""
+    path = new_path(spark)
+    sinks.write_graphml(_edges(spark, d), path)
+    lines = spark.read.text(path)
+    found = [F.regexp_extract("value", pattern, 1).alias(name) for name, pattern in (
+        ("src", 'source="([^"]*)"'), ("dst", 'target="([^"]*)"'), ("weight", 'key="weight">([^<]*)<'),
+    )]
+    return lines.where(F.contains("value", F.lit("<edge "))).select(*found).withColumn("weight", F.round(F.col("weight").cast("double"), 6))
+
+
 # ---- chart tables -----------------------------------------------------------
 
 
@@ -595,6 +727,22 @@ def tree_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return tree.fit_tree(rows, TREE_NULLS).accuracies({"train": rows, "test": held})
 
 
+def _pruning_path(spark: SparkSession, d: str) -> DataFrame:
+    rows, held = settle(_tree_rows(spark, d)), settle(_tree_rows(spark, d, for_test=True))
+    return tree.fit_tree(rows, TREE_NULLS).path(held)
+
+
+def tree_pruning_path(spark: SparkSession, d: str) -> DataFrame:
+    """The cost-complexity path of the tree, with the accuracy on held-out rows at every step."""
+    return _pruning_path(spark, d)
+
+
+def tree_pruning_end(spark: SparkSession, d: str) -> DataFrame:
+    """The last step of the path: one leaf, which has all rows and names the commonest label."""
+    path = _pruning_path(spark, d).orderBy(F.desc("step")).limit(1)
+    return path.select("leaves", F.round("risk", 9).alias("risk"), "rows", "hits", F.round("accuracy", 9).alias("accuracy"))
+
+
 REGISTRY: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     report_mdr, report_mdr_any_case, observations_long, transactions_complete, transactions_complementary, transactions_by_class,
     transactions_single_view, panel_sampled, variable_sources, baskets, baskets_capped, basket_empty_cell_filter, holdout_condition,
@@ -610,7 +758,9 @@ REGISTRY: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     chart_arrow_labels, profile_status, profile_attributes, cluster_ward, cluster_merge_tree,
     cluster_tree_totals, cluster_attribute_tree, cluster_sizes,
     cluster_profiles, cluster_top5, hamming_pairs, tree_rows, test_rows, tree_null_filter, tree_imputed,
-    tree_nodes, tree_accuracy,
+    tree_nodes, tree_accuracy, tree_pruning_path, tree_pruning_end, run_cohorts, run_configurations, sink_rules,
+    sink_rule_attributes, sink_updated_rule, sink_deleted, sink_network, sink_clusters, sink_graphml,
+    net_average_clustering, net_girvan_newman,
 )
 
 

@@ -9,7 +9,7 @@ from coterie.functions import columns as C
 from coterie.operators.clusters import CLUSTERS
 from coterie.operators.network import LIFT_THRESHOLD, SUPPORT_THRESHOLD
 from coterie.operators.transactions import EMPTY_CELL_THRESHOLD, MIN_TRANSACTIONS
-from coterie.operators.tree import NULL_THRESHOLD
+from coterie.operators.tree import CCP_ALPHA, NULL_THRESHOLD
 from coterie.sources.panels import PanelSpec
 
 
@@ -57,6 +57,7 @@ class RunSpec:
     cluster_attributes: tuple[str, ...] = ()
     analysed_attribute: str | None = None
     null_threshold: float = NULL_THRESHOLD
+    ccp_alpha: float = CCP_ALPHA
     domains: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
     @property

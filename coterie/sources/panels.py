@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coterie.functions import columns as C
-from coterie.functions.frames import first_ids
+from coterie.functions.frames import first_ids, settle
 
 PREFIX = "attr__"
+#: So many ids in scope are sent to every task at most; beyond, rows out of scope are dropped after the grouping.
+SCOPE_IDS = 500_000
 
 
 @dataclass(frozen=True)
@@ -37,6 +39,8 @@ class PanelSpec:
     condition_is_per_id: bool = False
     cohorts: tuple[str, ...] = ()
     cohort_col: str = "cohort"
+    #: Named row conditions on the entity: one panel then serves several runs, see `slice_of`.
+    slices: Mapping[str, str] = field(default_factory=dict)
     holdout_condition: str = ""
     holdout_fraction: float = 0.0
     holdout_seed: int = 4
@@ -59,6 +63,45 @@ def in_scope(spec: PanelSpec) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+def has_scope(spec: PanelSpec) -> bool:
+    return bool(spec.condition.strip()) or (bool(spec.cohorts) and tuple(spec.cohorts) != ("All",))
+
+
+def text_literal(value: str) -> str:
+    """A text as a literal of SQL conditions."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def scope_text(spec: PanelSpec) -> str:
+    """The row predicate of `in_scope` as a condition text."""
+    parts = [f"({spec.condition})"] if spec.condition.strip() else []
+    if spec.cohorts and tuple(spec.cohorts) != ("All",):
+        parts.append(f"`{spec.cohort_col}` IN ({', '.join(text_literal(c) for c in spec.cohorts)})")
+    return " AND ".join(parts) or "true"
+
+
+def _row_slices(spec: PanelSpec) -> Column:
+    """Names of the slices whose condition a row of the entity meets."""
+    names = [F.when(F.expr(cond), F.lit(name)) for name, cond in spec.slices.items()]
+    return F.array_compact(F.array(*names))
+
+
+def few_in_scope(sources: Mapping[str, DataFrame], spec: PanelSpec, entity: str, bound: int) -> Mapping[str, DataFrame]:
+    """The sources with the ids in scope only, if no more than `bound` ids are.
+
+    These ids are written and counted first; so few go to every task, and no other row reaches the
+    shuffle. With more ids in scope the sources come back as they are: the scope is tested
+    after the grouping, and the panel is the same. Null ids are kept as an id of their own.
+    """
+    ids = sources[entity].where(in_scope(spec)).select(F.col(spec.id_col).alias("__id")).distinct()
+    few = settle(ids.limit(bound + 1))
+    if few.count() > bound:
+        return sources
+    small = F.broadcast(few)
+    return {n: df.join(small, df[spec.id_col].eqNullSafe(few["__id"]), "left_semi") for n, df in sources.items()}
+
+
 def hash_bucket(id_col: Column, seed: int) -> Column:
     """A bucket 0..9999 that depends on the id and seed only."""
     digest = F.md5(F.concat_ws(":", id_col.cast("string"), F.lit(str(seed))))
@@ -81,6 +124,8 @@ def _rows(df: DataFrame, spec: PanelSpec, name: str, is_entity: bool) -> DataFra
         out.append(C.clean(F.col(c), types[c]).alias(PREFIX + c.lower()))
     if is_entity:
         out.append(in_scope(spec).alias("scope"))
+        if spec.slices:
+            out.append(F.when(in_scope(spec), _row_slices(spec)).alias("slices"))
         if spec.holdout_condition.strip():
             out.append(F.coalesce(F.expr(spec.holdout_condition), F.lit(False)).alias("held"))
     return df.select(*out)
@@ -97,9 +142,12 @@ def panels(sources: Mapping[str, DataFrame], spec: PanelSpec = PanelSpec()) -> D
 
     `target` holds one (attr, value) per test, the most severe status winning;
     `other` holds every distinct (attr, value) of the remaining columns. Both
-    are sorted by attribute and value.
+    are sorted by attribute and value. With slices, `slices` lists those that
+    any entity row of the id is in; ids in none are left out.
     """
     entity = spec.entity or next(iter(sources))
+    if has_scope(spec) and len(sources) > 1:
+        sources = few_in_scope(sources, spec, entity, SCOPE_IDS)
     stacked = None
     for name, df in sources.items():
         if name == entity and spec.condition_is_per_id:
@@ -116,7 +164,11 @@ def panels(sources: Mapping[str, DataFrame], spec: PanelSpec = PanelSpec()) -> D
     flags = [F.bool_or("scope").alias("scope")]
     if spec.holdout_condition.strip():
         flags.append(F.bool_or("held").alias("held"))
+    if spec.slices:
+        flags.append(F.array_sort(F.array_distinct(F.flatten(F.collect_set("slices")))).alias("slices"))
     grouped = stacked.groupBy("id").agg(*flags, *sets).where(F.col("scope"))
+    if spec.slices:
+        grouped = grouped.where(F.size("slices") > 0)
 
     if spec.holdout_condition.strip():
         is_test = F.coalesce(F.col("held"), F.lit(False))
@@ -143,10 +195,16 @@ def panels(sources: Mapping[str, DataFrame], spec: PanelSpec = PanelSpec()) -> D
         is_test.alias("is_test"),
         target.cast(f"array<{pair}>").alias("target"),
         other.cast(f"array<{pair}>").alias("other"),
+        *(["slices"] if spec.slices else []),
     )
     return first_ids(out, spec.limit) if spec.limit else out
 
 
+def slice_of(panel: DataFrame, name: str) -> DataFrame:
+    """The panel of one slice: what a panel with the slice's condition would hold."""
+    return panel.where(F.array_contains("slices", name)).drop("slices")
+
+
 def distinct_ids(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     """Distinct ids of the entity that satisfy condition and cohorts, in order, capped."""
     ids = df.where(in_scope(spec)).select(F.col(spec.id_col).alias("id")).distinct()
