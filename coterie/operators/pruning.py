@@ -13,7 +13,7 @@ import heapq
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Risks are compared at so many digits, so that ties do not hang on the order of sums.
@@ -46,6 +46,11 @@ class Cut:
     risk: float
 
 
+def weight(rows: DataFrame) -> Column:
+    """How many rows a row stands for: its `n`, else itself."""
+    return F.col("n") if "n" in rows.columns else F.lit(1).cast("long")
+
+
 def read_nodes(table: DataFrame) -> dict[int, Node]:
     """The nodes of a saved tree model by number; numbers follow the tree from left to right, parents first."""
     rows = table.select("id", "prediction", "impurityStats", "leftChild", "rightChild", "split").collect()

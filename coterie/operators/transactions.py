@@ -86,6 +86,11 @@ def profiles(panel: DataFrame) -> DataFrame:
     )
 
 
+def alike(panel: DataFrame) -> DataFrame:
+    """Panels reduced to distinct ones with their number `n`, training and test ids apart."""
+    return panel.groupBy("is_test", "target", "other").agg(F.count("*").alias("n"))
+
+
 # ---- numeric features -------------------------------------------------------
 
 
@@ -138,25 +143,26 @@ def labelled_rows(
     codes: Mapping[str, Mapping[str, int]] = C.ORDINAL_CODES,
     for_test: bool = False,
 ) -> DataFrame:
-    """`id, label_attr, label, features`: one row per label target of a panel.
+    """`id, label_attr, label, features`: one row per label target of a panel; of `alike` panels `n` in place of the id.
 
     Training rows take the focused statuses as labels, test rows every status.
     The label's own column never is one of its features.
     """
     rows = (test(panel) if for_test else train(panel)).where(F.size("target") > 0)
+    key = "n" if "n" in panel.columns else "id"
     rows = rows.select(
-        "id",
+        key,
         (F.col("target") if for_test else focused(focus)).alias("labels"),
         F.concat(_other_features(codes, domains or {}), _target_features(for_test)).alias("cells"),
     )
-    rows = rows.select("id", "cells", F.explode("labels").alias("l"))
+    rows = rows.select(key, "cells", F.explode("labels").alias("l"))
     # The label's test appears as `attr`, or as `attr(value)` when it has no code.
     own = F.filter(
         "cells",
         lambda z: (z["feature"] != F.col("l.attr"))
         & (z["feature"] != F.concat(F.col("l.attr"), F.lit("("), F.col("l.value"), F.lit(")"))),
     )
-    return rows.select("id", F.col("l.attr").alias("label_attr"), C.item(F.col("l.attr"), F.col("l.value")).alias("label"), own.alias("features"))
+    return rows.select(key, F.col("l.attr").alias("label_attr"), C.item(F.col("l.attr"), F.col("l.value")).alias("label"), own.alias("features"))
 
 
 def feature_rows(rows: DataFrame) -> DataFrame:

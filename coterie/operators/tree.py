@@ -1,4 +1,7 @@
-"""Decision trees on labelled rows."""
+"""Decision trees on labelled rows.
+
+Labelled rows with a column `n` stand for so many rows that are alike, see `transactions.alike`.
+"""
 
 from __future__ import annotations
 
@@ -15,9 +18,8 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit, TrainValid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coterie.functions.frames import bounded_names, new_path, scalar_of
+from coterie.functions.frames import bounded_names, new_path, scalar_of, settle
 from coterie.operators import pruning
-from coterie.operators.transactions import feature_rows
 
 NULL_THRESHOLD = 0.3
 DEFAULT_VALUE = 0.0
@@ -27,55 +29,73 @@ MIN_GAIN = 0.001
 CCP_ALPHA = 0.001
 
 
-def feature_nulls(rows: DataFrame, threshold: float = NULL_THRESHOLD) -> DataFrame:
-    """`feature, present, null_share, kept` over the labelled rows."""
-    total = scalar_of(rows, F.count("*"))
-    counts = feature_rows(rows).groupBy("feature").agg(F.count("value").alias("present"))
+def value_counts(rows: DataFrame) -> DataFrame:
+    """`label, feature, value, n`: rows of each label by value; settled, as it has the vocabulary's size."""
+    long = rows.select("label", pruning.weight(rows).alias("n"), F.inline("features"))
+    return settle(long.groupBy("label", "feature", "value").agg(F.sum("n").alias("n")))
+
+
+def feature_nulls(rows: DataFrame, threshold: float = NULL_THRESHOLD, counts: DataFrame | None = None) -> DataFrame:
+    """`feature, present, null_share, kept` over the labelled rows; `counts` if their values are counted already."""
+    total = scalar_of(rows, F.sum(pruning.weight(rows)))
+    counts = value_counts(rows) if counts is None else counts
+    present = F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0))
     share = (total - F.col("present")) / total
-    return counts.withColumn("null_share", share).withColumn("kept", F.col("null_share") <= threshold)
+    by_feature = counts.groupBy("feature").agg(present.alias("present"))
+    return by_feature.withColumn("null_share", share).withColumn("kept", F.col("null_share") <= threshold)
 
 
-def kept_features(rows: DataFrame, threshold: float = NULL_THRESHOLD) -> list[str]:
+def kept_features(rows: DataFrame, threshold: float = NULL_THRESHOLD, counts: DataFrame | None = None) -> list[str]:
     """Sorted names of the features kept."""
-    return bounded_names(feature_nulls(rows, threshold).where("kept"), "feature")
+    return bounded_names(feature_nulls(rows, threshold, counts).where("kept"), "feature")
 
 
-def modes(rows: DataFrame, *keys: str) -> DataFrame:
+def modes(counts: DataFrame, *keys: str) -> DataFrame:
     """Most frequent value per key, ties to the smallest value."""
-    counted = rows.groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    counted = counts.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
     return counted.groupBy(*keys).agg(F.max_by("value", F.struct("n", -F.col("value"))).alias("mode"))
 
 
-def imputations(rows: DataFrame) -> DataFrame:
-    """`label, by_label, by_all`: maps from feature to the value that replaces a null."""
-    long = feature_rows(rows)
-    by_label = modes(long, "label", "feature").groupBy("label").agg(
+def imputations(rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """`label, by_label, by_all`: maps from feature to the value that replaces a null.
+
+    Settled: it is small and every pass over the rows needs it. With its true size Spark sends it to every
+    task, so that rows are not shuffled by label, of which there are few.
+    """
+    counts = value_counts(rows) if counts is None else counts
+    by_label = modes(counts, "label", "feature").groupBy("label").agg(
         F.map_from_entries(F.collect_list(F.struct("feature", "mode"))).alias("by_label")
     )
-    by_all = modes(long, "feature").agg(F.map_from_entries(F.collect_list(F.struct("feature", "mode"))).alias("m")).scalar()
+    by_all = modes(counts, "feature").agg(F.map_from_entries(F.collect_list(F.struct("feature", "mode"))).alias("m")).scalar()
     labels = rows.select("label").distinct()
-    return labels.join(by_label, "label", "left").withColumn("by_all", by_all)
-
+    return settle(labels.join(by_label, "label", "left").withColumn("by_all", by_all))
 
-def imputed(rows: DataFrame, features: Sequence[str], fills: DataFrame, label_known: bool = True) -> DataFrame:
-    """`id, label` and one column per feature, nulls replaced by label mode, overall mode or 0.
 
-    Rows to be scored have no label yet: without `label_known` it is not looked at.
-    """
-    plain = rows.select("id", "label", F.map_from_entries("features").alias("f"))
+def _filled(rows: DataFrame, features: Sequence[str], fills: DataFrame, label_known: bool) -> tuple[DataFrame, list[str], list[Column]]:
+    """The rows with their fills, the columns they keep, and the value of every feature."""
+    kept = [c for c in ("id", "label", "n") if c in rows.columns]
+    plain = rows.select(*kept, F.map_from_entries("features").alias("f"))
     if label_known:
         joined, steps = plain.join(fills, "label", "left"), ("f", "by_label", "by_all")
     else:
         joined, steps = plain.withColumn("by_all", scalar_of(fills, F.first("by_all"))), ("f", "by_all")
+    values = [F.coalesce(*[F.element_at(s, n) for s in steps], F.lit(DEFAULT_VALUE)).alias(n) for n in features]
+    return joined, kept, values
+
 
-    def value(name: str) -> Column:
-        return F.coalesce(*[F.element_at(s, name) for s in steps], F.lit(DEFAULT_VALUE)).alias(name)
+def imputed(rows: DataFrame, features: Sequence[str], fills: DataFrame, label_known: bool = True) -> DataFrame:
+    """`id, label` and one column per feature, nulls replaced by label mode, overall mode or 0.
 
-    return joined.select("id", "label", *[value(n) for n in features])
+    Rows to be scored have no label yet: without `label_known` it is not looked at.
+    """
+    joined, kept, values = _filled(rows, features, fills, label_known)
+    return joined.select(*kept, *values)
 
 
-def vectors(table: DataFrame, features: Sequence[str]) -> DataFrame:
-    return table.select("id", "label", array_to_vector(F.array(*[F.col(f"`{n}`") for n in features])).alias("features"))
+def vectors(rows: DataFrame, features: Sequence[str], fills: DataFrame, label_known: bool = True) -> DataFrame:
+    """The imputed rows with their values as one vector `features`."""
+    joined, kept, values = _filled(rows, features, fills, label_known)
+    return joined.select(*kept, array_to_vector(F.array(*values)).alias("features"))
 
 
 @dataclass
@@ -105,7 +125,7 @@ class Tree:
     def scored(self, rows: DataFrame) -> DataFrame:
         """The rows with target and `leaf` of the whole tree; nulls are filled without a look at the label."""
         self.model.stages[-1].setLeafCol("leaf")
-        return self.model.transform(vectors(imputed(rows, self.features, self.fills, label_known=False), self.features))
+        return self.model.transform(vectors(rows, self.features, self.fills, label_known=False))
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """The rows scored; nulls are filled without a look at the label, which a new row does not have."""
@@ -131,20 +151,27 @@ class Tree:
         return best[0]
 
     def accuracy(self, rows: DataFrame) -> float:
-        scored = self.predict(rows)
-        return MulticlassClassificationEvaluator(labelCol="target", metricName="accuracy").evaluate(scored)
+        scored = self.predict(rows).select("prediction", "target", pruning.weight(rows).cast("double").alias("n"))
+        return MulticlassClassificationEvaluator(labelCol="target", metricName="accuracy", weightCol="n").evaluate(scored)
 
     def accuracies(self, parts: Mapping[str, DataFrame]) -> DataFrame:
         """`part, rows, accuracy` of each named table of labelled rows; a part without rows is left out."""
-        scored = [self.predict(rows).select(F.lit(name).alias("part"), "prediction", "target") for name, rows in parts.items()]
-        hit = (F.col("prediction") == F.col("target")).cast("double")
-        return reduce(DataFrame.unionByName, scored).groupBy("part").agg(F.count("*").alias("rows"), F.avg(hit).alias("accuracy"))
+        scored = [
+            self.predict(rows).select(F.lit(name).alias("part"), "prediction", "target", pruning.weight(rows).alias("n"))
+            for name, rows in parts.items()
+        ]
+        hits = F.sum(F.when(F.col("prediction") == F.col("target"), F.col("n")).otherwise(0))
+        return reduce(DataFrame.unionByName, scored).groupBy("part").agg(
+            F.sum("n").alias("rows"), (hits / F.sum("n")).alias("accuracy")
+        )
 
     def _saved(self) -> DataFrame:
         spark = self.fills.sparkSession
         path = new_path(spark)
         self.model.stages[-1].write().save(path)
-        return spark.read.parquet(f"{path}/data")
+        # Spark counts the rows it was given, which may stand for several; the statistics have their weights.
+        stats = F.aggregate("impurityStats", F.lit(0.0), lambda acc, x: acc + x)
+        return spark.read.parquet(f"{path}/data").withColumn("rawCount", stats.cast("long"))
 
     def nodes(self, spark) -> DataFrame:
         """The model's node table; below a pruned node there are none."""
@@ -164,15 +191,42 @@ def classifier(max_depth: int = MAX_DEPTH, min_leaf: int = MIN_LEAF, min_gain: f
     )
 
 
+def weighted_classifier(total: int, max_depth: int = MAX_DEPTH, min_leaf: int = MIN_LEAF, min_gain: float = MIN_GAIN) -> DecisionTreeClassifier:
+    """The classifier for rows that stand for `n` rows each, `total` in all: a leaf has `min_leaf` of them."""
+    tree = classifier(max_depth, 1, min_gain).setWeightCol("n")
+    if total < 2 * min_leaf:
+        return tree.setMinInstancesPerNode(2 * min_leaf)  # nothing can be split
+    return tree.setMinWeightFractionPerNode((min_leaf - 0.5) / total)
+
+
+def even_weights(data: DataFrame, most: int) -> DataFrame:
+    """The rows with no `n` above `most`, heavier ones in several even parts.
+
+    Spark looks for thresholds in a sample of the rows it is given; so it holds what a sample of single rows would.
+    """
+    parts = data.withColumn("__parts", F.ceil(F.col("n") / most).cast("long"))
+    parts = parts.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "__parts")).alias("__part"))
+    rest = F.when(F.col("__part") <= F.col("n") % F.col("__parts"), 1).otherwise(0)
+    n = F.floor(F.col("n") / F.col("__parts")) + rest
+    return parts.withColumn("n", n.cast("long")).drop("__parts", "__part")
+
+
 def fit_tree(rows: DataFrame, null_threshold: float = NULL_THRESHOLD, ccp_alpha: float = 0.0, **limits) -> Tree:
-    """Fit a Gini tree on labelled rows, pruned at the given cost a leaf."""
-    features = kept_features(rows, null_threshold)
+    """Fit a Gini tree on labelled rows, pruned at the given cost a leaf.
+
+    Rows of one label and equal features are fitted as one with a weight, so every pass of the fit reads the
+    distinct rows only; they are settled as vectors first.
+    """
+    counts = value_counts(rows)
+    features = kept_features(rows, null_threshold, counts)
     if not features:
         raise ValueError("no feature is present often enough for the null threshold")
-    fills = imputations(rows)
-    data = vectors(imputed(rows, features, fills), features)
+    fills = imputations(rows, counts)
+    data = settle(vectors(rows.withColumn("n", pruning.weight(rows)), features, fills).select("label", "n", "features"))
+    size = data.agg(F.sum("n").alias("total"), F.count("*").alias("rows")).first()
     indexer = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="keep")
-    return Tree(Pipeline(stages=[indexer, classifier(**limits)]).fit(data), features, fills, ccp_alpha)
+    stages = [indexer, weighted_classifier(size["total"], **limits)]
+    return Tree(Pipeline(stages=stages).fit(even_weights(data, -(-size["total"] // size["rows"]))), features, fills, ccp_alpha)
 
 
 def prune_search(
@@ -182,9 +236,9 @@ def prune_search(
     null_threshold: float = NULL_THRESHOLD,
     train_ratio: float = 0.75,
 ) -> TrainValidationSplitModel:
-    """Choose depth and gain on a validation share."""
+    """Choose depth and gain on a validation share of single rows."""
     features = kept_features(rows, null_threshold)
-    data = vectors(imputed(rows, features, imputations(rows)), features)
+    data = settle(vectors(rows, features, imputations(rows)))
     tree = classifier()
     indexer = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="keep")
     grid = ParamGridBuilder().addGrid(tree.maxDepth, list(depths)).addGrid(tree.minInfoGain, list(gains)).build()

@@ -149,9 +149,10 @@ def run_panel(
         texts = clusters.profile_texts(out["cluster_profiles"])
         out["cluster_sizes"] = out["cluster_sizes"].join(texts, "cluster", "left").fillna("", ["analysis"])
     if spec.tree:
-        rows = settle(transactions.labelled_rows(panel, spec.focus, spec.domains))
+        alike = settle(transactions.alike(panel))
+        rows = settle(transactions.labelled_rows(alike, spec.focus, spec.domains))
         fitted = tree.fit_tree(rows, spec.null_threshold, ccp_alpha=spec.ccp_alpha)
-        held_out = settle(transactions.labelled_rows(panel, spec.focus, spec.domains, for_test=True))
+        held_out = settle(transactions.labelled_rows(alike, spec.focus, spec.domains, for_test=True))
         out["tree_nodes"] = fitted.nodes(panel.sparkSession)
         out["tree_accuracy"] = fitted.accuracies({"train": rows, "test": held_out})
         out["tree_text"] = panel.sparkSession.createDataFrame([(fitted.text(),)], "text string")

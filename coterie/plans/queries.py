@@ -686,9 +686,19 @@ def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
 # ---- trees ------------------------------------------------------------------
 
 
+def _tree_panel(spark: SparkSession, d: str) -> DataFrame:
+    return _panel(spark, d, ("data_source", "cohort"), holdout_fraction=HOLDOUT)
+
+
 def _tree_rows(spark: SparkSession, d: str, for_test: bool = False) -> DataFrame:
-    panel = _panel(spark, d, ("data_source", "cohort"), holdout_fraction=HOLDOUT)
-    return T.labelled_rows(panel, domains={"serotype": SEGMENTS}, for_test=for_test)
+    return T.labelled_rows(_tree_panel(spark, d), domains={"serotype": SEGMENTS}, for_test=for_test)
+
+
+def _tree_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Training and held-out rows, alike ones counted, from one reading of the sources."""
+    panel = settle(T.alike(_tree_panel(spark, d)))
+    rows, held = (T.labelled_rows(panel, domains={"serotype": SEGMENTS}, for_test=x) for x in (False, True))
+    return settle(rows), settle(held)
 
 
 def _row_totals(rows: DataFrame) -> DataFrame:
@@ -723,7 +733,7 @@ def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    rows, held = settle(_tree_rows(spark, d)), settle(_tree_rows(spark, d, for_test=True))
+    rows, held = _tree_parts(spark, d)
     return tree.fit_tree(rows, TREE_NULLS).accuracies({"train": rows, "test": held})
 
 
