@@ -159,19 +159,20 @@ def path_table(spark: SparkSession, nodes: Mapping[int, Node], root: int = 0) ->
 
 
 def path_accuracy(scored: DataFrame, nodes: Mapping[int, Node]) -> DataFrame:
-    """The path with `rows, hits, accuracy` of labelled rows (`leaf, target`) at every step.
+    """The path with `rows, hits, accuracy` of labelled rows (`leaf, target`, maybe `n`) at every step.
 
     Rows are counted by leaf and label once. A span adds its hits where it begins and takes them back where it
     ends, so that a running sum over the steps, of which there are no more than inner nodes, gives all accuracies.
     """
     spark = scored.sparkSession
-    counts = scored.groupBy(F.col("leaf").cast("int").alias("leaf"), "target").agg(F.count("*").alias("n"))
+    scored = scored.select("leaf", "target", weight(scored).alias("__n"))
+    counts = scored.groupBy(F.col("leaf").cast("int").alias("leaf"), "target").agg(F.sum("__n").alias("n"))
     hits = counts.join(leaf_spans(spark, nodes), "leaf").where(F.col("prediction") == F.col("target"))
     change = hits.select(
         F.inline(F.array(F.struct("step", F.col("n").alias("d")), F.struct(F.col("until").alias("step"), (-F.col("n")).alias("d"))))
     ).where("step is not null")
     changes = change.groupBy("step").agg(F.sum("d").alias("d"))
-    rows = scored.agg(F.count("*").alias("n")).scalar()
+    rows = scored.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).scalar()
     path = path_table(spark, nodes).join(changes, "step", "left").fillna(0, ["d"])
     running = F.sum("d").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
     return path.withColumn("rows", rows).withColumn("hits", running).drop("d").withColumn(

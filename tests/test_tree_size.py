@@ -89,3 +89,10 @@ def test_heavy_rows_are_dealt_evenly(spark):
     data = spark.createDataFrame([("a", 10), ("b", 3), ("c", 1)], "label string, n long")
     got = sorted((r.label, r.n) for r in tree.even_weights(data, 4).collect())
     assert got == [("a", 3), ("a", 3), ("a", 4), ("b", 3), ("c", 1)]
+
+
+def test_pruning_path_counts_alike_rows_and_reads_the_sources_once(spark, own, read):
+    got = Q.tree_pruning_path(spark, "own").orderBy("step").collect()
+    assert len(read) == 1
+    want = tree.fit_tree(single_rows(own), Q.TREE_NULLS).path(single_rows(own, True)).orderBy("step").collect()
+    assert got == want and len(got) > 2 and 0 < got[-1].hits < got[0].hits < got[0].rows
