@@ -96,3 +96,14 @@ def test_pruning_path_counts_alike_rows_and_reads_the_sources_once(spark, own, r
     assert len(read) == 1
     want = tree.fit_tree(single_rows(own), Q.TREE_NULLS).path(single_rows(own, True)).orderBy("step").collect()
     assert got == want and len(got) > 2 and 0 < got[-1].hits < got[0].hits < got[0].rows
+
+
+def test_pruning_end_has_all_held_rows_from_one_reading(spark, own, read):
+    end = Q.tree_pruning_end(spark, "own").collect()
+    assert len(read) == 1 and len(end) == 1
+    labels = single_rows(own).groupBy("label").count().orderBy(F.desc("count"), "label").collect()
+    held = single_rows(own, True)
+    hits = held.where(F.col("label") == labels[0]["label"]).count()
+    assert (end[0].leaves, end[0].rows, end[0].hits) == (1, held.count(), hits)
+    total = sum(r["count"] for r in labels)
+    assert end[0].risk == pytest.approx(1 - sum((r["count"] / total) ** 2 for r in labels), abs=1e-9)
