@@ -728,7 +728,8 @@ def tree_imputed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
-    rows = settle(_tree_rows(spark, d))
+    alike = T.alike(T.train(_tree_panel(spark, d)))
+    rows = settle(T.labelled_rows(alike, domains={"serotype": SEGMENTS}))
     return tree.fit_tree(rows, TREE_NULLS).nodes(spark)
 
 

@@ -107,3 +107,17 @@ def test_pruning_end_has_all_held_rows_from_one_reading(spark, own, read):
     assert (end[0].leaves, end[0].rows, end[0].hits) == (1, held.count(), hits)
     total = sum(r["count"] for r in labels)
     assert end[0].risk == pytest.approx(1 - sum((r["count"] / total) ** 2 for r in labels), abs=1e-9)
+
+
+def test_nodes_are_those_of_single_rows(spark, own, read):
+    nodes = Q.tree_nodes(spark, "own").collect()
+    assert len(nodes) > 2 and sorted(map(str, nodes)) == plain_nodes(single_rows(own))
+    assert max(n.rawCount for n in nodes) == single_rows(own).count()
+
+
+def test_a_fit_takes_counted_rows(spark, own, read, monkeypatch):
+    seen = []
+    fit = tree.fit_tree
+    monkeypatch.setattr(tree, "fit_tree", lambda rows, *a, **b: seen.append(rows.count()) or fit(rows, *a, **b))
+    Q.tree_nodes(spark, "own").collect()
+    assert seen and seen[0] < 100 < single_rows(own).count()
