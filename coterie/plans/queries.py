@@ -721,8 +721,9 @@ def tree_null_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def tree_imputed(spark: SparkSession, d: str) -> DataFrame:
     rows = settle(_tree_rows(spark, d))
-    names = tree.kept_features(rows, TREE_NULLS)
-    table = tree.imputed(rows, names, tree.imputations(rows))
+    counts = tree.value_counts(rows)
+    names = tree.kept_features(rows, TREE_NULLS, counts)
+    table = tree.imputed(rows, names, tree.imputations(rows, counts))
     cells = [F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("value")) for n in names]
     return table.select("id", "label", F.inline(F.array(*cells)))
 

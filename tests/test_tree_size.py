@@ -121,3 +121,29 @@ def test_a_fit_takes_counted_rows(spark, own, read, monkeypatch):
     monkeypatch.setattr(tree, "fit_tree", lambda rows, *a, **b: seen.append(rows.count()) or fit(rows, *a, **b))
     Q.tree_nodes(spark, "own").collect()
     assert seen and seen[0] < 100 < single_rows(own).count()
+
+
+def test_rows_are_not_shuffled_by_label(spark):
+    rng = random.Random(2)
+    rows = [(i, "L", f"L:{rng.choice('ab')}", [("f", float(rng.randint(1, 3)))]) for i in range(20000)]
+    df = settle(spark.createDataFrame(rows, LABELLED))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        table = tree.imputed(df, ["f"], tree.imputations(df))
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning(label" not in plan
+        assert table.where("f IS NULL").count() == 0 and table.count() == 20000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_imputed_rows_count_their_values_once(spark, own, read, monkeypatch):
+    counted = []
+    count = tree.value_counts
+    monkeypatch.setattr(tree, "value_counts", lambda rows: counted.append(1) or count(rows))
+    got = Q.tree_imputed(spark, "own")
+    assert len(counted) == 1 and len(read) == 1
+    rows = single_rows(own)
+    names = [r.feature for r in tree.feature_nulls(rows, Q.TREE_NULLS).where("kept").collect()]
+    assert got.count() == rows.count() * len(names) and got.where("value IS NULL").count() == 0
