@@ -379,15 +379,23 @@ class Coder:
 
 
 class LibraryCoder(Coder):
-    """The same ids, with new words of plain letters merged by the tokenizers library."""
+    """The same ids, with new words of plain letters merged by the tokenizers library.
+
+    These words are cut already, so the library cuts them at white space only; it keeps no words of its own, as
+    each comes once, and leaves out the places of tokens.
+    """
 
     def __init__(self, content: bytes, bound: int = 250_000):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         super().__init__(content, bound)
-        self._tokenizer = Tokenizer.from_str(content.decode())
-        self._tokenizer.no_truncation()
-        self._tokenizer.no_padding()
+        model = json.loads(content)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        kept = {k: v for k, v in model.items() if k not in ("type", "vocab", "merges") and v is not None}
+        self._tokenizer = Tokenizer(BPE(model["vocab"], merges, cache_capacity=0, **kept))
+        self._tokenizer.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self._ends = np.array([name.endswith(WORD_END) for name in self._names])
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
@@ -395,7 +403,8 @@ class LibraryCoder(Coder):
         found: dict[str, bytes] = {}
         for k in range(0, len(plain), 4096):
             words = plain[k : k + 4096]
-            ids = np.array(self._tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            text = unicodedata.normalize("NFC", " ".join(words)).lower()
+            ids = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             raw, ends = ids.tobytes(), ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
             found.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True))
         return [found[u] if u in found else self._encode_unit(u) for u in units]

@@ -558,3 +558,16 @@ def test_slices_give_the_ids_of_single_words():
     expected = [plain.encode(t) for t in cases]
     for kind in (bpe.Coder, bpe.LibraryCoder):
         assert [ids.tobytes() for ids in kind(content, bound=50).encode_all(cases)] == expected
+
+
+def test_new_words_go_through_the_merges_only():
+    from tokenizers import Tokenizer
+
+    with open(bpe.default_path(), "rb") as f:
+        content = f.read()
+    coder, library = bpe.LibraryCoder(content), Tokenizer.from_str(content.decode())
+    assert coder._tokenizer.normalizer is None  # words come cut and folded
+    letters = [c for c in map(chr, range(128, 0x300)) if c in coder._simple]
+    texts = [" ".join(f"{c}q{c.upper()}x zz{c}" for c in letters if c.upper() in coder._simple), "Zqxj ZQXJ't über ÜBERzq9", "", "a" * 500]
+    for text, got in zip(texts, coder.encode_all(texts), strict=True):
+        assert got.tolist() == library.encode(text, add_special_tokens=False).ids
