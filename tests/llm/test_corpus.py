@@ -530,6 +530,43 @@ def test_topk_counts_vectors_that_quantize_alike_once(spark):
     assert sorted((r.rank, -r.score, r.vec_id) for r in got) == [(n + 1, *s) for n, s in enumerate(scores[:8])]
 
 
+def test_topk_copies_no_blocks_through_the_driver(spark):
+    """The copies of the queries are many times the table Spark knows the size of, so no join may broadcast them."""
+    rnd = np.random.default_rng(9)
+    rows = [(k, np.round(rnd.normal(0, 0.1, 20), 1).tolist()) for k in range(500)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    found = topk.search(vectors.filter("vec_id % 5 = 0"), vectors, 6, block=8)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = defaultdict(list)
+    for r in found.collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    x = np.floor(64 * np.array([v for _, v in rows], np.float32).astype(np.float64)).astype(int)
+    for q in range(0, 500, 5):
+        scores = sorted((-int(x[q] @ x[i]), i) for i in range(500) if i != q)[:6]
+        assert sorted(got.pop(q)) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert not got
+
+
+@pytest.mark.parametrize("largest", [0, 3, 60, 100_000, 1 << 28])
+def test_topk_of_blocks_is_exact_for_any_size_of_numbers(largest):
+    rnd = np.random.default_rng(largest)
+
+    def side(ids, x):
+        width = next(t for t in topk.WIDTHS if largest <= np.iinfo(t).max)
+        return topk._Side(ids.astype("<i8").tobytes(), x.shape[1], x.T.astype(width).tobytes())
+
+    ids, x = np.arange(0, 90, 3), rnd.integers(-largest, largest + 1, (30, 40))
+    held = [(np.arange(b, 90, 4), rnd.integers(-largest, largest + 1, (len(range(b, 90, 4)), dim))) for b, dim in enumerate((40, 40, 25, 0))]
+    for _, y in held[:2]:
+        y[:, 20:] //= 1000  # so that bounds leave few
+    bound = np.full(30, -np.inf)
+    place, found, score = topk.nearest(side(ids, x), [side(*h) for h in held], 7, bound)
+    for n in range(30):
+        scores = sorted((-int(v[: len(x[n])] @ x[n][: len(v)]), i) for h in held for i, v in zip(*h, strict=True) if i != ids[n])[:7]
+        assert [(-s, i) for s, i in zip(score[place == n], found[place == n], strict=True)] == scores
+        assert bound[n] == -scores[-1][0]
+
+
 def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "secret scan", "packing"]
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
